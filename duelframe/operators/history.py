@@ -17,7 +17,7 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 MAX_ROWS_CONF = "duelframe.maxRowsPerHistory"
 DEFAULT_MAX_ROWS = 2_000_000
@@ -26,12 +26,16 @@ _CELL = ["_cell_day", "_cell_id"]
 
 @dataclass(frozen=True)
 class Layout:
-    """Keys and order of a history, and how finely it has to be cut (``days`` None: not at all)."""
+    """Keys and order of a history, and how finely it has to be cut.
+
+    ``width`` is in days for a date column and in seconds for a timestamp column; None means the
+    largest history fits one task. ``ids`` cuts a hot day further, by ranges of the tie-breaker.
+    """
 
     keys: tuple[str, ...]
     date: str = "event_date"
     tie: str = "match_id"
-    days: int | None = None
+    width: int | None = None
     ids: int | None = None
 
     @property
@@ -40,12 +44,23 @@ class Layout:
 
     @property
     def partition(self) -> list[str]:
-        return list(self.keys) if self.days is None else [*self.keys, *_CELL]
+        return list(self.keys) if self.width is None else [*self.keys, *_CELL]
 
     def cut(self, df: DataFrame) -> DataFrame:
-        day = F.floor(F.datediff(F.col(self.date).cast("date"), F.lit("1970-01-01").cast("date")) / F.lit(self.days))
+        when = _clock(df, self.date)
         part = F.floor(F.col(self.tie) / F.lit(self.ids)) if self.ids else F.lit(0)
-        return df.withColumns({_CELL[0]: day.cast("long"), _CELL[1]: part.cast("long")})
+        return df.withColumns(
+            {_CELL[0]: F.floor(when / F.lit(self.width)).cast("long"), _CELL[1]: part.cast("long")}
+        )
+
+
+def _is_date(df: DataFrame, date: str) -> bool:
+    return isinstance(df.schema[date].dataType, T.DateType)
+
+
+def _clock(df: DataFrame, date: str) -> Column:
+    """Days (dates) or seconds (timestamps) since 1970."""
+    return F.unix_date(date) if _is_date(df, date) else F.unix_seconds(F.col(date).cast("timestamp"))
 
 
 def measure(
@@ -58,14 +73,16 @@ def measure(
     """Pick a layout from the size of the largest history and of its fullest day."""
     spark = df.sparkSession
     limit = max_rows or int(spark.conf.get(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS)))
-    day = F.col(date).cast("date")
-    per_day = df.groupBy(*keys, day.alias("_d")).agg(
+    dates = _is_date(df, date)
+    step = 1 if dates else 60
+    tick = F.floor(_clock(df, date) / F.lit(step)) * F.lit(step)
+    per_tick = df.groupBy(*keys, tick.alias("_d")).agg(
         F.count(F.lit(1)).alias("n"), F.min(tie).alias("lo"), F.max(tie).alias("hi")
     )
-    per_key = per_day.groupBy(*keys).agg(
+    per_key = per_tick.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         F.max("n").alias("fullest"),
-        (F.datediff(F.max("_d"), F.min("_d")) + 1).alias("span"),
+        (F.max("_d") - F.min("_d") + step).alias("span"),
         F.min("lo").alias("lo"),
         F.max("hi").alias("hi"),
     )
@@ -78,12 +95,15 @@ def measure(
     ).first()
     if big is None or big["n"] is None or big["n"] <= limit:
         return Layout(tuple(keys), date, tie)
-    days = max(1, math.floor(big["span"] * limit / big["n"]))
+    width = max(1, math.floor(big["span"] * limit / big["n"]))
     ids = None
     if big["fullest"] > limit:
-        ids = max(1, math.ceil((big["hi"] - big["lo"] + 1) / math.ceil(big["fullest"] / limit)))
-        days = 1
-    return Layout(tuple(keys), date, tie, days, ids)
+        if dates:
+            width = 1
+            ids = max(1, math.ceil((big["hi"] - big["lo"] + 1) / math.ceil(big["fullest"] / limit)))
+        else:
+            width = max(1, min(width, math.floor(step * limit / big["fullest"])))
+    return Layout(tuple(keys), date, tie, width, ids)
 
 
 @dataclass(frozen=True)
@@ -101,6 +121,11 @@ class Frames:
         """The ``n`` rows before the current one."""
         return self.ordered.rowsBetween(-n, -1)
 
+    @property
+    def before(self) -> WindowSpec:
+        """All earlier rows at hand: right for "last known value", whose carrier is in the halo."""
+        return self.ordered.rowsBetween(Window.unboundedPreceding, -1)
+
     def prior_by(self, position: str, n: int) -> WindowSpec:
         """Rows whose ``position`` is one to ``n`` below the current one."""
         return Window.partitionBy(*self.partition).orderBy(position).rangeBetween(-n, -1)
@@ -154,7 +179,7 @@ def lookback(
     carry: Column | None = None,
 ) -> DataFrame:
     """Add columns computed over at most ``depth`` earlier rows (earlier *carried* rows if given)."""
-    if layout.days is None:
+    if layout.width is None:
         made = columns(Frames(layout.partition, layout.order))
         return df.select("*", *[c.alias(n) for n, c in made.items()])
     cut = layout.cut(df)
@@ -190,7 +215,7 @@ def running(
     frame = Window.partitionBy(*layout.partition).orderBy(*layout.order).rowsBetween(
         Window.unboundedPreceding, end
     )
-    if layout.days is None:
+    if layout.width is None:
         return df.select("*", *[_GROWING[how](c).over(frame).alias(n) for n, (how, c) in totals.items()])
     cut = layout.cut(df)
     cells = cut.groupBy(*layout.keys, *_CELL).agg(
