@@ -27,3 +27,60 @@ def blended_picks(predictions: DataFrame, model_weight: float = 0.495) -> DataFr
             }
         )
     )
+
+
+def missing_decisions(events: DataFrame, decided: DataFrame, key: str, starts: str, cutoff: Column) -> DataFrame:
+    """Events starting at or after the cutoff for which no decision was handed in."""
+    return events.filter(F.col(starts) >= cutoff).join(decided.select(key), key, "left_anti")
+
+
+def starting_soon(events: DataFrame, starts: str, now: Column, from_minutes: int = 30, to_minutes: int = 90) -> DataFrame:
+    """Events that start between ``from_minutes`` and ``to_minutes`` after ``now``."""
+    low = now + F.make_dt_interval(mins=F.lit(from_minutes))
+    high = now + F.make_dt_interval(mins=F.lit(to_minutes))
+    return events.filter(F.col(starts).between(low, high))
+
+
+def weight_grid(picks: DataFrame, steps: int) -> DataFrame:
+    """Right decisions of every blend weight ``step / steps``.
+
+    The grid is a fixed literal exploded per row and combined on the map side, so the shuffle
+    carries one row per weight and task.
+    """
+    grid = picks.select("model_prob", "odds_prob", "home_win", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
+    w = F.col("step") * F.lit(1.0 / steps)
+    right = picked_right(w * F.col("model_prob") + (1 - w) * F.col("odds_prob"))
+    return grid.groupBy(F.col("step").cast("long").alias("step")).agg(
+        F.sum(right).alias("correct"), F.count(F.lit(1)).alias("games")
+    )
+
+
+def decision_changes(old: DataFrame, new: DataFrame, min_shift: float = 0.05) -> DataFrame:
+    """Matches whose decision flipped or whose probability moved by more than ``min_shift``."""
+    both = old.select("match_id", F.col("prob").alias("old_prob")).join(
+        new.select("match_id", F.col("prob").alias("new_prob")), "match_id"
+    )
+    out = both.withColumns(
+        {
+            "is_flip": (F.col("old_prob") >= 0.5) != (F.col("new_prob") >= 0.5),
+            "shift": F.col("new_prob") - F.col("old_prob"),
+        }
+    )
+    return out.filter(F.col("is_flip") | (F.abs("shift") > min_shift))
+
+
+def latest_predictions(predictions: DataFrame, key: str) -> DataFrame:
+    """Matchup text, decision and probability; alternative column names of older files are accepted."""
+
+    def either(*names: str) -> Column:
+        known = [F.col(n) for n in names if n in predictions.columns]
+        return F.coalesce(*known) if known else F.lit(None)
+
+    prob = F.coalesce(either("home_win_prob", "prob").cast("double"), F.lit(0.5))
+    leaning = F.when(prob >= 0.5, F.col("home_team")).otherwise(F.col("away_team"))
+    return predictions.select(
+        F.concat_ws(" v ", "home_team", "away_team").alias("matchup"),
+        key,
+        F.coalesce(either("tip", "tipped_team").cast("string"), leaning).alias("decision"),
+        prob.alias("prob"),
+    )

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from duelframe.functions.numbers import clipped, fair_pair, flag, haversine_km, known_share, reciprocal
+from duelframe.functions.text import ELIMINATION_WORDS, FINALS_WORDS, has_any, looked_up, twelve_hour
+from duelframe.schema import numeric
+
 
 def momentum(df: DataFrame) -> DataFrame:
     """Short-against-long form of both sides."""
@@ -14,3 +20,46 @@ def momentum(df: DataFrame) -> DataFrame:
         out[f"{side}_form_momentum_3v5"] = rate[3] - rate[5]
     df = df.withColumns(out)
     return df.withColumn("form_momentum_diff", F.col("home_form_momentum") - F.col("away_form_momentum"))
+
+
+def target(home: str = "home_score", away: str = "away_score") -> Column:
+    """1 home win, 0 away win, NULL for a draw or an unplayed game."""
+    return F.when(F.col(home) > F.col(away), 1).when(F.col(home) < F.col(away), 0)
+
+
+def decided(matches: DataFrame) -> DataFrame:
+    """Played games that did not end in a draw."""
+    return matches.filter(target().isNotNull())
+
+
+def feature_matrix(df: DataFrame, meta: Sequence[str], wanted: Sequence[str]) -> DataFrame:
+    """Meta columns, the wanted features that exist (once each, as numbers) and the target."""
+    present = [c for c in dict.fromkeys(wanted) if c in df.columns]
+    return df.select(*meta, *[numeric(c).alias(c) for c in present], target().alias("home_win"))
+
+
+def long_to_wide(df: DataFrame, keys: Sequence[str], name: str, names: Sequence[str], value: str) -> DataFrame:
+    """Pivot with declared names (no extra pass to find them); repeated values resolve to the smallest."""
+    return df.groupBy(*keys).pivot(name, list(names)).agg(F.min(value))
+
+
+def completed_fixtures(fixtures: DataFrame, states: Sequence[str], state: str = "state", link: str = "link") -> DataFrame:
+    """Fixtures in a final state that have a link to their details."""
+    return fixtures.filter(F.col(state).isin(*states) & F.col(link).isNotNull())
+
+
+def period_slice(matches: DataFrame, year: int, rnd: int) -> DataFrame:
+    """Scored games of one (year, round); prunes partitions of a table laid out by them."""
+    return matches.filter((F.col("year") == year) & (F.col("round") == rnd) & F.col("home_score").isNotNull())
+
+
+def first_source(results: DataFrame, feed: DataFrame, key: str) -> DataFrame:
+    """Rows of the results table, completed by feed rows for keys the results lack."""
+    missing = feed.join(results.select(key), key, "left_anti")
+    return results.withColumn("source", F.lit("results")).unionByName(missing.withColumn("source", F.lit("feed")))
+
+
+def first_in_horizon(events: DataFrame, date: str, days: int, n: int, tie: str = "match_id") -> DataFrame:
+    """The first ``n`` events within ``days`` of the earliest one (a scalar subquery, then top-k)."""
+    start = events.agg(F.min(date).alias("d")).select("d").scalar()
+    return events.filter(F.col(date) <= F.date_add(start, days)).orderBy(date, tie).limit(n)

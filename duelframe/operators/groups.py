@@ -251,3 +251,35 @@ def with_without_by_season(
         F.col("missed").alias("games_missed"),
         (impact * confidence).alias("weighted_impact"),
     )
+
+
+def lineup_changes(expected: DataFrame, appearances: DataFrame, last_slot: int = 13) -> DataFrame:
+    """Slots whose expected holder is missing or replaced (compared by surname), for the sides whose
+    line-up is known."""
+    current = appearances.filter(F.col("is_starter")).select("match_id", "entity_id", "slot", F.col("member_name").alias("actual"))
+    known = current.select("match_id", "entity_id").distinct()
+
+    def surname(c: str) -> Column:
+        return F.lower(F.element_at(F.split(c, " "), -1))
+
+    diff = (
+        expected.filter(F.col("slot") <= last_slot)
+        .join(known, ["match_id", "entity_id"], "left_semi")
+        .join(current, ["match_id", "entity_id", "slot"], "left")
+    )
+    return (
+        diff.filter(F.col("actual").isNull() | (surname("actual") != surname("expected")))
+        .withColumn("change_type", F.when(F.col("actual").isNull(), "MISSING").otherwise("REPLACED"))
+        .select("match_id", "entity_id", "slot", "expected", "actual", "change_type")
+    )
+
+
+def appearance_rows(arrays: DataFrame, keys: Sequence[str], bench_from: int = 14) -> DataFrame:
+    """Line-up and bench arrays as rows: the array position is the slot, the bench starts after the starters."""
+    starters = arrays.select(*keys, F.posexplode("lineup").alias("_at", "member_name")).select(
+        *keys, "member_name", (F.col("_at") + 1).alias("slot"), F.lit(True).alias("is_starter")
+    )
+    bench = arrays.select(*keys, F.posexplode("bench").alias("_at", "member_name")).select(
+        *keys, "member_name", (F.col("_at") + bench_from).alias("slot"), F.lit(False).alias("is_starter")
+    )
+    return starters.unionByName(bench)

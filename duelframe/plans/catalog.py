@@ -1,6 +1,10 @@
 """Importing this module registers every query."""
 
-from duelframe.plans import windows_queries  # noqa: F401
+from duelframe.plans import (  # noqa: F401
+    link_queries,
+    table_queries,
+    windows_queries,
+)
 from duelframe.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
