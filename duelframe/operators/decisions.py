@@ -4,6 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# fixed values: category thresholds on the favourite's probability, and the flip threshold
+LOCK, LEAN, FLIP = 0.65, 0.55, 0.52
+
+
+def category(favourite: str | Column) -> Column:
+    """How close the game is, from the favourite's probability."""
+    p = F.col(favourite) if isinstance(favourite, str) else favourite
+    return F.when(p >= LOCK, "LOCK").when(p >= LEAN, "LEAN").when(p.isNotNull(), "TOSS-UP")
+
 
 def picked_right(prob: str | Column, outcome: str = "home_win", tie_home: bool = True) -> Column:
     """1 when the side the probability favours won; exactly one half goes to the home side by default."""
@@ -84,3 +93,14 @@ def latest_predictions(predictions: DataFrame, key: str) -> DataFrame:
         F.coalesce(either("tip", "tipped_team").cast("string"), leaning).alias("decision"),
         prob.alias("prob"),
     )
+
+
+def best_step(picks: DataFrame, steps: int, by: list[str]) -> DataFrame:
+    """Most accurate blend weight per group, ties to the smaller weight."""
+    grid = picks.select(*by, "model_prob", "odds_prob", "home_win", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("step"))
+    w = F.col("step") * F.lit(1.0 / steps)
+    right = picked_right(w * F.col("model_prob") + (1 - w) * F.col("odds_prob"))
+    scored = grid.groupBy(*by, F.col("step").cast("long").alias("step")).agg((F.sum(right) / F.count(F.lit(1))).alias("accuracy"))
+    return scored.groupBy(*by).agg(
+        F.max_by("step", F.struct("accuracy", (-F.col("step")).alias("s"))).alias("best_step"), F.max("accuracy").alias("best_accuracy")
+    )

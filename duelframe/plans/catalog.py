@@ -1,7 +1,10 @@
 """Importing this module registers every query."""
 
 from duelframe.plans import (  # noqa: F401
+    aggregate_queries,
+    feature_queries,
     link_queries,
+    scalar_queries,
     table_queries,
     windows_queries,
 )
