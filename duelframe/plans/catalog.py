@@ -2,6 +2,7 @@
 
 from duelframe.plans import (  # noqa: F401
     aggregate_queries,
+    decision_queries,
     feature_queries,
     link_queries,
     scalar_queries,

@@ -48,34 +48,54 @@ define(
     "SELECT league, match_id, year AS season, home_id, away_id, home_score, away_score, home_score IS NOT NULL AS played, "
     "row_number() OVER (PARTITION BY league ORDER BY event_date, match_id) AS n FROM matches",
 )
-_FOLD = f"""
-WITH RECURSIVE fold AS (
-  SELECT l.league, 0::BIGINT AS n, NULL::BIGINT AS match_id, list_value({', '.join(['1500.0::DOUBLE'] * 25)}) AS state, NULL::INTEGER AS last_season,
+
+
+def fold_sql(name: str, weight: str) -> str:
+    """One step per game and league; ``weight`` is the margin multiplier."""
+    start = ", ".join(["1500.0::DOUBLE"] * 25)
+    return f"""
+  SELECT l.league, 0::BIGINT AS n, NULL::BIGINT AS match_id, list_value({start}) AS state, NULL::INTEGER AS last_season,
          NULL::DOUBLE AS home_elo, NULL::DOUBLE AS away_elo, NULL::DOUBLE AS home_elo_prob, NULL::DOUBLE AS home_after, NULL::DOUBLE AS away_after
   FROM (SELECT DISTINCT league FROM chain) l
   UNION ALL
   SELECT league, n, match_id,
-         CASE WHEN played THEN list_concat(list_concat(list_concat(list_concat(reg[1:lo], [CASE WHEN lo = home_id THEN h + d ELSE a - d END]), reg[lo + 2:hi]), [CASE WHEN hi = home_id THEN h + d ELSE a - d END]), reg[hi + 2:25]) ELSE state END,
+         CASE WHEN played THEN list_concat(list_concat(list_concat(list_concat(reg[1:lo], [CASE WHEN lo = home_id THEN h + d ELSE a - d END]),
+              reg[lo + 2:hi]), [CASE WHEN hi = home_id THEN h + d ELSE a - d END]), reg[hi + 2:25]) ELSE state END,
          CASE WHEN played THEN season ELSE last_season END, home_elo, away_elo, home_elo_prob,
          CASE WHEN played THEN h + d END, CASE WHEN played THEN a - d END
   FROM (
-    SELECT *, 20.0::DOUBLE * (CASE WHEN home_score > away_score THEN 1.0 WHEN home_score < away_score THEN 0.0 ELSE 0.5 END
+    SELECT *, 20.0::DOUBLE * {weight} * (CASE WHEN home_score > away_score THEN 1.0 WHEN home_score < away_score THEN 0.0 ELSE 0.5 END
               - 1 / (1 + power(10::DOUBLE, (a - h - 50) / 400))) AS d
     FROM (SELECT *, reg[home_id + 1] AS h, reg[away_id + 1] AS a FROM (
       SELECT c.*, f.state, f.last_season, f.state[c.home_id + 1] AS home_elo, f.state[c.away_id + 1] AS away_elo,
              least(c.home_id, c.away_id) AS lo, greatest(c.home_id, c.away_id) AS hi,
              1 / (1 + power(10::DOUBLE, (f.state[c.away_id + 1] - f.state[c.home_id + 1] - 50) / 400)) AS home_elo_prob,
              [{_REG} FOR r IN f.state] AS reg
-      FROM fold f JOIN chain c ON c.league = f.league AND c.n = f.n + 1))))
-"""
+      FROM {name} f JOIN chain c ON c.league = f.league AND c.n = f.n + 1)))"""
+
+
+define("fold", fold_sql("fold", "1"))
+define("fold_log", fold_sql("fold_log", "ln(greatest(abs(home_score - away_score), 1) + 1)"))
+_RATING = "home_elo away_elo home_elo_prob elo_diff"
 
 
-@query("rt05_rating_backfill")
+@query(
+    "rt05_rating_backfill",
+    "SELECT match_id, home_elo, away_elo, home_elo_prob, home_elo - away_elo AS elo_diff FROM fold WHERE n > 0",
+    _RATING,
+)
 def rt05(spark, sf):
     return R.rating_features(R.rate(A.matches(spark, sf)))
 
 
-@query("rt06_rating_history")
+@query(
+    "rt06_rating_history",
+    """
+SELECT c.league, c.match_id, c.season AS year, true AS is_home, c.home_id AS entity_id, c.away_id AS opponent_id, f.home_elo AS rating_before, f.home_after AS rating_after
+FROM fold_log f JOIN chain c USING (match_id) WHERE f.home_after IS NOT NULL UNION ALL
+SELECT c.league, c.match_id, c.season, false, c.away_id, c.home_id, f.away_elo, f.away_after FROM fold_log f JOIN chain c USING (match_id) WHERE f.home_after IS NOT NULL""",
+    "rating_before rating_after",
+)
 def rt06(spark, sf):
     return R.rating_history(R.rate(A.matches(spark, sf), [R.RatingParams(margin="log")])).drop("config")
 
@@ -88,7 +108,13 @@ def rt07(spark, sf):
     return R.parameter_losses(A.matches(spark, sf), GRID, 1997, 2000)
 
 
-@query("rt08_expected_log")
+@query(
+    "rt08_expected_log",
+    """
+SELECT l.match_id, l.side, l.entity_id, l.result, l.margin, CASE WHEN l.side = 'home' THEN f.home_elo_prob ELSE 1 - f.home_elo_prob END AS expected
+FROM log l JOIN fold f USING (match_id)""",
+    "expected",
+)
 def rt08(spark, sf):
     rated = R.rate(A.matches(spark, sf))
     return R.expected_log(log(spark, sf), rated).select("match_id", "side", "entity_id", "result", "margin", "expected")
@@ -228,7 +254,7 @@ _FE06 = {
 }
 
 
-@query("fe06_season_interactions", "SELECT match_id, " + ", ".join(f"{e} AS {n}" for n, e in _FE06.items()) + " FROM composed", " ".join(_FE06))
+@query("fe06_season_interactions", "SELECT match_id, " + ", ".join(f"{e} AS {n}" for n, e in _FE06.items()) + " FROM composed", " ".join(_FE06), places=9)
 def fe06(spark, sf):
     return X.season_interactions(X.momentum(composed(spark, sf))).select("match_id", *_FE06)
 

@@ -14,15 +14,15 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, r6: str = "", needs_rounding: bool = True):
+def query(name: str, sql: str | None = None, r6: str = "", places: int = 6):
     """Register a query; ``sql`` is the body of its check, ``r6`` its rounded columns."""
 
     def keep(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = (lambda spark, sf: rounded(fn(spark, sf))) if needs_rounding else fn
+        QUERIES[name] = lambda spark, sf: rounded(fn(spark, sf), places)
         if sql is not None:
-            SQL[name] = check_sql(sql, r6)
+            SQL[name] = check_sql(sql, r6, places)
         return fn
 
     return keep

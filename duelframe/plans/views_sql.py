@@ -109,10 +109,13 @@ def _needs(sql: str) -> list[str]:
     return [n for n in CTE if n in words]
 
 
-def check_sql(body: str, r6: str = "") -> str:
+RECURSIVE = {"fold", "fold_log"}
+
+
+def check_sql(body: str, r6: str = "", places: int = 6) -> str:
     """A full statement: the views the body names, in order, then the body.
 
-    ``r6`` lists output columns rounded to six places (and freed of negative zero).
+    ``r6`` lists output columns rounded to ``places`` (and freed of negative zero).
     """
     ordered: list[str] = []
 
@@ -125,7 +128,8 @@ def check_sql(body: str, r6: str = "") -> str:
 
     visit(body, ())
     if r6:
-        marks = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in r6.split())
+        marks = ", ".join(f"round({c}, {places}) + 0.0 AS {c}" for c in r6.split())
         body = f"SELECT * REPLACE ({marks}) FROM ({body})"
     views = ", ".join(f"{n} AS ({CTE[n].strip()})" for n in ordered)
-    return f"WITH {views} {body}" if ordered else body
+    kind = "WITH RECURSIVE" if RECURSIVE & set(ordered) else "WITH"
+    return f"{kind} {views} {body}" if ordered else body
