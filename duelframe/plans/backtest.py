@@ -1,10 +1,387 @@
-"""Walk-forward training, calibration and stacking on MLlib."""
+"""Walk-forward training, selection, calibration and stacking on MLlib.
+
+Every fitted step (imputation, scaling, selection, model, calibration, stacking) sees only seasons
+before the one it scores. Folds are filters on one assembled table that is cut from its lineage
+once; a fold's rows are never brought to the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import json
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
+
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.classification import (
+    GBTClassifier,
+    LogisticRegression,
+    MultilayerPerceptronClassifier,
+    RandomForestClassifier,
+)
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from duelframe.operators.imputation import clamp_openers, coherent_prices, recency_weight
+from duelframe.operators.metrics import fold_means, log_loss_of, probability_metrics
+from duelframe.session import cut_lineage
+
+Factory = Callable[[str], Estimator]
 
 
 def market_model(df: DataFrame, prob: str, default: float = 0.55) -> DataFrame:
     """The market as a model of the long table; a missing price is the usual home-win rate."""
     return df.withColumns({"model": F.lit("market"), "prob": F.coalesce(F.col(prob), F.lit(default))})
+
+
+def boosted(depth: int = 4, rounds: int = 20, step: float = 0.1, share: str = "all", rate: float = 0.8) -> Factory:
+    """Weighted gradient-boosted trees."""
+    return lambda features: GBTClassifier(
+        featuresCol=features, labelCol="label", weightCol="weight", maxDepth=depth, maxIter=rounds, stepSize=step,
+        featureSubsetStrategy=share, subsamplingRate=rate, seed=7,
+    )
+
+
+def forest(trees: int = 40, depth: int = 6) -> Factory:
+    return lambda features: RandomForestClassifier(
+        featuresCol=features, labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth,
+        featureSubsetStrategy="sqrt", minInstancesPerNode=25, seed=7,
+    )
+
+
+class ScaledLogistic:
+    """Standardised logistic regression; the penalty is set per training slice from its total weight."""
+
+    def __init__(self, c: float = 1.0):
+        self.c = c
+
+    def stages(self, features: str, total_weight: float) -> list[Estimator]:
+        scaler = StandardScaler(inputCol=features, outputCol="scaled", withMean=True, withStd=True)
+        model = LogisticRegression(
+            featuresCol="scaled", labelCol="label", weightCol="weight", regParam=1.0 / (self.c * max(total_weight, 1.0)), standardization=False
+        )
+        return [scaler, model]
+
+
+MODELS: dict[str, Factory | ScaledLogistic] = {
+    "boosted_shallow": boosted(3, 20),
+    "boosted_deep": boosted(5, 15),
+    "boosted_sqrt": boosted(4, 20, share="sqrt"),
+    "forest": forest(),
+    "logistic": ScaledLogistic(),
+}
+
+
+@dataclass
+class Dataset:
+    """Assembled feature table: ids, season, label, market probability, weight and features."""
+
+    df: DataFrame
+    features: list[str]
+    seasons: list[int] = field(default_factory=list)
+
+    @classmethod
+    def build(
+        cls, df: DataFrame, features: Sequence[str], market: str, decay: float = 0.92, drop_undecided: bool = True
+    ) -> Dataset:
+        """Draws and unplayed games leave the training data; prices are filled coherently first."""
+        prepared = coherent_prices(clamp_openers(df))
+        rows = prepared.select(
+            "match_id",
+            F.col("year").alias("season"),
+            F.col("home_win").cast("double").alias("label"),
+            F.coalesce(F.col(market), F.lit(0.55)).alias("market"),
+            *[F.col(c).cast("double").alias(c) for c in features],
+        )
+        if drop_undecided:
+            rows = rows.filter(F.col("label").isNotNull())
+        rows = cut_lineage(recency_weight(rows, decay, "season"))
+        seasons = [r["season"] for r in rows.select("season").distinct().orderBy("season").collect()]  # one per year
+        return cls(rows, list(features), seasons)
+
+    def only(self, features: Sequence[str]) -> Dataset:
+        """The same rows with a column mask, for ablations and sweeps."""
+        return Dataset(self.df, list(features), self.seasons)
+
+
+def _prepare(features: Sequence[str]) -> list[Estimator]:
+    """Median imputation fitted on the training slice, then one vector."""
+    filled = [f"_{c}" for c in features]
+    return [
+        Imputer(strategy="median", relativeError=0.001, inputCols=list(features), outputCols=filled),
+        VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep"),
+    ]
+
+
+def _fit(train: DataFrame, features: Sequence[str], model: Factory | ScaledLogistic) -> PipelineModel:
+    known = [c for c in features if c]
+    stages = _prepare(known)
+    if isinstance(model, ScaledLogistic):
+        total = train.agg(F.sum("weight")).first()[0] or 1.0
+        stages += model.stages("features", total)
+    else:
+        stages.append(model("features"))
+    return Pipeline(stages=stages).fit(train)
+
+
+def _scored(fitted: PipelineModel, test: DataFrame) -> DataFrame:
+    return fitted.transform(test).select(
+        "match_id", "season", "label", "market", vector_to_array("probability")[1].alias("prob")
+    )
+
+
+def importances(fitted: PipelineModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
+    """Feature importances of the fitted trees as a table."""
+    values = fitted.stages[-1].featureImportances.toArray().tolist()
+    return spark.createDataFrame(list(zip(features, values)), "feature string, importance double")
+
+
+def top_features(train: DataFrame, features: Sequence[str], n: int, model: Factory | None = None) -> list[str]:
+    """Names of the ``n`` most important features of a model fitted on the training slice only."""
+    fitted = _fit(train, features, model or boosted(3, 5))
+    ranked = importances(fitted, features, train.sparkSession).orderBy(F.desc("importance"), "feature").limit(n)
+    return [r["feature"] for r in ranked.collect()]  # at most n names
+
+
+def walk_forward(
+    data: Dataset,
+    models: Mapping[str, Factory | ScaledLogistic],
+    test_seasons: Sequence[int] | None = None,
+    top_n: int | None = None,
+) -> DataFrame:
+    """Out-of-fold probabilities of every model, as one long table (model, fold, match, prob, label).
+
+    Train on all seasons before the fold's, test on the fold's; a fold without training or test rows
+    is skipped. With ``top_n`` each fold selects its features from its own training rows.
+    """
+    parts: list[DataFrame] = []
+    for season in test_seasons or data.seasons[1:]:
+        if season not in data.seasons or season == data.seasons[0]:
+            continue
+        train, test = data.df.filter(F.col("season") < season), data.df.filter(F.col("season") == season)
+        features = top_features(train, data.features, top_n) if top_n else data.features
+        for name, model in models.items():
+            parts.append(_scored(_fit(train, features, model), test).withColumn("model", F.lit(name)))
+        parts.append(
+            test.select("match_id", "season", "label", "market", F.col("market").alias("prob"), F.lit("market").alias("model"))
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.withColumnRenamed("season", "fold")
+
+
+def fold_scores(oof: DataFrame) -> DataFrame:
+    """Mean of the per-fold metrics per model."""
+    return fold_means(probability_metrics(oof, ["model", "fold"]), ["model"], ["accuracy", "log_loss", "brier"])
+
+
+def calibrated(oof: DataFrame) -> DataFrame:
+    """Isotonic calibration of each model fitted on its earlier folds, within [0.01, 0.99]; the first
+    fold passes through and the market stays as it is."""
+    folds = [r["fold"] for r in oof.select("fold").distinct().orderBy("fold").collect()]
+    names = [r["model"] for r in oof.filter("model <> 'market'").select("model").distinct().collect()]
+    out = oof.filter((F.col("model") == "market") | (F.col("fold") == folds[0]))
+    for name in names:
+        mine = oof.filter(F.col("model") == name)
+        for fold in folds[1:]:
+            fitted = IsotonicRegression(featuresCol="prob", labelCol="label", predictionCol="_iso").fit(
+                mine.filter(F.col("fold") < fold).select("prob", "label")
+            )
+            scored = fitted.transform(mine.filter(F.col("fold") == fold))
+            out = out.unionByName(
+                scored.withColumn("prob", F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("_iso")))).drop("_iso")
+            )
+    return out
+
+
+def stacked(oof: DataFrame, models: Sequence[str], network: bool = False) -> DataFrame:
+    """A second-level model on the first-level probabilities of earlier folds; the first fold is the
+    plain mean."""
+    wide = oof.groupBy("match_id", "fold", "label", "market").pivot("model", list(models)).agg(F.max("prob"))
+    columns = [*models, "market"]
+    folds = [r["fold"] for r in oof.select("fold").distinct().orderBy("fold").collect()]
+    assembler = VectorAssembler(inputCols=columns, outputCol="stack", handleInvalid="skip")
+    rows = assembler.transform(wide)
+    mean = sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)
+    keep = ["match_id", "fold", "label", "market"]
+    out = rows.filter(F.col("fold") == folds[0]).select(*keep, mean.alias("prob"))
+    for fold in folds[1:]:
+        learner = (
+            MultilayerPerceptronClassifier(featuresCol="stack", labelCol="label", layers=[len(columns), 32, 16, 2], maxIter=60, seed=7)
+            if network
+            else LogisticRegression(featuresCol="stack", labelCol="label")
+        )
+        fitted = learner.fit(rows.filter(F.col("fold") < fold))
+        scored = fitted.transform(rows.filter(F.col("fold") == fold))
+        out = out.unionByName(scored.select(*keep, vector_to_array("probability")[1].alias("prob")))
+    return out.withColumn("model", F.lit("stack_network" if network else "stack"))
+
+
+META = ["prob", "market", "prob_x_market", "gap", "abs_gap", "sure"]
+
+
+def meta_features(df: DataFrame) -> DataFrame:
+    """Inputs of the final learner: model and market probability and how they differ."""
+    p, m = F.col("prob"), F.col("market")
+    return df.withColumns(
+        {"prob_x_market": p * m, "gap": p - m, "abs_gap": F.abs(p - m), "sure": F.greatest(m, 1 - m)}
+    )
+
+
+def cross_fitted(data: Dataset, model: Factory, folds: int = 5, seed: int = 7) -> DataFrame:
+    """K-fold probabilities inside one slice; the fold is a hash of the match id, so it is stable."""
+    rows = data.df.withColumn("_k", F.pmod(F.xxhash64("match_id", F.lit(seed)), F.lit(folds)))
+    parts = [
+        _scored(_fit(rows.filter(F.col("_k") != k), data.features, model), rows.filter(F.col("_k") == k))
+        for k in range(folds)
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@dataclass
+class Trained:
+    """Artifacts of a production fit."""
+
+    model: PipelineModel
+    meta: PipelineModel
+    calibration: object
+    features: list[str]
+
+
+def _meta_pipeline() -> Pipeline:
+    return Pipeline(
+        stages=[
+            VectorAssembler(inputCols=META, outputCol="meta", handleInvalid="keep"),
+            LogisticRegression(featuresCol="meta", labelCol="label"),
+        ]
+    )
+
+
+def train_final(data: Dataset, top_n: int = 30, model: Factory | None = None) -> Trained:
+    """Recency-weighted fit on the strongest features, with a second-level learner fitted on k-fold
+    probabilities and an isotonic calibration of them."""
+    model = model or boosted()
+    features = top_features(data.df, data.features, top_n)
+    chosen = data.only(features)
+    inner = cut_lineage(cross_fitted(chosen, model))
+    meta = _meta_pipeline().fit(meta_features(inner))
+    calibration = IsotonicRegression(featuresCol="prob", labelCol="label", predictionCol="_iso").fit(inner.select("prob", "label"))
+    return Trained(_fit(data.df, features, model), meta, calibration, features)
+
+
+def score(artifacts: Trained, rows: DataFrame, sparse_above: float = 0.4, model_weight: float = 0.25) -> DataFrame:
+    """Probabilities for upcoming games: the learned blend, or the plain weighted one where more than
+    ``sparse_above`` of the features are missing; then calibrated within [0.01, 0.99]."""
+    gaps = sum((F.col(c).isNull().cast("int") for c in artifacts.features), F.lit(0)) / F.lit(float(len(artifacts.features)))
+    base = rows.withColumn("_gaps", gaps)
+    first = artifacts.model.transform(base).withColumn("prob", vector_to_array("probability")[1])
+    first = artifacts.calibration.transform(first.drop("rawPrediction", "probability", "prediction")).withColumn(
+        "prob", F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("_iso")))
+    )
+    second = artifacts.meta.transform(meta_features(first))
+    learned = vector_to_array("probability")[1]
+    plain = model_weight * F.col("prob") + (1 - model_weight) * F.col("market")
+    final = F.when(F.col("_gaps") > sparse_above, plain).otherwise(learned)
+    return second.select(
+        "match_id", F.col("prob").alias("model_prob"), "market", final.alias("home_win_prob"), (final >= 0.5).alias("tip_home")
+    )
+
+
+def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Order-free digest of a table: xor and count of the row hashes, in one combined aggregate."""
+    return df.agg(F.bit_xor(F.xxhash64(*columns)).alias("digest"), F.count(F.lit(1)).alias("rows"))
+
+
+def _spark_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def save_artifacts(artifacts: Trained, path: str, digest: DataFrame) -> None:
+    """Model, second level, calibration, feature names and the digest of the data they were fitted on."""
+    artifacts.model.write().overwrite().save(f"{path}/model")
+    artifacts.meta.write().overwrite().save(f"{path}/meta")
+    artifacts.calibration.write().overwrite().save(f"{path}/calibration")
+    notes = digest.withColumn("features", F.lit(json.dumps(artifacts.features)))
+    notes.coalesce(1).write.mode("overwrite").json(f"{path}/notes")
+
+
+def load_artifacts(spark: SparkSession, path: str, digest: DataFrame | None = None) -> Trained | None:
+    """Stored artifacts, or None when there are none or the data has changed since."""
+    from pyspark.ml.regression import IsotonicRegressionModel
+
+    notes_path = _spark_path(spark, f"{path}/notes")
+    if not notes_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(notes_path):
+        return None
+    notes = spark.read.json(f"{path}/notes").first()
+    if digest is not None:
+        now = digest.first()
+        if (now["digest"], now["rows"]) != (notes["digest"], notes["rows"]):
+            return None
+    return Trained(
+        PipelineModel.load(f"{path}/model"),
+        PipelineModel.load(f"{path}/meta"),
+        IsotonicRegressionModel.load(f"{path}/calibration"),
+        json.loads(notes["features"]),
+    )
+
+
+def drop_stale(spark: SparkSession, folders: Sequence[str], digest: DataFrame) -> list[str]:
+    """Delete stored artifacts whose digest differs from the data's; returns the folders removed."""
+    now = digest.first()
+    removed = []
+    for folder in folders:
+        notes = spark.read.json(f"{folder}/notes").first()
+        if (notes["digest"], notes["rows"]) != (now["digest"], now["rows"]):
+            target = _spark_path(spark, folder)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            removed.append(folder)
+    return removed
+
+
+def tuned(data: Dataset, grid: Mapping[str, Factory | ScaledLogistic], test_seasons: Sequence[int]) -> DataFrame:
+    """Walk-forward score of every configuration, best first (folds are ordered in time)."""
+    return fold_scores(walk_forward(data, grid, test_seasons)).filter("model <> 'market'").orderBy("log_loss", "model")
+
+
+def _labelled(parts: Mapping[str, DataFrame]) -> DataFrame:
+    out = None
+    for label, part in parts.items():
+        one = part.withColumn("variant", F.lit(label))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def feature_count_sweep(data: Dataset, model: Factory, counts: Sequence[int], test_seasons: Sequence[int]) -> DataFrame:
+    """Scores with the strongest N features, for several N, selected inside each fold."""
+    return _labelled(
+        {f"top_{n}": fold_scores(walk_forward(data, {"model": model}, test_seasons, n)) for n in counts}
+    )
+
+
+def ablation(
+    data: Dataset, model: Factory | ScaledLogistic, groups: Mapping[str, Sequence[str]], test_seasons: Sequence[int]
+) -> DataFrame:
+    """Scores with all features and with each group left out."""
+    variants = {"all": data} | {
+        f"without_{g}": data.only([c for c in data.features if c not in set(cols)]) for g, cols in groups.items()
+    }
+    return _labelled({n: fold_scores(walk_forward(d, {"model": model}, test_seasons)) for n, d in variants.items()})
+
+
+def side_test(
+    a: Dataset, b: Dataset, model: Factory | ScaledLogistic, test_seasons: Sequence[int], weights: Sequence[float]
+) -> DataFrame:
+    """Two feature sets under the same folds: right decisions per season and blend weight."""
+    both = _labelled({n: walk_forward(d, {"model": model}, test_seasons).filter("model = 'model'") for n, d in (("a", a), ("b", b))})
+    w = F.explode(F.array(*[F.lit(float(x)) for x in weights]))
+    p = F.col("weight") * F.col("prob") + (1 - F.col("weight")) * F.col("market")
+    return both.withColumn("weight", w).groupBy("variant", "fold", "weight").agg(
+        F.count_if((p >= 0.5) == (F.col("label") == 1)).alias("correct"),
+        F.count(F.lit(1)).alias("games"),
+        F.avg(log_loss_of(p, F.col("label"))).alias("log_loss"),
+    )

@@ -5,7 +5,9 @@ from duelframe.plans import (  # noqa: F401
     decision_queries,
     feature_queries,
     link_queries,
+    model_queries,
     scalar_queries,
+    source_queries,
     table_queries,
     windows_queries,
 )

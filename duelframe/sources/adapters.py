@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event per order between the customer's nation (home) and a derived other nation (away)."""
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"
-    )
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return matches_from(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
+def matches_from(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """The match view over given (batch or streaming) orders."""
+    orders = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    customer = customer.select("c_custkey", "c_nationkey")
     day = F.col("o_orderdate").cast("date")
     key, cents = F.col("o_orderkey"), F.col("cents")
     return (

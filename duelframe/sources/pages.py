@@ -65,11 +65,12 @@ def page_header(pages: DataFrame, key: str = "page_id", html: str = "html", url:
 
 
 def landed_pages(spark, folder: str) -> DataFrame:
-    """Whole landed page files with year and round read off their path ``.../YEAR/round-N.html``."""
+    """Whole landed page files with year and round read off their path ``.../year=YYYY/round=N/...``;
+    periods that were never landed are simply absent."""
     raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
     path = F.input_file_name()
     return raw.select(
-        F.regexp_extract(path, r"/(\d{4})/", 1).try_cast("int").alias("year"),
-        _found(path, r"/round-([^/.]+)\.html$").alias("round"),
+        F.regexp_extract(path, r"/year=(\d{4})/", 1).try_cast("int").alias("year"),
+        _found(path, r"/round=([^/]+)/").alias("round"),
         F.col("value").alias("html"),
     )
