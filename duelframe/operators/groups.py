@@ -77,7 +77,8 @@ def expected_starters(appearances: DataFrame, n: int = 5, max_rows: int | None =
     smallest id.
 
     Every starter row is sent to the next ``n`` match ordinals of its participant, which turns the
-    range join into an equi-aggregate spread over (participant, ordinal, slot).
+    range join into counts spread over (participant, ordinal, slot): one shuffle serves both the
+    counts and the choice among them.
     """
     games = appearances.select("entity_id", "match_id", "event_date").distinct()
     ordinal = running(games, measure(games, ["entity_id"], max_rows=max_rows), {"ordinal": ("count", F.lit(1))})
@@ -88,8 +89,11 @@ def expected_starters(appearances: DataFrame, n: int = 5, max_rows: int | None =
         "member_id",
         F.explode(F.sequence(F.col("ordinal") + 1, F.col("ordinal") + n)).alias("ordinal"),
     )
-    counts = ahead.groupBy("entity_id", "ordinal", "slot").agg(F.mode("member_id", True).alias("expected_member"))
-    return counts.join(ordinal.select("entity_id", "match_id", "ordinal"), ["entity_id", "ordinal"]).select(
+    spot = ["entity_id", "ordinal", "slot"]
+    counts = ahead.repartition(*spot).groupBy(*spot, "member_id").agg(F.count(F.lit(1)).alias("held"))
+    usual = F.row_number().over(Window.partitionBy(*spot).orderBy(F.desc("held"), "member_id"))
+    chosen = counts.withColumn("_rn", usual).filter(F.col("_rn") == 1).select(*spot, F.col("member_id").alias("expected_member"))
+    return chosen.join(ordinal.select("entity_id", "match_id", "ordinal"), ["entity_id", "ordinal"]).select(
         "entity_id", "match_id", "slot", "expected_member"
     )
 

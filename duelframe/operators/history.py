@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, t
 MAX_ROWS_CONF = "duelframe.maxRowsPerHistory"
 DEFAULT_MAX_ROWS = 2_000_000
 _CELL = ["_cell_day", "_cell_id"]
+_MEASURED: dict[tuple, Layout] = {}
 
 
 @dataclass(frozen=True)
@@ -70,9 +71,20 @@ def measure(
     tie: str = "match_id",
     max_rows: int | None = None,
 ) -> Layout:
-    """Pick a layout from the size of the largest history and of its fullest day."""
+    """Pick a layout from the size of the largest history and of its fullest day.
+
+    The answer is remembered per plan: a stale one would still be exact, only cut too coarsely.
+    """
     spark = df.sparkSession
     limit = max_rows or int(spark.conf.get(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS)))
+    sized = df.select(*keys, date, tie)
+    known = (spark, sized.semanticHash(), tuple(keys), date, tie, limit)
+    if known not in _MEASURED:
+        _MEASURED[known] = _measure(sized, keys, date, tie, limit)
+    return _MEASURED[known]
+
+
+def _measure(df: DataFrame, keys: Sequence[str], date: str, tie: str, limit: int) -> Layout:
     dates = _is_date(df, date)
     step = 1 if dates else 60
     tick = F.floor(_clock(df, date) / F.lit(step)) * F.lit(step)
@@ -145,13 +157,11 @@ def _halo(cut: DataFrame, layout: Layout, depth: int, carry: Column | None) -> D
         .filter(F.col("_rn") <= depth)
         .groupBy(*layout.keys, *_CELL)
         .agg(
-            F.sort_array(
+            F.array_sort(
                 F.collect_list(
-                    F.when(
-                        F.col("_carry"),
-                        F.struct((-F.col("_rn")).alias("_at"), F.struct(*payload).alias("_row")),
-                    )
-                )
+                    F.when(F.col("_carry"), F.struct(F.col("_rn").alias("_rn"), F.struct(*payload).alias("_row")))
+                ),
+                lambda a, b: b["_rn"] - a["_rn"],  # oldest first; rows may hold types without an order
             ).alias("_tail")
         )
         .withColumn("_full", F.size("_tail") > 0)

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from duelframe.operators.history import measure
 from duelframe.operators.sides import team_log
 from duelframe.sources import adapters as A
+from duelframe.sources.adapters import view
 
 
+@view
 def log(spark: SparkSession, sf: str) -> DataFrame:
     return team_log(
         A.matches(spark, sf),
@@ -18,6 +20,7 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@view
 def stats_log(spark: SparkSession, sf: str) -> DataFrame:
     return log(spark, sf).join(A.side_stats(spark, sf), ["match_id", "side"], "left")
 
@@ -26,6 +29,7 @@ def per_entity(df: DataFrame):
     return measure(df, ["entity_id"])
 
 
+@view
 def member_games(spark: SparkSession, sf: str) -> DataFrame:
     """Appearances with the member's own quantity in the match (``minutes`` stands for it)."""
     own = (

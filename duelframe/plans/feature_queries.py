@@ -50,30 +50,48 @@ define(
 )
 
 
-def fold_sql(name: str, weight: str) -> str:
-    """One step per game and league; ``weight`` is the margin multiplier."""
+def fold_sql(name: str, weight: str, k: str = "20.0::DOUBLE", bonus: str = "50", chain: str = "chain", keys: str = "league") -> str:
+    """One step per game and chain; ``weight`` is the margin multiplier, ``keys`` identify a chain."""
     start = ", ".join(["1500.0::DOUBLE"] * 25)
+    on = " AND ".join(f"c.{key} = f.{key}" for key in keys.split(", "))
     return f"""
-  SELECT l.league, 0::BIGINT AS n, NULL::BIGINT AS match_id, list_value({start}) AS state, NULL::INTEGER AS last_season,
+  SELECT {keys}, 0::BIGINT AS n, NULL::BIGINT AS match_id, list_value({start}) AS state, NULL::INTEGER AS last_season,
          NULL::DOUBLE AS home_elo, NULL::DOUBLE AS away_elo, NULL::DOUBLE AS home_elo_prob, NULL::DOUBLE AS home_after, NULL::DOUBLE AS away_after
-  FROM (SELECT DISTINCT league FROM chain) l
+  FROM (SELECT DISTINCT {keys} FROM {chain}) l
   UNION ALL
-  SELECT league, n, match_id,
+  SELECT {keys}, n, match_id,
          CASE WHEN played THEN list_concat(list_concat(list_concat(list_concat(reg[1:lo], [CASE WHEN lo = home_id THEN h + d ELSE a - d END]),
               reg[lo + 2:hi]), [CASE WHEN hi = home_id THEN h + d ELSE a - d END]), reg[hi + 2:25]) ELSE state END,
          CASE WHEN played THEN season ELSE last_season END, home_elo, away_elo, home_elo_prob,
          CASE WHEN played THEN h + d END, CASE WHEN played THEN a - d END
   FROM (
-    SELECT *, 20.0::DOUBLE * {weight} * (CASE WHEN home_score > away_score THEN 1.0 WHEN home_score < away_score THEN 0.0 ELSE 0.5 END
-              - 1 / (1 + power(10::DOUBLE, (a - h - 50) / 400))) AS d
+    SELECT *, {k} * {weight} * (CASE WHEN home_score > away_score THEN 1.0 WHEN home_score < away_score THEN 0.0 ELSE 0.5 END
+              - 1 / (1 + power(10::DOUBLE, (a - h - {bonus}) / 400))) AS d
     FROM (SELECT *, reg[home_id + 1] AS h, reg[away_id + 1] AS a FROM (
       SELECT c.*, f.state, f.last_season, f.state[c.home_id + 1] AS home_elo, f.state[c.away_id + 1] AS away_elo,
              least(c.home_id, c.away_id) AS lo, greatest(c.home_id, c.away_id) AS hi,
-             1 / (1 + power(10::DOUBLE, (f.state[c.away_id + 1] - f.state[c.home_id + 1] - 50) / 400)) AS home_elo_prob,
+             1 / (1 + power(10::DOUBLE, (f.state[c.away_id + 1] - f.state[c.home_id + 1] - {bonus}) / 400)) AS home_elo_prob,
              [{_REG} FOR r IN f.state] AS reg
-      FROM {name} f JOIN chain c ON c.league = f.league AND c.n = f.n + 1)))"""
+      FROM {name} f JOIN {chain} c ON {on} AND c.n = f.n + 1)))"""
 
 
+define(
+    "chain_grid",
+    """
+SELECT c.*, CAST(ki * 4 + hi * 2 + mi AS INTEGER) AS config, [10.0::DOUBLE, 20.0::DOUBLE, 40.0::DOUBLE][ki + 1] AS kf, hi * 50.0::DOUBLE AS ha, mi
+FROM chain c CROSS JOIN range(0, 3) a(ki) CROSS JOIN range(0, 2) b(hi) CROSS JOIN range(0, 2) e(mi)""",
+)
+define(
+    "fold_grid",
+    fold_sql("fold_grid", "CASE WHEN mi = 1 THEN ln(greatest(abs(home_score - away_score), 1) + 1) ELSE 1 END", "kf", "ha", "chain_grid", "config, league"),
+)
+define(
+    "grid_loss",
+    """
+SELECT config, avg(-(y * ln(greatest(1e-7, least(1 - 1e-7, p))) + (1 - y) * ln(1 - greatest(1e-7, least(1 - 1e-7, p))))) AS log_loss, count(*) AS games
+FROM (SELECT f.config, f.home_elo_prob AS p, CASE WHEN c.home_score > c.away_score THEN 1 WHEN c.home_score < c.away_score THEN 0 END AS y
+      FROM fold_grid f JOIN chain c USING (match_id) WHERE c.season BETWEEN 1997 AND 2000) WHERE y IS NOT NULL GROUP BY 1""",
+)
 define("fold", fold_sql("fold", "1"))
 define("fold_log", fold_sql("fold_log", "ln(greatest(abs(home_score - away_score), 1) + 1)"))
 _RATING = "home_elo away_elo home_elo_prob elo_diff"
@@ -103,7 +121,7 @@ def rt06(spark, sf):
 GRID = [R.RatingParams(k=k, home_advantage=h, margin=m) for k in (10.0, 20.0, 40.0) for h in (0.0, 50.0) for m in ("none", "log")]
 
 
-@query("rt07_parameter_search")
+@query("rt07_parameter_search", "SELECT * FROM grid_loss", "log_loss")
 def rt07(spark, sf):
     return R.parameter_losses(A.matches(spark, sf), GRID, 1997, 2000)
 
@@ -120,7 +138,14 @@ def rt08(spark, sf):
     return R.expected_log(log(spark, sf), rated).select("match_id", "side", "entity_id", "result", "margin", "expected")
 
 
-@query("rt09_best_parameters")
+@query(
+    "rt09_best_parameters",
+    """
+SELECT g.config, g.log_loss, c.kf AS k, c.ha AS home_advantage, CASE WHEN c.mi = 1 THEN 'log' ELSE 'none' END AS margin, 1500.0::DOUBLE AS initial, 0.75::DOUBLE AS keep,
+       10.0::DOUBLE AS margin_divisor, false AS reset_before_read
+FROM (SELECT * FROM grid_loss ORDER BY log_loss, config LIMIT 1) g JOIN (SELECT DISTINCT config, kf, ha, mi FROM chain_grid) c USING (config)""",
+    "log_loss",
+)
 def rt09(spark, sf):
     return R.best_parameters(R.parameter_losses(A.matches(spark, sf), GRID, 1997, 2000), GRID)
 

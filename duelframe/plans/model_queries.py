@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duelframe.operators import features as X, imputation as I, strategies as S
-from duelframe.plans import backtest as B, feature_table as FT
+from duelframe.plans import backtest as B, feature_queries, feature_table as FT  # noqa: F401
 from duelframe.plans.registry import query
 from duelframe.sources import adapters as A
 
@@ -112,7 +112,21 @@ def ml16(spark, sf):
 _TABLE = ["home_elo", "away_elo", "elo_diff", "home_strength", "strength_diff", "season_data_reliability", "home_finals_pressure", "is_night_game", "prob_shift"]
 
 
-@query("ml17_feature_table")
+_STRENGTH = "0.4::DOUBLE * {p} + 0.3::DOUBLE * coalesce({s}_win_rate_5, 0.5) + 0.3::DOUBLE * (1 - coalesce({s}_position, 9) / 17)"
+_HOME, _AWAY = _STRENGTH.format(p="f.home_elo_prob", s="home"), _STRENGTH.format(p="(1 - f.home_elo_prob)", s="away")
+
+
+@query(
+    "ml17_feature_table",
+    f"""
+SELECT c.match_id, m.year, f.home_elo, f.away_elo, f.home_elo - f.away_elo AS elo_diff, {_HOME} AS home_strength, ({_HOME}) - ({_AWAY}) AS strength_diff,
+       coalesce(CASE WHEN c.round_number IS NOT NULL THEN least(c.round_number, 8) END / 8, 0.5) AS season_data_reliability,
+       (coalesce(home_position, 8) - 8) * (1 - greatest(0, least(1, 1 - coalesce(c.round_number, 1) / 27))) AS home_finals_pressure,
+       CAST(m.kickoff_time LIKE '%PM' AND CAST(split_part(m.kickoff_time, ':', 1) AS INTEGER) BETWEEN 6 AND 11 AND m.kickoff_time IS NOT NULL AS DOUBLE) AS is_night_game,
+       1 / h2h_home_close - 1 / h2h_home_open AS prob_shift, CASE WHEN m.home_score > m.away_score THEN 1 WHEN m.home_score < m.away_score THEN 0 END AS home_win
+FROM composed c JOIN fold f USING (match_id) JOIN matches m USING (match_id)""",
+    "home_elo away_elo elo_diff home_strength strength_diff season_data_reliability home_finals_pressure prob_shift",
+)
 def ml17(spark, sf):
     return FT.feature_table(spark, sf).select("match_id", "year", *_TABLE, "home_win")
 

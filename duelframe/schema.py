@@ -72,12 +72,14 @@ def numeric(col: str | Column) -> Column:
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round double columns for reports; adding 0.0 turns a negative zero into zero."""
-    return df.select(
-        [
-            (F.round(F.col(f.name), places) + F.lit(0.0)).alias(f.name)
-            if isinstance(f.dataType, T.DoubleType)
-            else F.col(f.name)
-            for f in df.schema
-        ]
+    """Round double columns for reports, halves away from zero, with arithmetic that stays in codegen
+    (``round`` on doubles goes through decimals). A negative zero becomes zero."""
+    unit = f"1e{places}D"
+
+    def shortened(c: str) -> str:
+        size = f"cast(floor(abs(`{c}`) * {unit} + 0.5D) AS double) / {unit}"
+        return f"CASE WHEN `{c}` < 0 THEN 0D - {size} ELSE {size} END AS `{c}`"
+
+    return df.selectExpr(
+        *[shortened(f.name) if isinstance(f.dataType, T.DoubleType) else f"`{f.name}`" for f in df.schema]
     )

@@ -6,6 +6,9 @@ and prices into integer ticks before any aggregation, so that sums do not depend
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # fixed values: slot -> position, the usual thirteen starters and four on the bench
@@ -16,10 +19,30 @@ POSITION_BY_SLOT = {
 SPINE_SLOTS = (1, 6, 7, 9)
 
 
+def whole(c: Column) -> Column:
+    """Nearest integer of a non-negative amount."""
+    return F.floor(c + F.lit(0.5))
+
+
+def view(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Build a view's lazy plan once per session and folder; plans are immutable, data is not kept."""
+    plans: dict[tuple[SparkSession, str], DataFrame] = {}
+
+    @wraps(build)
+    def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark, sf_dir)
+        if key not in plans:
+            plans[key] = build(spark, sf_dir)
+        return plans[key]
+
+    return planned
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@view
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event per order between the customer's nation (home) and a derived other nation (away)."""
     return matches_from(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
@@ -33,7 +56,7 @@ def matches_from(orders: DataFrame, customer: DataFrame) -> DataFrame:
     key, cents = F.col("o_orderkey"), F.col("cents")
     return (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
-        .withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+        .withColumn("cents", whole(F.col("o_totalprice") * 100))
         .withColumn("scored", key % 50 != 0)
         .select(
             key.alias("match_id"),
@@ -75,6 +98,7 @@ def matches_from(orders: DataFrame, customer: DataFrame) -> DataFrame:
     )
 
 
+@view
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bookmaker quotes: one per line item. Prices are ticks of 1/20."""
     return table(spark, sf_dir, "lineitem").select(
@@ -90,6 +114,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@view
 def odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per match: first and last quote, range, average and number of quotes."""
     at = F.struct("quoted_at", "line_no", "part_no", "bookmaker")
@@ -136,6 +161,7 @@ def odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@view
 def odds_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The odds as a second source would deliver them: no match id, dates off by up to two days,
     sides swapped on some rows, some matches absent."""
@@ -156,6 +182,7 @@ def odds_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@view
 def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members per match and side: the distinct suppliers of an order, numbered within the side."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
@@ -182,6 +209,7 @@ def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@view
 def side_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Process statistics per match and side: quantities, cents and counts of the side's lines."""
     return (
@@ -190,7 +218,7 @@ def side_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_orderkey").alias("match_id"),
             F.when(F.col("l_suppkey") % 2 == 0, "home").otherwise("away").alias("side"),
             F.col("l_quantity").cast("long").alias("q"),
-            F.round(F.col("l_extendedprice") * 100).cast("long").alias("c"),
+            whole(F.col("l_extendedprice") * 100).alias("c"),
             (F.col("l_returnflag") == "R").cast("long").alias("r"),
         )
         .groupBy("match_id", "side")
@@ -203,6 +231,7 @@ def side_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@view
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model and market probability per match, with the outcome."""
     m = matches(spark, sf_dir).select(
