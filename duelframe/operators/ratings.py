@@ -187,14 +187,32 @@ def rating_history(rated: DataFrame) -> DataFrame:
     )
 
 
-def saved_ratings(rated: DataFrame, matches: DataFrame) -> DataFrame:
-    """Last rating of every participant, the state a later run continues from."""
+def saved_ratings(rated: DataFrame, matches: DataFrame, params: RatingParams = RatingParams()) -> DataFrame:
+    """Rating of every participant at the end of a run, the state a later run continues from.
+
+    A participant that sat out later seasons has been regressed at each of their starts, although
+    its last match does not show it.
+    """
     dated = rating_history(rated).join(matches.select("match_id", "event_date"), "match_id")
     last = dated.groupBy("league", "entity_id").agg(
-        F.max_by("rating_after", F.struct("event_date", "match_id")).alias("rating")
+        F.max_by(F.struct("rating_after", "year"), F.struct("event_date", "match_id")).alias("l")
+    )
+    seasons = dated.select("league", "year").distinct()  # a few rows per league
+    turn = F.row_number().over(Window.partitionBy("league").orderBy("year"))
+    turns = seasons.withColumn("turn", turn)
+    latest = seasons.groupBy("league").agg(F.max("year").alias("season"), F.count(F.lit(1)).alias("turns"))
+    idle = F.col("turns") - F.col("turn")
+    return (
+        last.select("league", "entity_id", F.col("l.rating_after").alias("rated"), F.col("l.year").alias("year"))
+        .join(turns, ["league", "year"])
+        .join(latest, "league")
+        .select(
+            "league",
+            "entity_id",
+            (params.initial + F.pow(F.lit(params.keep), idle) * (F.col("rated") - params.initial)).alias("rating"),
+            F.col("season").alias("year"),
+        )
     )
-    season = dated.groupBy("league").agg(F.max("year").alias("year"))
-    return last.join(season, "league")
 
 
 def expected_log(log: DataFrame, rated: DataFrame) -> DataFrame:
