@@ -160,21 +160,27 @@ def leaderboard(scores: DataFrame, low: int, high: int) -> DataFrame:
     )
 
 
-def round_duels(scores: DataFrame) -> DataFrame:
-    """Rounds won, lost and tied between every two of a fixed handful of players.
+def round_duels(scores: DataFrame, rivals: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rounds won, lost and tied between named rivals.
 
-    The players' scores of a round are pivoted side by side first, so nothing is paired row by row.
+    The named players' points of a round become columns of one row, so no players are paired row by
+    row however many take part.
     """
-    per_round = scores.groupBy("year", "round").agg(F.sort_array(F.collect_set(F.struct("player", "points"))).alias("s"))
-    pairs = F.flatten(
-        F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b["player"] > a["player"]), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    named = list(dict.fromkeys(p for pair in rivals for p in pair))
+    per_round = scores.filter(F.col("player").isin(*named)).groupBy("year", "round").agg(
+        *[F.max(F.when(F.col("player") == p, F.col("points"))).alias(p) for p in named]
     )
-    return per_round.select(F.explode(pairs).alias("p")).groupBy(
-        F.col("p.a.player").alias("player"), F.col("p.b.player").alias("opponent")
-    ).agg(
-        F.count_if(F.col("p.a.points") > F.col("p.b.points")).alias("won"),
-        F.count_if(F.col("p.a.points") < F.col("p.b.points")).alias("lost"),
-        F.count_if(F.col("p.a.points") == F.col("p.b.points")).alias("tied"),
+    duels = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(a).alias("player"), F.lit(b).alias("opponent"), F.col(a).alias("mine"), F.col(b).alias("theirs"))
+                for a, b in rivals
+            ]
+        )
+    )
+    mine, theirs = F.col("d.mine"), F.col("d.theirs")
+    return per_round.select(duels.alias("d")).groupBy("d.player", "d.opponent").agg(
+        F.count_if(mine > theirs).alias("won"), F.count_if(mine < theirs).alias("lost"), F.count_if(mine == theirs).alias("tied")
     )
 
 

@@ -317,7 +317,7 @@ SELECT a.player, b.player AS opponent, count(*) FILTER (WHERE a.points > b.point
 FROM round_scores a JOIN round_scores b USING (year, round) WHERE a.player < b.player GROUP BY 1, 2""",
 )
 def ag21b(spark, sf):
-    return M.round_duels(round_scores(spark, sf))
+    return M.round_duels(round_scores(spark, sf), [("model", "odds"), ("model", "tip"), ("odds", "tip")])
 
 
 @query(

@@ -50,8 +50,10 @@ define(
 )
 
 
-def fold_sql(name: str, weight: str, k: str = "20.0::DOUBLE", bonus: str = "50", chain: str = "chain", keys: str = "league") -> str:
-    """One step per game and chain; ``weight`` is the margin multiplier, ``keys`` identify a chain."""
+def fold_sql(name: str, weight: str, k: str = "20.0::DOUBLE", bonus: str = "50", chain: str = "chain", keys: str = "league", late: bool = True) -> str:
+    """One step per game and chain; ``weight`` is the margin multiplier, ``keys`` identify a chain.
+    With ``late`` the ratings are read before a new season's regression, else after it."""
+    read = "home_elo, away_elo, home_elo_prob" if late else f"h, a, 1 / (1 + power(10::DOUBLE, (a - h - {bonus}) / 400))"
     start = ", ".join(["1500.0::DOUBLE"] * 25)
     on = " AND ".join(f"c.{key} = f.{key}" for key in keys.split(", "))
     return f"""
@@ -62,7 +64,7 @@ def fold_sql(name: str, weight: str, k: str = "20.0::DOUBLE", bonus: str = "50",
   SELECT {keys}, n, match_id,
          CASE WHEN played THEN list_concat(list_concat(list_concat(list_concat(reg[1:lo], [CASE WHEN lo = home_id THEN h + d ELSE a - d END]),
               reg[lo + 2:hi]), [CASE WHEN hi = home_id THEN h + d ELSE a - d END]), reg[hi + 2:25]) ELSE state END,
-         CASE WHEN played THEN season ELSE last_season END, home_elo, away_elo, home_elo_prob,
+         CASE WHEN played THEN season ELSE last_season END, {read},
          CASE WHEN played THEN h + d END, CASE WHEN played THEN a - d END
   FROM (
     SELECT *, {k} * {weight} * (CASE WHEN home_score > away_score THEN 1.0 WHEN home_score < away_score THEN 0.0 ELSE 0.5 END
@@ -94,9 +96,25 @@ FROM (SELECT f.config, f.home_elo_prob AS p, CASE WHEN c.home_score > c.away_sco
 )
 define("fold", fold_sql("fold", "1"))
 define("fold_log", fold_sql("fold_log", "ln(greatest(abs(home_score - away_score), 1) + 1)"))
+define("fold_reset", fold_sql("fold_reset", "1", late=False))
 _RATING = "home_elo away_elo home_elo_prob elo_diff"
 
 
+@query(
+    "rt03_season_regression",
+    "SELECT match_id, home_elo, away_elo, home_elo_prob, home_elo - away_elo AS elo_diff FROM fold_reset WHERE n > 0",
+    _RATING,
+)
+def rt03(spark, sf):
+    """All participants regress at once; here the regression is read before the season's first game."""
+    return R.rating_features(R.rate(A.matches(spark, sf), [R.RatingParams(reset_before_read=True)]))
+
+
+@query("rt04_rating_update", "SELECT match_id, home_after, away_after FROM fold WHERE home_after IS NOT NULL", "home_after away_after")
+def rt04(spark, sf):
+    return R.rate(A.matches(spark, sf)).filter("home_after is not null").select("match_id", "home_after", "away_after")
+
+
 @query(
     "rt05_rating_backfill",
     "SELECT match_id, home_elo, away_elo, home_elo_prob, home_elo - away_elo AS elo_diff FROM fold WHERE n > 0",
