@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 # fixed values: columns whose gap means "no" and is filled with 0 instead of the median
@@ -28,9 +29,17 @@ def exact_medians(df: DataFrame, columns: Sequence[str], bins: int = 1024) -> di
     Each pass counts the values of all columns in ``bins`` equal slices of their current range (a
     map-side combined aggregate of at most ``bins`` rows per column) and zooms into the slice that
     holds the middle. It ends when the middle two values are the ends of neighbouring slices or the
-    slice holds a single value; the range shrinks by ``bins`` per pass.
+    slice holds a single value; the range shrinks by ``bins`` per pass. The narrow projection is kept for
+    the passes (memory, then disk; a lost block is recomputed).
     """
-    numeric = df.select([F.col(c).cast("double").alias(c) for c in columns])
+    numeric = df.select([F.col(c).cast("double").alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _exact_medians(numeric, columns, bins)
+    finally:
+        numeric.unpersist()
+
+
+def _exact_medians(numeric: DataFrame, columns: Sequence[str], bins: int) -> dict[str, float | None]:
     first = numeric.agg(
         *[
             F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)

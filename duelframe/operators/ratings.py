@@ -97,6 +97,7 @@ class _Chain:
         return (*before, read, h + step, a - step)
 
 
+_IN = ("config", "league", "match_id", "year", "home_id", "away_id", "home_score", "away_score", "saved")
 _OUT = pa.schema(
     [
         ("config", pa.int32()), ("league", pa.int32()), ("match_id", pa.int64()), ("year", pa.int32()),
@@ -111,15 +112,14 @@ def _fold(params: Sequence[RatingParams]):
         key, chain = None, None
         for batch in batches:
             rows: list[tuple] = []
-            for r in batch.to_pylist():
-                if (r["config"], r["league"]) != key:
-                    key, chain = (r["config"], r["league"]), _Chain(params[r["config"]])
-                if r["saved"] is not None:
-                    chain.rating[r["home_id"]] = r["saved"]
-                    chain.season = r["year"] if chain.season is None else max(chain.season, r["year"])
+            for config, league, match_id, year, home, away, hs, aw, start in zip(*(batch[c].to_pylist() for c in _IN)):
+                if (config, league) != key:
+                    key, chain = (config, league), _Chain(params[config])
+                if start is not None:
+                    chain.rating[home] = start
+                    chain.season = year if chain.season is None else max(chain.season, year)
                     continue
-                made = chain.play(r["year"], r["home_id"], r["away_id"], r["home_score"], r["away_score"])
-                rows.append((r["config"], r["league"], r["match_id"], r["year"], r["home_id"], r["away_id"], *made))
+                rows.append((config, league, match_id, year, home, away, *chain.play(year, home, away, hs, aw)))
             columns = list(zip(*rows)) if rows else [[] for _ in _OUT]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=f.type) for c, f in zip(columns, _OUT)], schema=_OUT

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from duelframe.operators.history import measure
 from duelframe.operators.sides import team_log
@@ -29,12 +29,6 @@ def per_entity(df: DataFrame):
     return measure(df, ["entity_id"])
 
 
-@view
 def member_games(spark: SparkSession, sf: str) -> DataFrame:
     """Appearances with the member's own quantity in the match (``minutes`` stands for it)."""
-    own = (
-        A.table(spark, sf, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("member_id"))
-        .agg(F.sum(F.col("l_quantity").cast("long")).alias("minutes"), F.count(F.lit(1)).alias("touches"))
-    )
-    return A.appearances(spark, sf).join(own, ["match_id", "member_id"], "left")
+    return A.member_lines(spark, sf)

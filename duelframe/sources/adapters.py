@@ -183,9 +183,14 @@ def odds_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @view
-def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members per match and side: the distinct suppliers of an order, numbered within the side."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+def member_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members per match and side with what they did: the suppliers of an order, numbered within the
+    side, with the quantity (``minutes``) and number (``touches``) of their lines."""
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_orderkey", "l_suppkey")
+        .agg(F.sum(F.col("l_quantity").cast("long")).alias("minutes"), F.count(F.lit(1)).alias("touches"))
+    )
     base = matches(spark, sf_dir).select("match_id", "event_date", "year", "round", "home_id", "away_id")
     home = F.col("l_suppkey") % 2 == 0
     slot = F.row_number().over(Window.partitionBy("match_id", "side").orderBy("l_suppkey"))
@@ -201,14 +206,24 @@ def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
             "side",
             F.when(home, F.col("home_id")).otherwise(F.col("away_id")).alias("entity_id"),
             F.col("l_suppkey").alias("member_id"),
-            F.concat(F.lit("P"), (F.col("l_suppkey") % 30).cast("string"), F.lit(" S"), F.col("l_suppkey").cast("string")).alias("member_name"),
+            F.concat(
+                F.lit("P"), (F.col("l_suppkey") % 30).cast("string"), F.lit(" S"), F.col("l_suppkey").cast("string")
+            ).alias("member_name"),
             "slot",
             (F.col("slot") <= 2).alias("is_starter"),
             (F.col("slot") == 1).alias("is_spine"),
+            "minutes",
+            "touches",
         )
     )
 
 
+@view
+def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members per match and side; the unused sums are pruned, which leaves a distinct."""
+    return member_lines(spark, sf_dir).drop("minutes", "touches")
+
+
 @view
 def side_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Process statistics per match and side: quantities, cents and counts of the side's lines."""
