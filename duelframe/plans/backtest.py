@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -20,7 +21,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duelframe.operators.imputation import clamp_openers, coherent_prices, recency_weight
@@ -180,6 +181,7 @@ def fold_scores(oof: DataFrame) -> DataFrame:
 def calibrated(oof: DataFrame) -> DataFrame:
     """Isotonic calibration of each model fitted on its earlier folds, within [0.01, 0.99]; the first
     fold passes through and the market stays as it is."""
+    oof = cut_lineage(oof)  # read once per model and fold below
     folds = [r["fold"] for r in oof.select("fold").distinct().orderBy("fold").collect()]
     names = [r["model"] for r in oof.filter("model <> 'market'").select("model").distinct().collect()]
     out = oof.filter((F.col("model") == "market") | (F.col("fold") == folds[0]))
@@ -199,9 +201,9 @@ def calibrated(oof: DataFrame) -> DataFrame:
 def stacked(oof: DataFrame, models: Sequence[str], network: bool = False) -> DataFrame:
     """A second-level model on the first-level probabilities of earlier folds; the first fold is the
     plain mean."""
-    wide = oof.groupBy("match_id", "fold", "label", "market").pivot("model", list(models)).agg(F.max("prob"))
+    wide = cut_lineage(oof.groupBy("match_id", "fold", "label", "market").pivot("model", list(models)).agg(F.max("prob")))
     columns = [*models, "market"]
-    folds = [r["fold"] for r in oof.select("fold").distinct().orderBy("fold").collect()]
+    folds = [r["fold"] for r in wide.select("fold").distinct().orderBy("fold").collect()]
     assembler = VectorAssembler(inputCols=columns, outputCol="stack", handleInvalid="skip")
     rows = assembler.transform(wide)
     mean = sum((F.col(c) for c in columns), F.lit(0.0)) / len(columns)
@@ -297,8 +299,18 @@ def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.bit_xor(F.xxhash64(*columns)).alias("digest"), F.count(F.lit(1)).alias("rows"))
 
 
-def _spark_path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
+def _write_notes(spark: SparkSession, path: str, digest: DataFrame, features: Sequence[str], valid: bool) -> None:
+    notes = digest.select("digest", "rows", F.lit(json.dumps(list(features))).alias("features"), F.lit(valid).alias("valid"))
+    notes.coalesce(1).write.mode("overwrite").json(f"{path}/notes")
+
+
+def _notes(spark: SparkSession, path: str):
+    try:
+        return spark.read.schema("digest long, rows long, features string, valid boolean").json(f"{path}/notes").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def save_artifacts(artifacts: Trained, path: str, digest: DataFrame) -> None:
@@ -306,18 +318,14 @@ def save_artifacts(artifacts: Trained, path: str, digest: DataFrame) -> None:
     artifacts.model.write().overwrite().save(f"{path}/model")
     artifacts.meta.write().overwrite().save(f"{path}/meta")
     artifacts.calibration.write().overwrite().save(f"{path}/calibration")
-    notes = digest.withColumn("features", F.lit(json.dumps(artifacts.features)))
-    notes.coalesce(1).write.mode("overwrite").json(f"{path}/notes")
+    _write_notes(digest.sparkSession, path, digest, artifacts.features, True)
 
 
 def load_artifacts(spark: SparkSession, path: str, digest: DataFrame | None = None) -> Trained | None:
-    """Stored artifacts, or None when there are none or the data has changed since."""
-    from pyspark.ml.regression import IsotonicRegressionModel
-
-    notes_path = _spark_path(spark, f"{path}/notes")
-    if not notes_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(notes_path):
+    """Stored artifacts, or None when there are none, they were invalidated, or the data has changed."""
+    notes = _notes(spark, path)
+    if notes is None or not notes["valid"]:
         return None
-    notes = spark.read.json(f"{path}/notes").first()
     if digest is not None:
         now = digest.first()
         if (now["digest"], now["rows"]) != (notes["digest"], notes["rows"]):
@@ -330,17 +338,16 @@ def load_artifacts(spark: SparkSession, path: str, digest: DataFrame | None = No
     )
 
 
-def drop_stale(spark: SparkSession, folders: Sequence[str], digest: DataFrame) -> list[str]:
-    """Delete stored artifacts whose digest differs from the data's; returns the folders removed."""
+def invalidate_stale(spark: SparkSession, folders: Sequence[str], digest: DataFrame) -> list[str]:
+    """Mark stored artifacts whose digest differs from the data's as invalid; returns their folders."""
     now = digest.first()
-    removed = []
+    stale = []
     for folder in folders:
-        notes = spark.read.json(f"{folder}/notes").first()
-        if (notes["digest"], notes["rows"]) != (now["digest"], now["rows"]):
-            target = _spark_path(spark, folder)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-            removed.append(folder)
-    return removed
+        notes = _notes(spark, folder)
+        if notes is not None and (notes["digest"], notes["rows"]) != (now["digest"], now["rows"]):
+            _write_notes(spark, folder, digest, [], False)
+            stale.append(folder)
+    return stale
 
 
 def tuned(data: Dataset, grid: Mapping[str, Factory | ScaledLogistic], test_seasons: Sequence[int]) -> DataFrame:

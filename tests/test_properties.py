@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from duelframe.operators import ratings as R, sinks as K, strategies as S, windows as W
 from duelframe.operators.history import measure
 from duelframe.operators.sides import from_sides, team_log
-from duelframe.plans.backtest import Dataset, ScaledLogistic, boosted, fold_scores, load_artifacts, fingerprint, save_artifacts, score, train_final, walk_forward
+from duelframe.plans.backtest import Dataset, ScaledLogistic, boosted, fold_scores, invalidate_stale, load_artifacts, fingerprint, save_artifacts, score, train_final, walk_forward
 from duelframe.plans.decision_queries import oof
 from duelframe.sources import adapters as A
 
@@ -101,4 +101,8 @@ def test_models_beat_a_constant_and_survive_storage(spark, tmp_path):
     save_artifacts(trained, path, digest)
     stored = load_artifacts(spark, path, digest)
     same(score(trained, data.df), score(stored, data.df))
-    assert load_artifacts(spark, path, fingerprint(data.df.limit(10), ["match_id", "label"])) is None
+    changed = fingerprint(data.df.filter("match_id < 10"), ["match_id", "label"])
+    assert load_artifacts(spark, path, changed) is None
+    assert invalidate_stale(spark, [path], digest) == []
+    assert invalidate_stale(spark, [path], changed) == [path]
+    assert load_artifacts(spark, path) is None
