@@ -12,7 +12,7 @@ from duelframe.sources import adapters as A
 
 # fits and streams run jobs while they are built; their plans are those of the queries they read
 EAGER = ("ml", "stm", "src", "snk", "ev02")
-PYTHON = {"rt05_rating_backfill", "rt06_rating_history", "rt07_parameter_search", "rt08_expected_log", "rt09_best_parameters", "ml17_feature_table"}
+PYTHON = {"rt03_season_regression", "rt04_rating_update", "rt05_rating_backfill", "rt06_rating_history", "rt07_parameter_search", "rt08_expected_log", "rt09_best_parameters", "ml17_feature_table"}
 
 
 def plan(df):
