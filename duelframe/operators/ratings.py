@@ -11,12 +11,17 @@ period, which is how a long history is kept up to date.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+# the fold travels with its code, so workers need no installed copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RATED = (
     "config int, league int, match_id long, year int, home_id int, away_id int, home_elo double, away_elo double, "
     "home_elo_prob double, home_after double, away_after double"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,6 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from duelframe.operators.ratings import RatingParams, _Chain
 from duelframe.operators.sinks import replace_periods
 
+# the stateful update travels with its code, so workers need no installed copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema, files_per_trigger: int = 8) -> DataFrame:
     """Landed Parquet files of one table as a stream."""
