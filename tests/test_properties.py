@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from duelframe.operators import ratings as R, sinks as K, strategies as S, windows as W
 from duelframe.operators.history import measure
 from duelframe.operators.sides import from_sides, team_log
-from duelframe.plans.backtest import Dataset, ScaledLogistic, boosted, fold_scores, invalidate_stale, load_artifacts, fingerprint, save_artifacts, score, train_final, walk_forward
+from duelframe.plans.backtest import calibrated, stacked, Dataset, ScaledLogistic, boosted, fold_scores, invalidate_stale, load_artifacts, fingerprint, save_artifacts, score, train_final, walk_forward
 from duelframe.plans.decision_queries import oof
 from duelframe.sources import adapters as A
 
@@ -106,3 +106,14 @@ def test_models_beat_a_constant_and_survive_storage(spark, tmp_path):
     assert invalidate_stale(spark, [path], digest) == []
     assert invalidate_stale(spark, [path], changed) == [path]
     assert load_artifacts(spark, path) is None
+
+
+def test_calibration_and_stacking_keep_the_signal(spark):
+    data = Dataset.build(signal(spark), ["strength", "noise"], "market_p")
+    oof_ = walk_forward(data, {"logistic": ScaledLogistic()}, (2002, 2003, 2004))
+    fixed = calibrated(oof_)
+    assert fixed.count() == oof_.count()
+    low, high = fixed.filter("model <> 'market' and fold > 2002").selectExpr("min(prob)", "max(prob)").first()
+    assert 0.01 <= low and high <= 0.99
+    scores = {r["model"]: r["log_loss"] for r in fold_scores(stacked(oof_, ["logistic"]).filter("fold > 2002")).collect()}
+    assert scores["stack"] < 0.67
