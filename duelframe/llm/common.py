@@ -34,16 +34,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_pass(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+def arrow_pass(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, step: int = 256) -> DataFrame:
     """``mapInArrow`` where the function yields dicts of columns (lists, NumPy or Arrow arrays).
 
-    Spark bounds a batch in bytes (``spark.sql.execution.arrow.maxBytesPerBatch``), so long texts
-    come in small batches.
+    Spark bounds a batch in bytes (``spark.sql.execution.arrow.maxBytesPerBatch``); the function gets it
+    in slices of ``step`` rows, so that few of its texts are Python objects at a time.
     """
     out = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
-        for columns in rows(batches):
+        slices = (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step))
+        for columns in rows(slices):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in ((columns[f.name], f) for f in out)], schema=out)
 
     return df.mapInArrow(run, schema)

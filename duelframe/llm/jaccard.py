@@ -221,7 +221,7 @@ def _edges(dealt: DataFrame, key: str, decide: Callable[[pa.Table], np.ndarray])
                 yield {"a": rep[rep != first], "b": first[rep != first]}
 
     order = [key, "lo", "hi"]
-    return arrow_pass(dealt.repartition(*order).sortWithinPartitions(*order), rows, "a long, b long")
+    return arrow_pass(dealt.repartition(*order).sortWithinPartitions(*order), rows, "a long, b long", step=8192)
 
 
 def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -1,10 +1,12 @@
 """Token counts of whole texts without token ids: pieces per distinct pre-token times frequency.
 
 A block of texts is reduced to its distinct pre-tokens, each with the texts that hold it and how often.
-Pieces are counted once per distinct pre-token of the corpus, joined to those frequencies and summed
-per text. What is shuffled is one row per (pre-token, block) with its frequencies as packed bytes, so a
-pre-token that stands in every text has as many rows as there are blocks, and the join on equal
-pre-tokens may be split by Spark where it is skewed.
+Pre-tokens are dealt by hash into buckets, and what a block has for a bucket is one packed row; rows of
+a bucket meet in one task, where each distinct pre-token's pieces are counted once, joined to the
+frequencies by the pre-token, and summed per text. Sums go back to the block and are added up there.
+
+A pre-token that many texts of a block hold is no small fraction of the frequencies of all blocks: it
+is counted in the block itself, once, and not sent, so no bucket grows with a hot pre-token.
 
 Special strings inside texts count one token each, as is the default of the tokenizer. Null texts are
 empty: 0 bytes, 0 tokens. Each input row is a text of its own, so repeated rows and null ids are kept.
@@ -15,8 +17,9 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -28,10 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from duelframe.llm.common import arrow_pass, materialise
+from duelframe.llm.common import arrow_pass
 
 #: A block ends with the first text that brings it to so many characters, or at so many texts.
-BLOCK_CHARS, BLOCK_TEXTS = 32_000_000, 60_000
+BLOCK_CHARS, BLOCK_TEXTS = 16_000_000, 60_000
+#: A pre-token that this share of a block's texts hold is counted there; so few others are.
+HOT_SHARE, HOT_TEXTS = 0.25, 64
+#: Buckets for each shuffle partition, so that partitions get about as much each.
+BUCKETS = 16
 
 
 def splitter(tokenizer: Tokenizer):
@@ -96,117 +103,119 @@ class Block:
     def full(self) -> bool:
         return self.chars >= BLOCK_CHARS or len(self.doc_ids) >= BLOCK_TEXTS
 
-    def rows(self, block: int) -> Iterator[dict]:
-        """One row of the texts, then the frequencies of each pre-token, by pre-token."""
+    def rows(self, block: int, buckets: int, pieces: Callable[[list[str]], np.ndarray]) -> Iterator[dict]:
+        """The packed frequencies for each bucket, and one row that names the texts."""
+        codes, texts, times = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (self.codes, self.texts, self.times))
+        words, base = list(self.ids), np.array(self.specials, np.int64)
+        held = np.bincount(codes, minlength=len(words))
+        hot = held >= max(HOT_TEXTS, HOT_SHARE * len(base))
+        if hot.any():
+            each = np.zeros(len(words), np.int64)
+            each[hot] = pieces([words[i] for i in np.flatnonzero(hot)])
+            base += np.bincount(texts, each[codes] * times, len(base)).astype(np.int64)
+            rest = ~hot[codes]
+            codes, texts, times, held = codes[rest], texts[rest], times[rest], np.where(hot, 0, held)
+        raw = [w.encode() for w in words]
+        bucket = np.fromiter((zlib.crc32(w) for w in raw), np.int64, len(raw)) % buckets
+        order = np.lexsort((codes, bucket[codes]))
+        texts, times = texts[order].astype(np.uint16), times[order].astype(np.uint32)
+        sent = np.flatnonzero(held)
+        sent = sent[np.lexsort((sent, bucket[sent]))]
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[sent][1:] != bucket[sent][:-1])), len(sent)) if len(sent) else [0]
+        ends = np.append(0, np.cumsum(held[sent]))
+        for k in range(0, len(cuts) - 1, 256):
+            out: dict[str, list] = {c: [] for c in PACKED}
+            for a, b in zip(cuts[k : k + 256], cuts[k + 1 : k + 257], strict=False):
+                some = sent[a:b]
+                here = [raw[i] for i in some]
+                at = slice(ends[a], ends[b])
+                values = (int(bucket[some[0]]), block, b"".join(here), np.array([len(w) for w in here], np.uint32).tobytes(), held[some].astype(np.uint32).tobytes(), texts[at].tobytes(), times[at].tobytes(), None, None, None)
+                for c, v in zip(PACKED, values, strict=True):
+                    out[c].append(v)
+            yield out
         none = [None]
-        yield {"block": [block], "token": none, "texts": none, "times": none, "doc_ids": [self.doc_ids], "n_bytes": [self.n_bytes], "specials": [self.specials]}
-        codes, texts, times = (np.concatenate(x) if x else np.zeros(0, np.uint16) for x in (self.codes, self.texts, self.times))
-        order = np.argsort(codes, kind="stable")
-        texts, times = texts[order], times[order].astype(np.uint32)
-        ends = np.cumsum(np.bincount(codes, minlength=len(self.ids)))
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        words = list(self.ids)
-        step = 20_000
-        for a in range(0, len(words), step):
-            part = slice(a, min(a + step, len(words)))
-            n = part.stop - a
-            first, last = starts[a], ends[part.stop - 1]
-            offsets = np.concatenate([starts[part], [last]]) - first
-            pack = lambda x, width: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((offsets * width).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])  # noqa: E731, B023
-            held = [i for i in range(n) if ends[a + i] > starts[a + i]]  # words of texts that the library split anew may be unused
-            columns = {"token": pa.array(words[part]), "texts": pack(texts[first:last], 2), "times": pack(times[first:last], 4)}
-            if len(held) < n:
-                columns = {k: v.take(pa.array(held)) for k, v in columns.items()}
-            empty = pa.nulls(len(held), pa.list_(pa.int64()))
-            yield columns | {"block": np.full(len(held), block, np.int64), "doc_ids": empty, "n_bytes": empty, "specials": empty}
-
-
-def frequencies(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Rows ``(block, token, texts, times)``, and per block one row that names its texts."""
+        yield dict.fromkeys(PACKED, none) | {"bucket": [block % buckets], "block": [block], "doc_ids": [self.doc_ids], "n_bytes": [self.n_bytes], "base": [base.tolist()]}
+
+
+PACKED = ("bucket", "block", "words", "lengths", "holders", "texts", "times", "doc_ids", "n_bytes", "base")
+
+
+def piece_counter(tokenizer: Tokenizer) -> Callable[[list[str]], np.ndarray]:
+    return lambda words: np.array([len(e.ids) for k in range(0, len(words), 5000) for e in tokenizer.encode_batch_fast(words[k : k + 5000], add_special_tokens=False)], np.int64)
+
+
+def frequencies(docs: DataFrame, tokenizer_path: str, buckets: int) -> DataFrame:
+    """Packed rows ``(bucket, block, ...)``, and per block one row that names its texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
-        split, unknown = splitter(Tokenizer.from_file(tokenizer_path)), unknown_characters()
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        split, unknown, pieces = splitter(tokenizer), unknown_characters(), piece_counter(tokenizer)
         task, done, block = TaskContext.get().partitionId(), 0, Block()
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 block.add(doc_id, text or "", split, unknown)
                 if block.full():
-                    yield from block.rows((task << 24) + done)
+                    yield from block.rows((task << 24) + done, buckets, pieces)
                     done, block = done + 1, Block()
         if block.doc_ids:
-            yield from block.rows((task << 24) + done)
+            yield from block.rows((task << 24) + done, buckets, pieces)
 
-    return arrow_pass(docs.select(F.col("doc_id").cast("long"), "text"), rows, "block long, token string, texts binary, times binary, doc_ids array<long>, n_bytes array<long>, specials array<long>")
+    return arrow_pass(
+        docs.select(F.col("doc_id").cast("long"), "text"), rows,
+        "bucket int, block long, words binary, lengths binary, holders binary, texts binary, times binary, doc_ids array<long>, n_bytes array<long>, base array<long>",
+    )
 
 
-def count_pieces(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``(token, pieces)`` for distinct pre-tokens."""
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, over_limit`` of every row."""
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def rows(batches: Iterator[pa.RecordBatch]):
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        for batch in batches:
-            words = batch.column("token").to_pylist()
-            for a in range(0, len(words), 5000):
-                part = words[a : a + 5000]
-                yield {"token": part, "pieces": [len(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]}
-
-    return arrow_pass(tokens.select("token"), rows, "token string, pieces int")
-
-
-def _partial_sums(batches: Iterator[pa.RecordBatch]):
-    """Sums per text over the pre-tokens of a partition; blocks are passed on before they fill memory."""
-    sums: dict[int, np.ndarray] = {}
-
-    def passed_on():
-        for block, held in sums.items():
-            texts = np.flatnonzero(held)
-            yield {"block": [block], "texts": [texts.astype(np.uint16).tobytes()], "sums": [held[texts].astype(np.uint32).tobytes()]}
-        sums.clear()
-
-    held = 0
-    for batch in batches:
-        blocks, pieces = batch.column("block").to_numpy(), batch.column("pieces").to_numpy()
-        texts, times = batch.column("texts"), batch.column("times")
-        lengths = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)) // 2
-        flat = lambda x, kind: np.frombuffer(b"".join(x.to_pylist()), kind)
-        all_texts, all_times = flat(texts, np.uint16), flat(times, np.uint32)
-        tokens = all_times.astype(np.int64) * np.repeat(pieces.astype(np.int64), lengths)
-        kinds, which = np.unique(blocks, return_inverse=True)
-        which = np.repeat(which, lengths)
-        order = np.argsort(which, kind="stable")
-        cuts = np.searchsorted(which[order], np.arange(len(kinds) + 1))
-        for k, block in enumerate(kinds.tolist()):
-            rows = order[cuts[k] : cuts[k + 1]]
-            new = np.bincount(all_texts[rows], weights=tokens[rows]).astype(np.int64)
-            old = sums.get(block, np.zeros(0, np.int64))
-            wide, slim = (new, old) if len(new) >= len(old) else (old, new)
-            wide[: len(slim)] += slim
-            held += len(wide) - len(old)
-            sums[block] = wide
-        if held > 8_000_000:
-            yield from passed_on()
-            held = 0
-    yield from passed_on()
+    def sums(batches: Iterator[pa.RecordBatch]):
+        count, known = piece_counter(Tokenizer.from_file(tokenizer_path)), {}
+        held: dict[int, np.ndarray] = {}
 
+        def passed_on():
+            none = [None]
+            for block, total in held.items():
+                texts = np.flatnonzero(total)
+                yield {"block": [block], "texts": [texts.astype(np.uint16).tobytes()], "sums": [total[texts].astype(np.uint32).tobytes()], "doc_ids": none, "n_bytes": none, "base": none}
+            held.clear()
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` of every row."""
-    found = materialise(frequencies(docs, tokenizer_path), "frequencies")
-    tokens = found.where("token IS NOT NULL").select("block", "token", "texts", "times")
-    pieces = materialise(count_pieces(tokens.select("token").distinct(), tokenizer_path), "pieces")
-    joined = tokens.hint("merge").join(pieces, "token").select("block", "texts", "times", "pieces")
-    sums = arrow_pass(joined, _partial_sums, "block long, texts binary, sums binary")
-    named = found.where("doc_ids IS NOT NULL").select("block", "doc_ids", "n_bytes", "specials")
-    nothing = lambda kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
-    rows = sums.select("*", *nothing({"doc_ids": "array<long>", "n_bytes": "array<long>", "specials": "array<long>"})).union(named.select("block", *nothing({"texts": "binary", "sums": "binary"}), "doc_ids", "n_bytes", "specials"))
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                if r["doc_ids"] is not None:
+                    yield {"block": [r["block"]], "texts": [None], "sums": [None]} | {c: [r[c]] for c in ("doc_ids", "n_bytes", "base")}
+                    continue
+                ends = np.cumsum(np.frombuffer(r["lengths"], np.uint32)).tolist()
+                words, start = [], 0
+                for end in ends:
+                    words.append(r["words"][start:end])
+                    start = end
+                new = [w for w in words if w not in known]
+                known.update(zip(new, count([w.decode() for w in new]).tolist(), strict=True))
+                pieces = np.array([known[w] for w in words], np.int64)
+                tokens = np.repeat(pieces, np.frombuffer(r["holders"], np.uint32)) * np.frombuffer(r["times"], np.uint32)
+                add = np.bincount(np.frombuffer(r["texts"], np.uint16), tokens).astype(np.int64)
+                old = held.get(r["block"], add[:0])
+                wide, slim = (add, old) if len(add) >= len(old) else (old, add)
+                wide[: len(slim)] += slim
+                held[r["block"]] = wide
+            if len(held) > 1000:
+                yield from passed_on()
+            if len(known) > 1_000_000:
+                known.clear()
+        yield from passed_on()
 
     def total(block: pa.Table) -> pa.Table:
         names = block.filter(pa.compute.is_valid(block["doc_ids"]))
-        ids, n_bytes, special = (names[c].combine_chunks().flatten() for c in ("doc_ids", "n_bytes", "specials"))
-        out = special.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, n_bytes, base = (names[c].combine_chunks().flatten() for c in ("doc_ids", "n_bytes", "base"))
+        out = base.to_numpy(zero_copy_only=False).astype(np.int64)
         for texts, add in zip(block["texts"].to_pylist(), block["sums"].to_pylist(), strict=True):
             if texts is not None:
                 out[np.frombuffer(texts, np.uint16)] += np.frombuffer(add, np.uint32)
         return pa.table({"doc_id": ids, "n_bytes": n_bytes, "n_tokens": out, "over_limit": out > limit})
 
-    return rows.groupBy("block").applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    dealt = frequencies(docs, tokenizer_path, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    summed = arrow_pass(dealt, sums, "block long, texts binary, sums binary, doc_ids array<long>, n_bytes array<long>, base array<long>")
+    return summed.groupBy("block").applyInArrow(total, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

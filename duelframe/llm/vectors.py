@@ -148,7 +148,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
             yield {"a": rep[at], "b": rep[spanning(len(rep), a, b)[at]], "links": count[at].astype(np.int64)}
 
     order = ["key", "lo", "hi"]
-    found = materialise(arrow_pass(dealt.repartition(*order).sortWithinPartitions(*order), rows, "a long, b long, links long"), "links")
+    found = materialise(arrow_pass(dealt.repartition(*order).sortWithinPartitions(*order), rows, "a long, b long, links long", step=8192), "links")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     component = connected_components(found.select("a", "b")).withColumnRenamed("id", "rep")
     told = classes.join(counts, "rep", "left").join(component, "rep", "left")
