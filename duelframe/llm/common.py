@@ -18,6 +18,8 @@ from duelframe.session import shared_folder
 SPACE = " \t\n\x0b\x0c\r"
 #: Words as Java and RE2 patterns write them.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's default bytes of an Arrow batch, and what replaces it: both ends of the pipe hold a batch.
+WIDE_BATCH, BATCH = "67108864b", "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +39,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def arrow_pass(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, step: int = 256) -> DataFrame:
     """``mapInArrow`` where the function yields dicts of columns (lists, NumPy or Arrow arrays).
 
-    Spark bounds a batch in bytes (``spark.sql.execution.arrow.maxBytesPerBatch``); the function gets it
-    in slices of ``step`` rows, so that few of its texts are Python objects at a time.
+    Batches are bounded in bytes, and the function gets them in slices of ``step`` rows, so that few
+    texts are held outside Spark's own memory at a time.
     """
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in (WIDE_BATCH, WIDE_BATCH.removesuffix("b")):
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     out = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
