@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from duelframe.llm.common import arrow_pass, chunk_pairs, connected_components, join_ids, materialise, sorted_groups
 
-#: Bits of a signature; rows of a group, and shingles of a cluster, that a task takes in one chunk.
+#: Shingles in so many texts of a task, and of the corpus, are common; bits that mark them.
+TASK_TEXTS, COMMON_TEXTS, COMMON_BITS = 4, 64, 1 << 23
+#: Least bits of a signature; rows of a group, and shingles of a cluster, that a task takes in one chunk.
 BITS, GROUP_ROWS, CLUSTER_SHINGLES = 1024, 4096, 2_000_000
 LEAF, FRONTIER = 32, 64
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -87,34 +89,58 @@ class Levels:
         return (100 - self.percent) * 2 * (self.starts[level + 1] - 1) // (100 + self.percent)
 
     def spare(self, level: int) -> int:
-        return math.ceil(0.02 * self.differ(level)) + 3
-
-    def keys(self, hashes: np.ndarray) -> list[int]:
-        """Routing keys of a set, for its own level and the next."""
+        """Empty parts that are allowed for, about as many as chance makes in the smallest sets."""
+        differ, spare = self.differ(level), 3
+        for _ in range(20 if differ >= 20 else 0):
+            parts = differ + 1 + spare
+            empty = parts * math.exp(-0.9 * self.starts[max(0, level - 1)] / parts)
+            spare = math.ceil(empty + 4 * math.sqrt(empty)) + 3
+        return spare
+
+    def keys(self, hashes: np.ndarray, common: np.ndarray | None = None) -> list[int]:
+        """Routing keys of a set, for its own level and the next; ``common`` marks widely shared shingles.
+
+        Partners agree on more parts than ``spare``. If none that holds an uncommon shingle is among
+        them, both have more empty parts than ``spare``, and both send the keys of all shingles; if
+        those fail alike, both send their empty parts.
+        """
         out = []
         own = self.of(len(hashes))
+        uncommon = hashes if common is None else hashes[~common]
         for level in (own, own + 1):
             if not self.differ(level):
                 continue  # only equal sets are similar enough
             spare = self.spare(level)
             parts = self.differ(level) + 1 + spare
-            part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the hashes are
-            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            sums = np.add.reduceat(mix(hashes), first)
-            salt = part[first] + np.uint64(level << 40)
-            out.append(mix(sums + mix(salt)))
-            if parts - len(first) > spare:
-                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-                out.append(mix(mix(empty + np.uint64(level << 40)) ^ _M1))
+            for turn, chosen in enumerate((uncommon, hashes)):
+                part = ((chosen >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the hashes are
+                first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, int)
+                salt = mix(np.arange(parts, dtype=np.uint64) + np.uint64((2 * level + turn) << 40))
+                if len(first):
+                    out.append(mix(np.add.reduceat(mix(chosen), first) + salt[part[first]]))
+                if parts - len(first) <= spare:
+                    break
+            else:
+                empty = np.ones(parts, bool)
+                empty[part[first]] = False
+                out.append(mix(salt[empty] ^ _M1))
         return np.concatenate(out).view(np.int64).tolist() if out else []
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[hashes & np.uint64(BITS - 1)] = True
+    """A bitmap of at least four bits a shingle; the width is a power of two."""
+    width = max(BITS, 1 << math.ceil(math.log2(4 * max(1, len(hashes)))))
+    bits = np.zeros(width, bool)
+    bits[hashes & np.uint64(width - 1)] = True
     return np.packbits(bits).view(np.uint64)
 
 
+def one_width(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps folded to the narrowest of them, one a row."""
+    narrow = min(map(len, maps)) // 8
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, narrow)) for m in maps])
+
+
 class Tree:
     """Nodes over sets sorted by size: leaves of ``LEAF`` sets, above them nodes of ``LEAF`` leaves."""
 
@@ -178,11 +204,52 @@ def clusters(sizes: np.ndarray, maps: np.ndarray, percent: int, exact: Callable
     return out
 
 
-def sets_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def common_shingles(docs: DataFrame, size: int) -> bytes:
+    """A bitmap, of fixed size, of shingles that many texts share.
+
+    Each task counts its own texts and passes on what it saw several times; equal texts count once
+    there. Marks may be missing or too many: routing is exact under any marks that are the same for
+    all texts, they only keep unrelated texts apart.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        shingle, held, some, seen = Shingler(size), [], 0, set()
+
+        def counted():
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            often = times >= TASK_TEXTS
+            return {"hash": found[often].view(np.int64), "texts": times[often]}
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                found = shingle(text)
+                digest = hash(found.tobytes())
+                if digest not in seen:
+                    held.append(found)
+                    some += len(found)
+                    if len(seen) < 1_000_000:
+                        seen.add(digest)
+                if some > 4_000_000:
+                    yield counted()
+                    held, some = [], 0
+        if held:
+            yield counted()
+
+    shared = arrow_pass(docs.select("text"), rows, "hash long, texts long").groupBy("hash").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= COMMON_TEXTS)
+    at = F.col("hash").bitwiseAND(F.lit(COMMON_BITS - 1))
+    words = shared.select(F.shiftright(at, 5).alias("word"), F.expr(f"shiftleft(1L, cast(hash & {COMMON_BITS - 1} & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marks = np.zeros(COMMON_BITS // 32, np.uint32)
+    for word, bits in words.collect():  # at most COMMON_BITS / 32 rows
+        marks[word] = bits
+    return marks.tobytes()
+
+
+def sets_of(docs: DataFrame, size: int, percent: int, common: bytes) -> DataFrame:
     """``doc_id, n, digest, keys``: keys only once in a task for equal sets, none for an empty set."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
         shingle, levels, sent = Shingler(size), Levels(percent), set()
+        marks = np.unpackbits(np.frombuffer(common, np.uint8), bitorder="little").view(bool)
         for batch in batches:
             n, digests, keys = [], [], []
             for text in batch.column("text").to_pylist():
@@ -190,7 +257,7 @@ def sets_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
                 n.append(len(found))
                 digests.append(digest)
-                keys.append(levels.keys(found) if digest and digest not in sent else None)
+                keys.append(levels.keys(found, marks[found & np.uint64(COMMON_BITS - 1)]) if digest and digest not in sent else None)
                 if len(sent) < 1_000_000:
                     sent.add(digest)
             yield {"doc_id": batch.column("doc_id"), "n": n, "digest": digests, "keys": keys}
@@ -226,7 +293,7 @@ def _edges(dealt: DataFrame, key: str, decide: Callable[[pa.Table], np.ndarray])
 
 def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
-    found = materialise(sets_of(docs, size, percent), "sets")
+    found = materialise(sets_of(docs, size, percent, common_shingles(docs, size)), "sets")
     named = found.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialise(named.select("doc_id", "digest").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes")
     copies = classes.where("c > 1").join(named.select("doc_id", "digest"), "digest").where("doc_id <> rep").select("doc_id", "rep")
@@ -240,7 +307,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     known = materialise(signatures(join_ids(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), needed, "left_semi"), size), "signatures")
 
     def bounded(group: pa.Table) -> np.ndarray:
-        return clusters(group["n"].to_numpy(), np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint64).reshape(group.num_rows, -1), percent)
+        return clusters(group["n"].to_numpy(), one_width(group["signature"].to_pylist()), percent)
 
     dealt = chunk_pairs(groups, "g", "rep", GROUP_ROWS).join(known.drop("hashes"), "rep")
     cluster = materialise(connected_components(materialise(_edges(dealt, "g", bounded), "candidates")), "clusters").withColumnRenamed("id", "rep")
@@ -260,7 +327,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
                 out[k : k + 256] = 100 * overlap >= percent * (n[one] + n[part] - overlap)
             return out
 
-        maps = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint64).reshape(group.num_rows, -1)
+        maps = one_width(group["signature"].to_pylist())
         return clusters(n, maps, percent, similar)
 
     whole = chunk_pairs(cluster.join(known.select("rep", "n"), "rep"), "component", "rep", CLUSTER_SHINGLES, "n").drop("n").join(known, "rep")

@@ -82,6 +82,8 @@ def test_jaccard_join_in_small_chunks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP_ROWS", 3)
     monkeypatch.setattr(jaccard, "CLUSTER_SHINGLES", 300)
     monkeypatch.setattr(jaccard, "BITS", 64)
+    monkeypatch.setattr(jaccard, "TASK_TEXTS", 2)
+    monkeypatch.setattr(jaccard, "COMMON_TEXTS", 3)
     check_jaccard(spark, 2, 80)
 
 
@@ -97,6 +99,9 @@ def test_routing_keys_lose_no_pair():
         both = len(np.intersect1d(a, b))
         if 100 * both >= 80 * (len(a) + len(b) - both) and not np.array_equal(a, b):
             assert set(levels.keys(a)) & set(levels.keys(b))
+            for share in (2, 3, 20):  # under any marks that are the same for all texts
+                assert set(levels.keys(a, a % np.uint64(share) == 0)) & set(levels.keys(b, b % np.uint64(share) == 0))
+                assert set(levels.keys(a, a % np.uint64(share) != 0)) & set(levels.keys(b, b % np.uint64(share) != 0))
 
 
 def test_vectors(spark, monkeypatch):
