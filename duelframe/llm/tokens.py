@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 from duelframe.llm.common import arrow_pass
 
 #: A block ends with the first text that brings it to so many characters, or at so many texts.
-BLOCK_CHARS, BLOCK_TEXTS = 16_000_000, 60_000
+BLOCK_CHARS, BLOCK_TEXTS = 8_000_000, 60_000
 #: A pre-token that this share of a block's texts hold is counted there; so few others are.
 HOT_SHARE, HOT_TEXTS = 0.25, 64
 #: Buckets for each shuffle partition, so that partitions get about as much each.
@@ -156,6 +156,7 @@ def frequencies(docs: DataFrame, tokenizer_path: str, buckets: int) -> DataFrame
                 block.add(doc_id, text or "", split, unknown)
                 if block.full():
                     yield from block.rows((task << 24) + done, buckets, pieces)
+                    block = None  # its memory goes before the next block's comes
                     done, block = done + 1, Block()
         if block.doc_ids:
             yield from block.rows((task << 24) + done, buckets, pieces)
