@@ -16,13 +16,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F, types as T
 
 MAX_ROWS_CONF = "duelframe.maxRowsPerHistory"
 DEFAULT_MAX_ROWS = 2_000_000
 _CELL = ["_cell_day", "_cell_id"]
-_MEASURED: dict[tuple, Layout] = {}
+_MEASURED: WeakKeyDictionary[SparkSession, dict[tuple, Layout]] = WeakKeyDictionary()
 
 
 @dataclass(frozen=True)
@@ -78,10 +79,11 @@ def measure(
     spark = df.sparkSession
     limit = max_rows or int(spark.conf.get(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS)))
     sized = df.select(*keys, date, tie)
-    known = (spark, sized.semanticHash(), tuple(keys), date, tie, limit)
-    if known not in _MEASURED:
-        _MEASURED[known] = _measure(sized, keys, date, tie, limit)
-    return _MEASURED[known]
+    measured = _MEASURED.setdefault(spark, {})
+    known = (sized.semanticHash(), tuple(keys), date, tie, limit)
+    if known not in measured:
+        measured[known] = _measure(sized, keys, date, tie, limit)
+    return measured[known]
 
 
 def _measure(df: DataFrame, keys: Sequence[str], date: str, tie: str, limit: int) -> Layout:

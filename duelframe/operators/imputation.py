@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 FLAG_COLUMNS = (
     "home_is_back_to_back", "away_is_back_to_back", "home_bye_last_round", "away_bye_last_round",
     "is_finals", "odds_home_favourite", "is_home", "is_neutral_venue",
+    "odds_spread_agree", "elo_spread_agree", "attendance_high", "is_night_game", "is_afternoon_game", "is_day_game",
+    "is_early_season", "is_mid_season", "is_late_season",
 )
 # fixed values: price movements that are 0, and neutral fills, when only the closing price is known
 NO_MOVEMENT = (
@@ -30,15 +32,21 @@ def exact_medians(df: DataFrame, columns: Sequence[str], bins: int = 1024) -> di
     map-side combined aggregate of at most ``bins`` rows per column) and zooms into the slice that
     holds the middle. It ends when the middle two values are the ends of neighbouring slices or the
     slice holds a single value; the range shrinks by ``bins`` per pass. The narrow projection is kept for
-    the passes (memory, then disk; a lost block is recomputed).
+    the passes (memory, then disk; a lost block is recomputed). NaN and infinities count as gaps.
     """
-    numeric = df.select([F.col(c).cast("double").alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+    numeric = df.select([_known(c).alias(c) for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return _exact_medians(numeric, columns, bins)
     finally:
         numeric.unpersist()
 
 
+def _known(column: str) -> Column:
+    """The value as a double; null for NaN and infinities."""
+    value = F.col(column).cast("double")
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def _exact_medians(numeric: DataFrame, columns: Sequence[str], bins: int) -> dict[str, float | None]:
     first = numeric.agg(
         *[
@@ -65,7 +73,7 @@ def _exact_medians(numeric: DataFrame, columns: Sequence[str], bins: int) -> dic
             lo = F.when(F.col("column") == c, F.lit(a)).otherwise(lo)
             hi = F.when(F.col("column") == c, F.lit(b)).otherwise(hi)
         held = long.withColumns({"lo": lo, "hi": hi}).filter(F.col("value").between(F.col("lo"), F.col("hi")))
-        at = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+        at = F.least(F.floor((F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1))
         counts = held.groupBy("column", at.alias("at")).agg(
             F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
         )
@@ -94,7 +102,7 @@ def _exact_medians(numeric: DataFrame, columns: Sequence[str], bins: int) -> dic
 def fill_with(df: DataFrame, medians: Mapping[str, float | None], flags: Sequence[str] = FLAG_COLUMNS) -> DataFrame:
     """Fill gaps with the fitted medians (0 for flags and for columns without any value)."""
     fills = {c: 0.0 if c in flags or m is None or math.isnan(m) else float(m) for c, m in medians.items()}
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in fills.items() if c in df.columns})
+    return df.withColumns({c: F.coalesce(_known(c), F.lit(v)) for c, v in fills.items() if c in df.columns})
 
 
 def clamp_openers(df: DataFrame, max_rest: int = MAX_REST) -> DataFrame:

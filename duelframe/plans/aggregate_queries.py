@@ -31,10 +31,10 @@ def ag02(spark, sf):
 
 @query(
     "ag03_set_aggregate",
-    "SELECT match_id, side, CAST(len(list(DISTINCT member_id)) AS INTEGER) AS n, array_to_string(list_sort(list(DISTINCT member_id)), ',') AS members FROM appearances WHERE slot <= 17 GROUP BY 1, 2",
+    "SELECT match_id, side, CAST(len(list(DISTINCT member_id)) AS INTEGER) AS n, array_to_string(list_sort(list(DISTINCT member_id)), ',') AS members FROM appearances GROUP BY 1, 2",
 )
 def ag03(spark, sf):
-    sets = A.appearances(spark, sf).filter("slot <= 17").groupBy("match_id", "side").agg(F.sort_array(F.collect_set("member_id")).alias("s"))
+    sets = A.appearances(spark, sf).groupBy("match_id", "side").agg(F.sort_array(F.collect_set("member_id")).alias("s"))
     return sets.select("match_id", "side", F.size("s").alias("n"), F.concat_ws(",", F.col("s").cast("array<string>")).alias("members"))
 
 

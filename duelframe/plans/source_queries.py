@@ -154,12 +154,12 @@ def src07(spark, sf):
 
 @query(
     "src08_player_rows",
-    "SELECT match_id, side, member_id AS player_id, minutes, CASE WHEN member_id % 7 = 0 THEN NULL ELSE member_name END AS player_name, CASE WHEN member_id % 7 = 0 THEN 0 ELSE slot END AS jersey_number FROM member_games WHERE slot <= 17",
+    "SELECT match_id, side, member_id AS player_id, minutes, CASE WHEN member_id % 7 = 0 THEN NULL ELSE member_name END AS player_name, CASE WHEN member_id % 7 = 0 THEN 0 ELSE slot END AS jersey_number FROM member_games",
 )
 def src08(spark, sf):
     from duelframe.plans.common import member_games
 
-    g = member_games(spark, sf).filter("slot <= 17")
+    g = member_games(spark, sf)
     first, last = F.element_at(F.split("member_name", " "), 1), F.element_at(F.split("member_name", " "), 2)
     split = F.col("member_id") % 2 == 0
     person = F.when(F.col("member_id") % 7 != 0, F.struct(
@@ -435,8 +435,8 @@ def stm01(spark, sf):
 def stm02(spark, sf):
     stream = _stream(spark, sf, "orders").select(F.col("o_orderkey").alias("match_id"), F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("state"))
     out = place(spark, "stream-upsert")
-    Z.upsert_stream(stream, out, f"{out}-checkpoint", ("year",))
-    Z.upsert_stream(stream, out, f"{out}-checkpoint-2", ("year",))
+    Z.upsert_stream(stream, out, f"{out}-checkpoint", ("match_id",), ("year",))
+    Z.upsert_stream(stream, out, f"{out}-checkpoint-2", ("match_id",), ("year",))
     return S.scan(spark, out).select("match_id", "year", "state")
 
 

@@ -274,15 +274,15 @@ def nrm24(spark, sf):
 
 @query(
     "nrm25_arrays_to_rows",
-    "SELECT match_id, side, member_name, slot, slot <= 2 AS is_starter FROM appearances WHERE slot <= 17",
+    "SELECT match_id, side, member_name, slot, slot <= 2 AS is_starter FROM appearances",
 )
 def nrm25(spark, sf):
-    named = A.appearances(spark, sf).filter("slot <= 17")
+    named = A.appearances(spark, sf)
     ordered = F.transform(
         F.sort_array(F.collect_list(F.struct("slot", "member_name"))), lambda x: x["member_name"]
     )
     arrays = named.groupBy("match_id", "side").agg(ordered.alias("all")).select(
-        "match_id", "side", F.slice("all", 1, 2).alias("lineup"), F.slice("all", 3, 15).alias("bench")
+        "match_id", "side", F.slice("all", 1, 2).alias("lineup"), F.slice("all", F.lit(3), F.size("all")).alias("bench")
     )
     return G.appearance_rows(arrays, ["match_id", "side"], bench_from=3)
 
@@ -372,11 +372,11 @@ def set02(spark, sf):
     "set03_row_intersection",
     """
 SELECT match_id, CAST(len(list_intersect(h, a)) AS INTEGER) AS shared FROM
- (SELECT match_id, list(slot) FILTER (WHERE side = 'home') AS h, list(slot) FILTER (WHERE side = 'away') AS a FROM appearances WHERE slot <= 17 GROUP BY 1)
+ (SELECT match_id, list(slot) FILTER (WHERE side = 'home') AS h, list(slot) FILTER (WHERE side = 'away') AS a FROM appearances GROUP BY 1)
 WHERE h IS NOT NULL AND a IS NOT NULL""",
 )
 def set03(spark, sf):
-    seats = A.appearances(spark, sf).filter("slot <= 17").groupBy("match_id").agg(
+    seats = A.appearances(spark, sf).groupBy("match_id").agg(
         F.collect_set(F.when(F.col("side") == "home", F.col("slot"))).alias("h"),
         F.collect_set(F.when(F.col("side") == "away", F.col("slot"))).alias("a"),
     )

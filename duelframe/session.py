@@ -9,26 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "duelframe", cpus: int | None = None, **conf: str) -> SparkSession:
-    """A local session with the settings the library is tested under.
+    """A session with the settings the library is tested under.
 
-    On a cluster the submit command supplies master, memory and partition counts; only the
-    semantics-bearing settings (UTC, AQE) matter to the operators.
+    What the operators rely on (UTC, AQE) is always set. Master, memory and partition counts are set
+    only for a plain local run: under ``spark-submit`` those of the command hold, and with a
+    ``spark.master`` among ``conf`` or a session that runs already, those that are given there.
     """
-    cpus = cpus or os.cpu_count() or 8
-    builder = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-        .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("DUELFRAME_DRIVER_MEMORY", "12g"))
-        .config("spark.ui.enabled", "false")
-    )
-    for key, value in conf.items():
-        builder = builder.config(key, value)
+    settings = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+    }
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    if not submitted and "spark.master" not in conf and SparkSession.getActiveSession() is None:
+        cpus = cpus or os.cpu_count() or 8
+        settings |= {
+            "spark.master": f"local[{cpus}]",
+            "spark.sql.shuffle.partitions": str(cpus),
+            "spark.driver.memory": os.environ.get("DUELFRAME_DRIVER_MEMORY", "12g"),
+            "spark.ui.enabled": "false",
+            "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        }
+    builder = SparkSession.builder.appName(app).config(map=settings | conf)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -25,15 +25,11 @@ def whole(c: Column) -> Column:
 
 
 def view(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Build a view's lazy plan once per session and folder; plans are immutable, data is not kept."""
-    plans: dict[tuple[SparkSession, str], DataFrame] = {}
+    """Mark a lazy plan over given tables. It is built anew for each use, so files that landed since are read."""
 
     @wraps(build)
     def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark, sf_dir)
-        if key not in plans:
-            plans[key] = build(spark, sf_dir)
-        return plans[key]
+        return build(spark, sf_dir)
 
     return planned
 

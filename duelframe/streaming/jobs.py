@@ -13,19 +13,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from duelframe.operators.ratings import RatingParams, _Chain
 from duelframe.operators.sinks import replace_periods
+from duelframe.session import cut_lineage
 
 # the stateful update travels with its code, so workers need no installed copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, schema, files_per_trigger: int = 8) -> DataFrame:
-    """Landed Parquet files of one table as a stream."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+def file_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """Landed Parquet files of one table, a file or a folder of part files, as a stream.
+
+    A trigger takes all that has landed. Files land in no order of event time, and a cap on files
+    would make what is late, and so the result, depend on it.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return spark.readStream.schema(schema).parquet(f"{folder}/{name}")
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -62,10 +65,21 @@ def redecide(windows: DataFrame, decisions: DataFrame, threshold: float = 0.60,
     )
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, by: Sequence[str] = ("year", "round")) -> StreamingQuery:
-    """Replace the periods of every micro-batch; a batch replayed after a failure changes nothing."""
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], by: Sequence[str] = ("year", "round")) -> StreamingQuery:
+    """Replace rows by key; a batch replayed after a failure changes nothing.
+
+    Only the periods that a batch touches are read and rewritten. A key is expected to stay in its
+    period; a batch may hold any part of a period, and the rest of it stays.
+    """
 
     def apply(batch: DataFrame, _batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = cut_lineage(batch)
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            table = spark.read.schema(batch.schema).parquet(path)
+            touched = table.join(batch.select(*by).distinct(), list(by), "left_semi")
+            batch = cut_lineage(touched.join(batch.select(*keys), list(keys), "left_anti").unionByName(batch))
         replace_periods(batch, path, by)
 
     query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
