@@ -14,6 +14,7 @@ empty: 0 bytes, 0 tokens. Each input row is a text of its own, so repeated rows
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import unicodedata
@@ -141,6 +142,8 @@ PACKED = ("bucket", "block", "words", "lengths", "holders", "texts", "times", "d
 
 
 def piece_counter(tokenizer: Tokenizer) -> Callable[[list[str]], np.ndarray]:
+    """Counts pieces in this thread: Spark has dealt the work out, and the library's threads keep memory for good."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return lambda words: np.array([len(e.ids) for k in range(0, len(words), 5000) for e in tokenizer.encode_batch_fast(words[k : k + 5000], add_special_tokens=False)], np.int64)
 
 
