@@ -73,7 +73,7 @@ def cutoffs(sized: DataFrame, aims: DataFrame, most: int = 3) -> DataFrame:
     budget = aims.agg(F.sum("source_size").alias("budget"))
     steps = timed.groupBy("step").agg(F.sum("size").alias("s")).select("step", F.sum("s").over(Window.orderBy("step")).alias("upto"), "s")
     steps = steps.crossJoin(F.broadcast(budget)).where("upto - s <= budget").select("step", (F.col("upto") - F.col("s")).alias("before"), "upto", "budget")  # one row of budget
-    known = timed.join(steps, "step")
+    known = timed.join(F.broadcast(steps), "step")  # at most _LAST + 1 rows
     whole = known.where("upto <= budget").groupBy("source").agg(F.max("at").alias("cut"))
     part = known.where("upto > budget").withColumn("total", F.col("before") + F.sum("size").over(Window.partitionBy("step").orderBy("finish", F.col("source").asc_nulls_last(), "at")))
     part = part.where("total <= budget").groupBy("source").agg(F.max("at").alias("cut"))
