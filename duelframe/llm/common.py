@@ -59,12 +59,13 @@ def chunk_pairs(df: DataFrame, key: str, order: str, limit: int, weight: str | N
 
     A key with up to ``limit`` rows (or as much ``weight``) stays one group. A larger one is cut into
     chunks by a hash of ``order``, and each row goes to every pair of chunks that holds its own. Adds
-    ``lo`` and ``hi`` (the pair) and ``chunk`` (the row's own); a group is one (key, lo, hi).
+    ``lo`` and ``hi`` (the pair) and ``chunk`` (the row's own); a group is one (key, lo, hi). Rows are
+    told of their key's size where they are, so those of a large key do not come together for it.
     """
     amount = F.sum(weight) if weight else F.count("*")
-    counted = df.groupBy(key).agg(amount.alias("_n")).where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_c"))
+    large = df.groupBy(key).agg(amount.alias("_n")).where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_c"))
     return (
-        df.join(counted, key, "left")
+        join_ids(df, materialise(large, "large-groups"), "left")
         .withColumn("_c", F.coalesce("_c", F.lit(1)))
         .withColumn("chunk", F.pmod(F.xxhash64(order), F.col("_c")).cast("int"))
         .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
@@ -78,7 +79,7 @@ BROADCAST_IDS = 4_000_000
 
 
 def join_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of wide rows with a materialised table of ids, on its one column.
+    """Join of many rows with a materialised table of distinct ids, on its first column.
 
     The ids are counted: up to ``BROADCAST_IDS`` are broadcast, more are joined by a shuffle.
     """

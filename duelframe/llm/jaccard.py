@@ -36,6 +36,8 @@ TASK_TEXTS, COMMON_TEXTS, COMMON_BITS = 4, 64, 1 << 23
 #: Least bits of a signature; rows of a group, and shingles of a cluster, that a task takes in one chunk.
 BITS, GROUP_ROWS, CLUSTER_SHINGLES = 1024, 4096, 2_000_000
 LEAF, FRONTIER = 32, 64
+#: A routing key is frequent if a task meets it so often among so many keys.
+FREQUENT, HELD_KEYS = 16, 2_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -265,6 +267,40 @@ def sets_of(docs: DataFrame, size: int, percent: int, common: bytes) -> DataFram
     return arrow_pass(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, n long, digest binary, keys array<long>")
 
 
+def key_groups(keyed: DataFrame) -> DataFrame:
+    """``g, doc_id``: the texts that share a routing key; keys of the same members are one group.
+
+    Keys that a task meets often are counted where their rows are, and looked up in those counts. Only
+    the others are brought together by key, and each has fewer rows than ``FREQUENT`` for every
+    ``HELD_KEYS`` keys of the corpus.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]):
+        held, some = [], 0
+
+        def often():
+            keys, times = np.unique(np.concatenate(held), return_counts=True)
+            return {"key": keys[times >= FREQUENT]}
+
+        for batch in batches:
+            held.append(batch.column("keys").flatten().to_numpy())
+            some += len(held[-1])
+            if some >= HELD_KEYS:
+                yield often()
+                held, some = [], 0
+        if held:
+            yield often()
+
+    frequent = materialise(arrow_pass(keyed.where("keys IS NOT NULL").select("keys"), rows, "key long").distinct(), "frequent-keys")
+    flat = keyed.select("doc_id", F.explode("keys").alias("key"))
+    members = F.xxhash64("c", "x", "m").alias("g")
+    told = {"c": F.count("*"), "x": F.expr("bit_xor(xxhash64(doc_id))"), "m": F.min("doc_id")}
+    counts = materialise(join_ids(flat, frequent, "left_semi").groupBy("key").agg(*[v.alias(n) for n, v in told.items()]).where("c > 1").select("key", members), "key-counts")
+    by_key = Window.partitionBy("key")
+    rest = join_ids(flat, frequent, "left_anti").select("doc_id", *[v.over(by_key).alias(n) for n, v in told.items()])
+    return join_ids(flat, counts, "inner").select("g", "doc_id").union(rest.where("c > 1").select(members, "doc_id")).distinct()
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """``rep, n, signature, hashes`` of some texts."""
 
@@ -298,10 +334,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     classes = materialise(named.select("doc_id", "digest").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes")
     copies = classes.where("c > 1").join(named.select("doc_id", "digest"), "digest").where("doc_id <> rep").select("doc_id", "rep")
 
-    keyed = named.select("doc_id", F.explode("keys").alias("key"))
-    by_key = Window.partitionBy("key")
-    members = keyed.select("doc_id", F.count("*").over(by_key).alias("c"), F.expr("bit_xor(xxhash64(doc_id)) OVER (PARTITION BY key)").alias("x"), F.min("doc_id").over(by_key).alias("m"))
-    groups = members.where("c > 1").select(F.xxhash64("c", "x", "m").alias("g"), "doc_id").distinct()  # groups of the same members are one
+    groups = key_groups(named.select("doc_id", "keys"))
     groups = materialise(groups.join(copies, "doc_id", "left").select("g", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "groups")
     needed = materialise(groups.select("rep").distinct(), "needed")
     known = materialise(signatures(join_ids(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), needed, "left_semi"), size), "signatures")

@@ -84,6 +84,7 @@ def test_jaccard_join_in_small_chunks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BITS", 64)
     monkeypatch.setattr(jaccard, "TASK_TEXTS", 2)
     monkeypatch.setattr(jaccard, "COMMON_TEXTS", 3)
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)
     check_jaccard(spark, 2, 80)
 
 
