@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -57,10 +59,14 @@ def marginal_bytes(candidate: str, around: str, identifiers: str = IDENTIFIERS)
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], min_ratio: float, context: int, around: int, identifiers: str) -> list[tuple[int, int, int]]:
-    out = []
+    out, taken = [], sorted(taken)
+    starts, reach = [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
     for m in CANDIDATE.finditer(text):
         word, start, end = m.group(), m.start(), m.end()
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) or any(s < end and start < e for s, _, e in taken):
+        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
+            continue
+        before = bisect_left(starts, end)
+        if before and reach[before - 1] > start:
             continue
         if not SENSITIVE.search(text, max(0, start - context), start):
             continue
