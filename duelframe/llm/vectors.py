@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import arrow_pass, chunk_pairs, connected_components, join_ids, materialise, sorted_groups, spanning
+from duelframe.llm.common import arrow_pass, chunk_pairs, connected_components, materialise, sorted_groups, spanning
 
 SEED = 20_240_601
 CHUNK = 1024
@@ -126,7 +126,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     reps = materialise(reps, "reps")
     buckets = reps.select("digest", F.posexplode("keys").alias("table", "key"))
     several = materialise(buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared-keys")
-    shared = join_ids(buckets, several, "left_semi")
+    shared = buckets.join(several, "key", "left_semi")
     dealt = chunk_pairs(materialise(shared, "buckets"), "key", "digest", CHUNK).join(reps.select("digest", "rep", "n", "vector"), "digest")
 
     def rows(batches: Iterator[pa.RecordBatch]):
