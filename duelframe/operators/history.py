@@ -5,40 +5,45 @@ bounded, and ruinous when one key owns a third of the table. ``measure`` counts
 scan, one row to the driver) and picks between two exact plans:
 
 * direct: ``Window.partitionBy(key).orderBy(date, id)``;
-* cut: the history is cut along its own order into cells (ranges of days and, inside a hot day,
-  ranges of ids). Bounded frames run per cell on the cell's rows plus the few last rows of earlier
-  cells; growing frames run per cell and add the totals of earlier cells. Only per-cell summaries
-  are ever brought together per key.
+* cut: the history is cut along its own order into cells of about equal numbers of rows, so that a
+  burst is cut as finely as it needs. Bounded frames run per cell on the cell's rows plus the few
+  last rows of earlier cells; growing frames run per cell and add the totals of earlier cells. Only
+  per-cell summaries are ever brought together per key.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
-from weakref import WeakKeyDictionary
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
+
+from duelframe.session import cut_lineage
 
 MAX_ROWS_CONF = "duelframe.maxRowsPerHistory"
 DEFAULT_MAX_ROWS = 2_000_000
-_CELL = ["_cell_day", "_cell_id"]
-_MEASURED: WeakKeyDictionary[SparkSession, dict[tuple, Layout]] = WeakKeyDictionary()
+_CELL = ["_cell"]
+#: Cells whose bounds may be broadcast: some 16 MB.
+BROADCAST_CELLS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Keys and order of a history, and how finely it has to be cut.
+    """Keys and order of a history, and where it has to be cut.
 
-    ``width`` is in days for a date column and in seconds for a timestamp column; None means the
-    largest history fits one task. ``ids`` cuts a hot day further, by ranges of the tie-breaker.
+    ``bounds`` holds, per key with more than the allowed rows, the sorted places at which its cells
+    begin; None means that the largest history fits one task. A place is a tick (day or minute) and
+    a position inside it: the tie-breaker for dates, microseconds for timestamps. Any bounds are
+    exact, since a row's cell is the number of bounds at or before it. ``cells`` counts the bounds.
     """
 
     keys: tuple[str, ...]
     date: str = "event_date"
     tie: str = "match_id"
-    width: int | None = None
-    ids: int | None = None
+    bounds: DataFrame | None = field(default=None, compare=False, repr=False)
+    cells: int = 0
 
     @property
     def order(self) -> list[str]:
@@ -46,23 +51,35 @@ class Layout:
 
     @property
     def partition(self) -> list[str]:
-        return list(self.keys) if self.width is None else [*self.keys, *_CELL]
+        return list(self.keys) if self.bounds is None else [*self.keys, *_CELL]
 
     def cut(self, df: DataFrame) -> DataFrame:
-        when = _clock(df, self.date)
-        part = F.floor(F.col(self.tie) / F.lit(self.ids)) if self.ids else F.lit(0)
-        return df.withColumns(
-            {_CELL[0]: F.floor(when / F.lit(self.width)).cast("long"), _CELL[1]: part.cast("long")}
+        """Add the cell of each row; keys without bounds are one cell.
+
+        The last bound at or before a row is found by bisection, with a fixed number of steps.
+        """
+        bounds = F.broadcast(self.bounds) if self.cells <= BROADCAST_CELLS else self.bounds
+        place = F.struct(*_place(df, self.date, self.tie))
+        steps = [2**k for k in range(max(1, self.cells).bit_length() - 1, -1, -1)]
+        joined = df.join(bounds, reduce(lambda x, y: x & y, [df[k].eqNullSafe(bounds[f"_b_{k}"]) for k in self.keys]), "left")
+        cell = F.aggregate(
+            F.array(*[F.lit(s) for s in steps]),
+            F.lit(0),
+            lambda at, step: F.when((at + step <= F.size("_bounds")) & (F.get("_bounds", at + step - 1) <= F.col("_at")), at + step).otherwise(at),
         )
+        return joined.withColumn("_at", place).select(*df.columns, F.when(F.col("_bounds").isNull(), 0).otherwise(cell).alias(_CELL[0]))
 
 
 def _is_date(df: DataFrame, date: str) -> bool:
     return isinstance(df.schema[date].dataType, T.DateType)
 
 
-def _clock(df: DataFrame, date: str) -> Column:
-    """Days (dates) or seconds (timestamps) since 1970."""
-    return F.unix_date(date) if _is_date(df, date) else F.unix_seconds(F.col(date).cast("timestamp"))
+def _place(df: DataFrame, date: str, tie: str) -> list[Column]:
+    """Tick of a row (day, or start of the minute) and its position inside the tick."""
+    if _is_date(df, date):
+        return [F.unix_date(date).cast("long").alias("tick"), F.col(tie).cast("long").alias("pos")]
+    micros = F.unix_micros(F.col(date).cast("timestamp"))
+    return [F.floor(micros / F.lit(60_000_000)).cast("long").alias("tick"), micros.alias("pos")]
 
 
 def measure(
@@ -72,52 +89,55 @@ def measure(
     tie: str = "match_id",
     max_rows: int | None = None,
 ) -> Layout:
-    """Pick a layout from the size of the largest history and of its fullest day.
+    """Pick a layout from the size of the largest history.
 
-    The answer is remembered per plan: a stale one would still be exact, only cut too coarsely.
+    The answer is remembered per plan, on the session: a stale one would still be exact, only cut
+    too coarsely.
     """
     spark = df.sparkSession
     limit = max_rows or int(spark.conf.get(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS)))
-    sized = df.select(*keys, date, tie)
-    measured = _MEASURED.setdefault(spark, {})
+    sized = df.select(*keys, *_place(df, date, tie))
+    measured = vars(spark).setdefault("_duelframe_layouts", {})
     known = (sized.semanticHash(), tuple(keys), date, tie, limit)
     if known not in measured:
-        measured[known] = _measure(sized, keys, date, tie, limit)
+        measured[known] = _measure(sized, tuple(keys), date, tie, limit)
     return measured[known]
 
 
-def _measure(df: DataFrame, keys: Sequence[str], date: str, tie: str, limit: int) -> Layout:
-    dates = _is_date(df, date)
-    step = 1 if dates else 60
-    tick = F.floor(_clock(df, date) / F.lit(step)) * F.lit(step)
-    per_tick = df.groupBy(*keys, tick.alias("_d")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(tie).alias("lo"), F.max(tie).alias("hi")
-    )
-    per_key = per_tick.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        F.max("n").alias("fullest"),
-        (F.max("_d") - F.min("_d") + step).alias("span"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
+def _measure(sized: DataFrame, keys: tuple[str, ...], date: str, tie: str, limit: int) -> Layout:
+    counts = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    large = counts.filter(F.col("n") > limit)
+    most = large.agg(F.max("n").alias("n"), F.sum(F.ceil(F.col("n") / limit)).alias("cells")).first()
+    if most["n"] is None:
+        return Layout(keys, date, tie)
+    few = most["cells"] <= BROADCAST_CELLS
+
+    def only(df: DataFrame, chosen: DataFrame, on: Sequence[str]) -> DataFrame:
+        """Rows of ``df`` that have a partner; nulls equal nulls."""
+        chosen = chosen.select(*[F.col(c).alias(f"_o_{c}") for c in on])
+        match = reduce(lambda x, y: x & y, [df[c].eqNullSafe(chosen[f"_o_{c}"]) for c in on])
+        return df.join(F.broadcast(chosen) if few else chosen, match, "left_semi")
+
+    mine = only(sized, large, keys)
+    ticks = cut_lineage(mine.groupBy(*keys, "tick").agg(F.count(F.lit(1)).alias("n")))
+    in_order = Window.partitionBy(*keys).orderBy("tick")
+    part = F.floor((F.sum("n").over(in_order) - F.col("n")) / F.lit(limit))
+    starts = (
+        ticks.withColumn("_part", part)
+        .withColumn("_last", F.lag("_part").over(in_order))
+        .filter(F.col("_part") > F.coalesce("_last", F.lit(0)))
+        .select(*keys, "tick", F.lit(None).cast("long").alias("pos"))
     )
-    big = per_key.agg(
-        F.max("n").alias("n"),
-        F.max("fullest").alias("fullest"),
-        F.max_by("span", "n").alias("span"),
-        F.min("lo").alias("lo"),
-        F.max("hi").alias("hi"),
-    ).first()
-    if big is None or big["n"] is None or big["n"] <= limit:
-        return Layout(tuple(keys), date, tie)
-    width = max(1, math.floor(big["span"] * limit / big["n"]))
-    ids = None
-    if big["fullest"] > limit:
-        if dates:
-            width = 1
-            ids = max(1, math.ceil((big["hi"] - big["lo"] + 1) / math.ceil(big["fullest"] / limit)))
-        else:
-            width = max(1, min(width, math.floor(step * limit / big["fullest"])))
-    return Layout(tuple(keys), date, tie, width, ids)
+    hot = ticks.filter(F.col("n") > limit)
+    fullest = hot.agg(F.max("n")).first()[0]
+    if fullest is not None:  # a tick too large for one cell is cut at quantiles of the position
+        parts = math.ceil(fullest / limit)
+        quantiles = F.percentile_approx("pos", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))
+        inside = only(mine, hot, [*keys, "tick"]).groupBy(*keys, "tick").agg(quantiles.alias("pos"))
+        starts = starts.unionByName(inside.withColumn("pos", F.explode("pos")))
+    bounds = starts.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("tick", "pos"))).alias("_bounds"))
+    bounds = cut_lineage(bounds.select(*[F.col(k).alias(f"_b_{k}") for k in keys], "_bounds"))
+    return Layout(keys, date, tie, bounds, bounds.agg(F.sum(F.size("_bounds"))).first()[0] or 0)
 
 
 @dataclass(frozen=True)
@@ -191,7 +211,7 @@ def lookback(
     carry: Column | None = None,
 ) -> DataFrame:
     """Add columns computed over at most ``depth`` earlier rows (earlier *carried* rows if given)."""
-    if layout.width is None:
+    if layout.bounds is None:
         made = columns(Frames(layout.partition, layout.order))
         return df.select("*", *[c.alias(n) for n, c in made.items()])
     cut = layout.cut(df)
@@ -227,7 +247,7 @@ def running(
     frame = Window.partitionBy(*layout.partition).orderBy(*layout.order).rowsBetween(
         Window.unboundedPreceding, end
     )
-    if layout.width is None:
+    if layout.bounds is None:
         return df.select("*", *[_GROWING[how](c).over(frame).alias(n) for n, (how, c) in totals.items()])
     cut = layout.cut(df)
     cells = cut.groupBy(*layout.keys, *_CELL).agg(
@@ -241,9 +261,11 @@ def running(
         *[over[how](f"_t_{n}").over(before).alias(f"_p_{n}") for n, (how, _) in totals.items()],
     )
     local = cut.select("*", *[_GROWING[how](c).over(frame).alias(f"_l_{n}") for n, (how, c) in totals.items()])
-    keep = [c for c in df.columns]
-    return local.join(prefix, [*layout.keys, *_CELL], "left").select(
-        *keep,
+    on = [*layout.keys, *_CELL]
+    prefix = prefix.select(*[F.col(c).alias(f"_q_{c}") for c in on], *[f"_p_{n}" for n in totals])
+    match = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in on])
+    return local.join(prefix, match, "left").select(
+        *df.columns,
         *[
             _combine(how, F.col(f"_p_{n}"), F.col(f"_l_{n}")).alias(n)
             for n, (how, _) in totals.items()

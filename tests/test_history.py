@@ -6,7 +6,7 @@ import pytest
 from conftest import same
 from pyspark.sql import functions as F
 
-from duelframe.operators import groups as G, windows as W
+from duelframe.operators import groups as G, history as H, windows as W
 from duelframe.operators.history import Layout, measure
 from duelframe.operators.sides import team_log
 from duelframe.plans.common import log
@@ -41,17 +41,54 @@ def games(spark):
 def layouts(df, keys):
     direct = measure(df, keys, max_rows=10**9)
     cut = measure(df, keys, max_rows=20)
-    assert direct.width is None
-    assert cut.width is not None
+    assert direct.bounds is None
+    assert cut.bounds is not None
     return direct, cut
 
 
+def fullest(df, layout):
+    return layout.cut(df).groupBy(*layout.partition).count().agg(F.max("count")).first()[0]
+
+
 def test_measure_cuts_hot_days_by_id(games):
     df = team_log(games)
-    cut = measure(df, ["entity_id"], max_rows=20)
-    assert cut.width == 1 and cut.ids is not None
-    sizes = cut.cut(df).groupBy("entity_id", "_cell_day", "_cell_id").count().agg(F.max("count")).first()[0]
-    assert sizes <= 60  # cells stay near the limit although one participant owns a third of the rows
+    assert fullest(df, measure(df, ["entity_id"], max_rows=20)) <= 40
+
+
+def test_no_cell_is_much_above_the_limit(spark):
+    """A long even history beside a burst of days, a burst in one day with scattered ids, null keys and dates, many small keys."""
+    id = F.col("id")
+    day = (
+        F.when(id < 2000, id % 1000)
+        .when(id < 3900, 500 + id % 20)
+        .when(id < 5000, F.lit(77))
+        .when(id < 5060, F.lit(None))
+        .when(id < 6000, id % 400)
+        .otherwise(id % 50)
+    )
+    key = F.when(id < 2000, 1).when(id < 3900, 2).when(id < 5060, 3).when(id < 6000, F.lit(None)).otherwise(id % 300 + 10)
+    df = spark.range(9000).select(
+        key.alias("k"), F.date_add(F.lit(datetime.date(2001, 1, 1)), day.cast("int")).alias("event_date"),
+        F.when(id % 7 == 0, id * id * 1000).otherwise(id).alias("match_id"), (id % 13).alias("x"),
+    )
+    layout = measure(df, ["k"], max_rows=100)
+    assert fullest(df, layout) <= 200
+    assert df.count() == layout.cut(df).count()
+    plain = measure(df, ["k"], max_rows=10**9)
+    totals = {"s": ("sum", F.col("x")), "m": ("max", F.col("x")), "n": ("count", F.col("x"))}
+    same(H.running(df, plain, totals), H.running(df, layout, totals))
+    last = lambda w: {"three": F.collect_list("x").over(w.prior(3))}
+    same(H.lookback(df, plain, 3, last), H.lookback(df, layout, 3, last))
+
+
+def test_no_cell_of_timestamps_is_much_above_the_limit(spark):
+    id = F.col("id")
+    micros = F.when(id < 800, id * 3_600_000_000).when(id < 2000, 7_000_000_000 + id * 37).otherwise(id * 60_000_000)
+    df = spark.range(3000).select(F.lit(1).alias("k"), F.timestamp_micros(micros).alias("ts"), id.alias("event_id"), (id % 5).alias("x"))
+    layout = measure(df, ["k"], "ts", "event_id", max_rows=50)
+    assert fullest(df, layout) <= 100
+    last = lambda w: {"three": F.collect_list("x").over(w.prior(3))}
+    same(H.lookback(df, measure(df, ["k"], "ts", "event_id", max_rows=10**9), 3, last), H.lookback(df, layout, 3, last))
 
 
 def test_rolling_form(games):
@@ -94,7 +131,7 @@ def test_lineups(spark, sf):
     apps = A.appearances(spark, sf)
     lines = G.lineups(log(spark, sf), apps).persist()
     a, b = measure(lines, ["entity_id"]), measure(lines, ["entity_id"], max_rows=15)
-    assert a.width is None and b.width is not None
+    assert a.bounds is None and b.bounds is not None
     same(G.lineup_stability(lines, a).select("match_id", "side", "lineup_stability"), G.lineup_stability(lines, b).select("match_id", "side", "lineup_stability"))
     same(G.slot_changes(lines, a, (1, 2)), G.slot_changes(lines, b, (1, 2)))
     same(G.expected_starters(apps), G.expected_starters(apps, max_rows=15))
@@ -110,7 +147,7 @@ def test_timestamp_histories_are_cut_by_seconds(spark, sf):
     e = A.table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
     a = measure(e, ["user_id"], "ts", "event_id")
     b = measure(e, ["user_id"], "ts", "event_id", max_rows=8)
-    assert b.width is not None and b.ids is None
+    assert b.bounds is not None
     cols = lambda lay: W.rolling_stats(e, lay, ["value"], (3,))
     same(cols(a), cols(b))
 
