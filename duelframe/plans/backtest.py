@@ -2,15 +2,18 @@
 
 Every fitted step (imputation, scaling, selection, model, calibration, stacking) sees only seasons
 before the one it scores. Folds are filters on one assembled table that is cut from its lineage
-once; a fold's rows are never brought to the driver.
+once; a fold's rows are never brought to the driver. Fits do not depend on each other, so a few run
+at a time.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -19,16 +22,24 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelframe.operators.imputation import clamp_openers, coherent_prices, recency_weight
+from duelframe.operators.imputation import FLAG_COLUMNS, clamp_openers, coherent_prices, exact_medians, recency_weight
 from duelframe.operators.metrics import fold_means, log_loss_of, probability_metrics
 from duelframe.session import cut_lineage
 
 Factory = Callable[[str], Estimator]
+#: Fits that run at the same time.
+FITS_AT_ONCE = 4
+
+
+def _concurrently(work: Callable, items: Iterable) -> list:
+    """Results of independent Spark jobs, in the order of ``items``."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(inheritable_thread_target(work), items))
 
 
 def market_model(df: DataFrame, prob: str, default: float = 0.55) -> DataFrame:
@@ -106,18 +117,23 @@ class Dataset:
         return Dataset(self.df, list(features), self.seasons)
 
 
-def _prepare(features: Sequence[str]) -> list[Estimator]:
-    """Median imputation fitted on the training slice, then one vector."""
-    filled = [f"_{c}" for c in features]
-    return [
-        Imputer(strategy="median", relativeError=0.001, inputCols=list(features), outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep"),
-    ]
+def median_fill(train: DataFrame, features: Sequence[str]) -> SQLTransformer:
+    """Fills gaps of each feature with its exact median in the training slice, in a column named ``_feature``.
+
+    Flags, and features without any value in the slice, are filled with 0. NaN and infinities are gaps.
+    """
+    medians = exact_medians(train, features)
+    fills = {c: 0.0 if c in FLAG_COLUMNS or m is None else m for c, m in medians.items()}
+    filled = [f"coalesce(if(abs(`{c}`) < double('inf'), `{c}`, NULL), double('{v!r}')) AS `_{c}`" for c, v in fills.items()]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
 
 
-def _fit(train: DataFrame, features: Sequence[str], model: Factory | ScaledLogistic) -> PipelineModel:
-    known = [c for c in features if c]
-    stages = _prepare(known)
+def _fit(train: DataFrame, features: Sequence[str], model: Factory | ScaledLogistic, fill: SQLTransformer | None = None) -> PipelineModel:
+    """Fill, one vector, model; ``fill`` may come from an earlier fit on the same slice."""
+    stages = [
+        fill or median_fill(train, features),
+        VectorAssembler(inputCols=[f"_{c}" for c in features], outputCol="features", handleInvalid="keep"),
+    ]
     if isinstance(model, ScaledLogistic):
         total = train.agg(F.sum("weight")).first()[0] or 1.0
         stages += model.stages("features", total)
@@ -138,9 +154,11 @@ def importances(fitted: PipelineModel, features: Sequence[str], spark: SparkSess
     return spark.createDataFrame(list(zip(features, values)), "feature string, importance double")
 
 
-def top_features(train: DataFrame, features: Sequence[str], n: int, model: Factory | None = None) -> list[str]:
+def top_features(
+    train: DataFrame, features: Sequence[str], n: int, model: Factory | None = None, fill: SQLTransformer | None = None
+) -> list[str]:
     """Names of the ``n`` most important features of a model fitted on the training slice only."""
-    fitted = _fit(train, features, model or boosted(3, 5))
+    fitted = _fit(train, features, model or boosted(3, 5), fill)
     ranked = importances(fitted, features, train.sparkSession).orderBy(F.desc("importance"), "feature").limit(n)
     return [r["feature"] for r in ranked.collect()]  # at most n names
 
@@ -153,24 +171,45 @@ def walk_forward(
 ) -> DataFrame:
     """Out-of-fold probabilities of every model, as one long table (model, fold, match, prob, label).
 
-    Train on all seasons before the fold's, test on the fold's; a fold without training or test rows
-    is skipped. With ``top_n`` each fold selects its features from its own training rows.
+    Train on all seasons before the fold's, test on the fold's; every season after the first is a
+    fold unless ``test_seasons`` names some. With ``top_n`` each fold selects its features from its
+    own training rows. Without a fold the table is empty.
     """
-    parts: list[DataFrame] = []
-    for season in test_seasons or data.seasons[1:]:
-        if season not in data.seasons or season == data.seasons[0]:
-            continue
-        train, test = data.df.filter(F.col("season") < season), data.df.filter(F.col("season") == season)
-        features = top_features(train, data.features, top_n) if top_n else data.features
-        for name, model in models.items():
-            parts.append(_scored(_fit(train, features, model), test).withColumn("model", F.lit(name)))
-        parts.append(
-            test.select("match_id", "season", "label", "market", F.col("market").alias("prob"), F.lit("market").alias("model"))
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumnRenamed("season", "fold")
+    return walk_forward_widths(data, models, (top_n,), test_seasons)[top_n]
+
+
+def walk_forward_widths(
+    data: Dataset,
+    models: Mapping[str, Factory | ScaledLogistic],
+    widths: Sequence[int | None],
+    test_seasons: Sequence[int] | None = None,
+) -> dict[int | None, DataFrame]:
+    """``walk_forward`` for several numbers of features; a fold is filled and ranked once for all."""
+    chosen = data.seasons[1:] if test_seasons is None else test_seasons
+    folds = [s for s in chosen if s in data.seasons[1:]]
+
+    def prepared(season: int):
+        train = data.df.filter(F.col("season") < season)
+        fill = median_fill(train, data.features)
+        most = max((n for n in widths if n), default=0)
+        return season, train, fill, top_features(train, data.features, most, fill=fill) if most else []
+
+    def fitted(job) -> DataFrame:
+        (season, train, fill, ranked), n, (name, model) = job
+        model = _fit(train, ranked[:n] if n else data.features, model, fill)
+        return _scored(model, data.df.filter(F.col("season") == season)).withColumn("model", F.lit(name))
+
+    jobs = [(fold, n, m) for fold in _concurrently(prepared, folds) for n in widths for m in models.items()]
+    parts = _concurrently(fitted, jobs)
+    base = data.df.filter(F.col("season").isin(folds)).withColumn("prob", F.col("market"))
+    out = {}
+    for n in widths:
+        long = base.select("match_id", "season", "label", "market", "prob", F.lit("market").alias("model"))
+        for job, part in zip(jobs, parts, strict=True):
+            if job[1] == n:
+                long = long.unionByName(part)
+        out[n] = long.withColumnRenamed("season", "fold")
+    return out
 
 
 def fold_scores(oof: DataFrame) -> DataFrame:
@@ -235,10 +274,8 @@ def meta_features(df: DataFrame) -> DataFrame:
 def cross_fitted(data: Dataset, model: Factory, folds: int = 5, seed: int = 7) -> DataFrame:
     """K-fold probabilities inside one slice; the fold is a hash of the match id, so it is stable."""
     rows = data.df.withColumn("_k", F.pmod(F.xxhash64("match_id", F.lit(seed)), F.lit(folds)))
-    parts = [
-        _scored(_fit(rows.filter(F.col("_k") != k), data.features, model), rows.filter(F.col("_k") == k))
-        for k in range(folds)
-    ]
+    fitted = lambda k: _scored(_fit(rows.filter(F.col("_k") != k), data.features, model), rows.filter(F.col("_k") == k))
+    parts = _concurrently(fitted, range(folds))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -350,7 +387,7 @@ def invalidate_stale(spark: SparkSession, folders: Sequence[str], digest: DataFr
     return stale
 
 
-def tuned(data: Dataset, grid: Mapping[str, Factory | ScaledLogistic], test_seasons: Sequence[int]) -> DataFrame:
+def tuned(data: Dataset, grid: Mapping[str, Factory | ScaledLogistic], test_seasons: Sequence[int] | None = None) -> DataFrame:
     """Walk-forward score of every configuration, best first (folds are ordered in time)."""
     return fold_scores(walk_forward(data, grid, test_seasons)).filter("model <> 'market'").orderBy("log_loss", "model")
 
@@ -363,15 +400,14 @@ def _labelled(parts: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def feature_count_sweep(data: Dataset, model: Factory, counts: Sequence[int], test_seasons: Sequence[int]) -> DataFrame:
+def feature_count_sweep(data: Dataset, model: Factory, counts: Sequence[int], test_seasons: Sequence[int] | None = None) -> DataFrame:
     """Scores with the strongest N features, for several N, selected inside each fold."""
-    return _labelled(
-        {f"top_{n}": fold_scores(walk_forward(data, {"model": model}, test_seasons, n)) for n in counts}
-    )
+    widths = walk_forward_widths(data, {"model": model}, counts, test_seasons)
+    return _labelled({f"top_{n}": fold_scores(widths[n]) for n in counts})
 
 
 def ablation(
-    data: Dataset, model: Factory | ScaledLogistic, groups: Mapping[str, Sequence[str]], test_seasons: Sequence[int]
+    data: Dataset, model: Factory | ScaledLogistic, groups: Mapping[str, Sequence[str]], test_seasons: Sequence[int] | None = None
 ) -> DataFrame:
     """Scores with all features and with each group left out."""
     variants = {"all": data} | {
@@ -381,7 +417,7 @@ def ablation(
 
 
 def side_test(
-    a: Dataset, b: Dataset, model: Factory | ScaledLogistic, test_seasons: Sequence[int], weights: Sequence[float]
+    a: Dataset, b: Dataset, model: Factory | ScaledLogistic, weights: Sequence[float], test_seasons: Sequence[int] | None = None
 ) -> DataFrame:
     """Two feature sets under the same folds: right decisions per season and blend weight."""
     both = _labelled({n: walk_forward(d, {"model": model}, test_seasons).filter("model = 'model'") for n, d in (("a", a), ("b", b))})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from duelframe.operators import features as X, imputation as I, strategies as S
 from duelframe.plans import backtest as B, feature_queries, feature_table as FT  # noqa: F401
@@ -14,8 +14,7 @@ FEATURES = [
     "home_days_rest", "away_days_rest", "home_streak", "away_streak", "odds_home_prob", "odds_movement", "spread_home_open",
     "bookmakers_surveyed",
 ]
-SEASONS = (2000, 2001)
-SMALL = B.boosted(3, 6)
+BOOSTED = B.boosted()
 
 
 def dataset(spark, sf, **options) -> B.Dataset:
@@ -31,63 +30,70 @@ def dataset(spark, sf, **options) -> B.Dataset:
 
 @query("ml01_walk_forward")
 def ml01(spark, sf):
-    return B.walk_forward(dataset(spark, sf), {"logistic": B.ScaledLogistic()}, SEASONS).select(
+    return B.walk_forward(dataset(spark, sf), {"logistic": B.ScaledLogistic()}).select(
         "model", "fold", "match_id", "label", "prob"
     )
 
 
 @query("ml02_boosted_trees")
 def ml02(spark, sf):
-    members = {"shallow": B.boosted(3, 6), "deep": B.boosted(5, 4), "sqrt": B.boosted(4, 6, share="sqrt")}
-    return B.fold_scores(B.walk_forward(dataset(spark, sf), members, (2001,)))
+    members = {n: m for n, m in B.MODELS.items() if n.startswith("boosted")}
+    return B.fold_scores(B.walk_forward(dataset(spark, sf), members))
 
 
 @query("ml03_scaled_logistic")
 def ml03(spark, sf):
-    return B.fold_scores(B.walk_forward(dataset(spark, sf), {"logistic": B.ScaledLogistic(1.0)}, SEASONS))
+    return B.fold_scores(B.walk_forward(dataset(spark, sf), {"logistic": B.ScaledLogistic(1.0)}))
 
 
 @query("ml04_random_forest")
 def ml04(spark, sf):
-    return B.fold_scores(B.walk_forward(dataset(spark, sf), {"forest": B.forest(20, 5)}, (2001,)))
+    return B.fold_scores(B.walk_forward(dataset(spark, sf), {"forest": B.forest()}))
 
 
 @query("ml06_feature_selection")
 def ml06(spark, sf):
+    """Features by importance, from all seasons before the last."""
     data = dataset(spark, sf)
-    fitted = B._fit(data.df.filter("season < 2001"), data.features, SMALL)
-    return B.importances(fitted, data.features, spark).orderBy(F.desc("importance"), "feature").limit(8)
+    fitted = B._fit(data.df.filter(F.col("season") < data.seasons[-1]), data.features, BOOSTED)
+    return B.importances(fitted, data.features, spark)
 
 
 @query("ml07_isotonic_calibration")
 def ml07(spark, sf):
-    oof = B.walk_forward(dataset(spark, sf), {"logistic": B.ScaledLogistic()}, (1999, 2000, 2001))
+    oof = B.walk_forward(dataset(spark, sf), {"logistic": B.ScaledLogistic()})
     return B.calibrated(oof).select("model", "fold", "match_id", "label", "prob")
 
 
 @query("ml12_stacked_logistic")
 def ml12(spark, sf):
-    oof = B.walk_forward(dataset(spark, sf), {"logistic": B.ScaledLogistic(), "small": SMALL}, SEASONS)
-    return B.stacked(oof, ["logistic", "small"]).select("model", "fold", "match_id", "label", "prob")
+    oof = B.walk_forward(dataset(spark, sf), {"logistic": B.ScaledLogistic(), "boosted": BOOSTED})
+    return B.stacked(oof, ["logistic", "boosted"]).select("model", "fold", "match_id", "label", "prob")
 
 
 @query("ml13_stacked_network")
 def ml13(spark, sf):
-    oof = B.walk_forward(dataset(spark, sf), {"logistic": B.ScaledLogistic()}, SEASONS)
+    oof = B.walk_forward(dataset(spark, sf), {"logistic": B.ScaledLogistic()})
     return B.stacked(oof, ["logistic"], network=True).select("model", "fold", "match_id", "label", "prob")
 
 
 @query("ml14_cross_fitted")
 def ml14(spark, sf):
-    inner = B.cross_fitted(dataset(spark, sf), SMALL, folds=3)
+    inner = B.cross_fitted(dataset(spark, sf), BOOSTED)
     return B.meta_features(inner).select("match_id", "label", *B.META)
 
 
+def before_last(data: B.Dataset) -> tuple[B.Dataset, DataFrame]:
+    """Decided games of all seasons before the last, and the games of the last."""
+    past = F.col("season") < data.seasons[-1]
+    return B.Dataset(data.df.filter(past & F.col("label").isNotNull()), data.features, data.seasons[:-1]), data.df.filter(~past)
+
+
 @query("ml15_train_and_predict")
 def ml15(spark, sf):
     data = dataset(spark, sf, drop_undecided=False)
-    known = B.Dataset(data.df.filter("season < 2001 and label is not null"), data.features, data.seasons)
-    return B.score(B.train_final(known, 8, SMALL), data.df.filter("season = 2001"))
+    known, upcoming = before_last(data)
+    return B.score(B.train_final(known), upcoming)
 
 
 @query("ml16_rescore_stored")
@@ -98,13 +104,13 @@ def ml16(spark, sf):
     from duelframe.session import shared_folder
 
     data = dataset(spark, sf, drop_undecided=False)
-    known = B.Dataset(data.df.filter("season < 2001 and label is not null"), data.features, data.seasons)
+    known, last = before_last(data)
     path = f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}"
     digest = B.fingerprint(known.df, ["match_id", "label"])
-    B.save_artifacts(B.train_final(known, 6, SMALL), path, digest)
+    B.save_artifacts(B.train_final(known), path, digest)
     stored = B.load_artifacts(spark, path, digest)
     fresh = A.predictions(spark, sf).filter("close_prob is not null").select("match_id", F.col("close_prob").alias("_fresh"))
-    upcoming = data.df.filter("season = 2001").join(fresh, "match_id", "left")
+    upcoming = last.join(fresh, "match_id", "left")
     upcoming = upcoming.withColumn("market", F.coalesce("_fresh", "market")).drop("_fresh")
     return B.score(stored, upcoming)
 
@@ -133,25 +139,25 @@ def ml17(spark, sf):
 
 @query("ml18_parameter_search")
 def ml18(spark, sf):
-    grid = {f"boosted_{d}_{r}": B.boosted(d, r) for d in (2, 4) for r in (4, 8)}
-    return B.tuned(dataset(spark, sf), grid, (2001,))
+    grid = {f"boosted_{d}_{r}": B.boosted(d, r) for d in (2, 4) for r in (10, 20)}
+    return B.tuned(dataset(spark, sf), grid)
 
 
 @query("ml19_feature_count_sweep")
 def ml19(spark, sf):
-    return B.feature_count_sweep(dataset(spark, sf), SMALL, (4, 8), (2001,))
+    return B.feature_count_sweep(dataset(spark, sf), BOOSTED, (4, 8))
 
 
 @query("ml20_ablation")
 def ml20(spark, sf):
     groups = {"prices": FEATURES[10:], "rest": ["home_days_rest", "away_days_rest"]}
-    return B.ablation(dataset(spark, sf), B.ScaledLogistic(), groups, (2001,))
+    return B.ablation(dataset(spark, sf), B.ScaledLogistic(), groups)
 
 
 @query("ml21_side_test")
 def ml21(spark, sf):
     data = dataset(spark, sf)
-    return B.side_test(data.only(FEATURES[:10]), data, B.ScaledLogistic(), SEASONS, (0.0, 0.25, 0.5))
+    return B.side_test(data.only(FEATURES[:10]), data, B.ScaledLogistic(), (0.0, 0.25, 0.5))
 
 
 @query(
@@ -179,7 +185,7 @@ def ml22(spark, sf):
 
 @query("ev02_walk_forward_games")
 def ev02(spark, sf):
-    oof = B.walk_forward(dataset(spark, sf), {"logistic": B.ScaledLogistic()}, SEASONS).filter("model <> 'market'")
+    oof = B.walk_forward(dataset(spark, sf), {"logistic": B.ScaledLogistic()}).filter("model <> 'market'")
     p = A.predictions(spark, sf).select("match_id", "year", "open_prob", "close_prob", "odds_prob", "home_win")
     games = oof.select("match_id", F.col("prob").alias("model_prob")).join(p, "match_id").filter("odds_prob is not null")
     return S.strategy_record(games, S.strategy_probabilities(), ["year"])
