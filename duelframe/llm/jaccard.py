@@ -247,20 +247,21 @@ def common_shingles(docs: DataFrame, size: int) -> bytes:
 
 
 def sets_of(docs: DataFrame, size: int, percent: int, common: bytes) -> DataFrame:
-    """``doc_id, n, digest, keys``: keys only once in a task for equal sets, none for an empty set."""
+    """``doc_id, n, digest, keys``: keys only once in a task for equal sets with ids, none for an empty set."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
         shingle, levels, sent = Shingler(size), Levels(percent), set()
         marks = np.unpackbits(np.frombuffer(common, np.uint8), bitorder="little").view(bool)
         for batch in batches:
             n, digests, keys = [], [], []
-            for text in batch.column("text").to_pylist():
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = shingle(text)
                 digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
+                sends = digest is not None and doc_id is not None and digest not in sent
                 n.append(len(found))
                 digests.append(digest)
-                keys.append(levels.keys(found, marks[found & np.uint64(COMMON_BITS - 1)]) if digest and digest not in sent else None)
-                if len(sent) < 1_000_000:
+                keys.append(levels.keys(found, marks[found & np.uint64(COMMON_BITS - 1)]) if sends else None)
+                if sends and len(sent) < 1_000_000:
                     sent.add(digest)
             yield {"doc_id": batch.column("doc_id"), "n": n, "digest": digests, "keys": keys}
 
@@ -332,9 +333,14 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = materialise(sets_of(docs, size, percent, common_shingles(docs, size)), "sets")
     named = found.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialise(named.select("doc_id", "digest").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes")
-    copies = classes.where("c > 1").join(named.select("doc_id", "digest"), "digest").where("doc_id <> rep").select("doc_id", "rep")
-
-    groups = key_groups(named.select("doc_id", "keys"))
+    # ids of several sets stand for none of them: their rows are known by the class of the row's own set
+    mixed = named.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi")).where("lo <> hi")
+    mixed = materialise(mixed.select("doc_id"), "mixed-ids")
+    single = join_ids(named, mixed, "left_anti")
+    several = materialise(join_ids(named, mixed, "left_semi").join(classes, "digest").select("doc_id", "rep", "keys"), "several-sets")
+    copies = classes.where("c > 1").join(single.select("doc_id", "digest"), "digest").where("doc_id <> rep").select("doc_id", "rep")
+
+    groups = key_groups(single.select("doc_id", "keys").union(several.select("rep", "keys")))
     groups = materialise(groups.join(copies, "doc_id", "left").select("g", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "groups")
     needed = materialise(groups.select("rep").distinct(), "needed")
     known = materialise(signatures(join_ids(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), needed, "left_semi"), size), "signatures")
@@ -364,7 +370,8 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         return clusters(n, maps, percent, similar)
 
     whole = chunk_pairs(cluster.join(known.select("rep", "n"), "rep"), "component", "rep", CLUSTER_SHINGLES, "n").drop("n").join(known, "rep")
-    linked = connected_components(materialise(_edges(whole, "component", exactly), "linked")).withColumnRenamed("id", "rep")
+    one_node = several.join(several.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    linked = connected_components(materialise(_edges(whole, "component", exactly).union(one_node), "linked")).withColumnRenamed("id", "rep")
     told = classes.join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = found.select("doc_id", "n", "digest").join(told, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

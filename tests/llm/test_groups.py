@@ -227,3 +227,15 @@ def test_url_filter(spark):
     assert urls.possible_hits(many, "k", blocks).count() == 3000
     assert urls.possible_hits(spark.range(5000).selectExpr("concat('http://g/', id) AS k"), "k", blocks).count() < 150
     assert urls.judge(pages.limit(0), listed.limit(0), []).count() == 0
+
+
+def test_rows_without_id_and_ids_of_several_texts_keep_their_links(spark):
+    draw = random.Random(11)
+    text = lambda: [f"w{draw.randrange(10**6)}" for _ in range(60)]
+    joined = lambda words, k: " ".join([*words[:-k], *(["other"] * k)]) if k else " ".join(words)
+    a, b, c = text(), text(), text()
+    rows = [(None, joined(a, 0)), (1, joined(a, 0)), (2, joined(a, 2))]  # the row without id comes first in the task
+    rows += [(10, joined(b, 0)), (20, joined(b, 0)), (20, joined(c, 0)), (30, joined(c, 2))]  # 20 copies 10, and is near 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.component_id) for r in jaccard.links(docs, 4, 80).collect()}
+    assert got == {(None, None), (1, 1), (2, 1), (10, 10), (20, 10), (30, 10)}
