@@ -1,7 +1,8 @@
 """Secret scan: known shapes, and strings that zstandard cannot explain from what stands around them.
 
 Base kinds are fixed patterns. The method adds kind ``novel``: a candidate (a long run of key-like
-characters with letters and digits, near a sensitive word) is compressed with a dictionary primed with
+characters with letters and digits, near a sensitive word; in NAME=value the value, with the name as
+context) is compressed with a dictionary primed with
 common identifiers and the surrounding text. Its marginal bytes per character tell how much of it
 neither holds; a candidate above ``min_ratio`` is reported. Known identifiers, paths and repeated
 strings compress well and are left alone.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -29,7 +30,9 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this equals runs of any length with the short ones dropped
+LEAST = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PIECE = re.compile(r"[^=]+(?:=+$)?")
 SENSITIVE = re.compile(r"(?ai:password|passwd|pwd|secret|token|key|auth|bearer|credential|private|signature|session|cookie)")
 #: What code and configuration commonly hold near keys; the prefix of every dictionary.
 IDENTIFIERS = (
@@ -58,21 +61,36 @@ def marginal_bytes(candidate: str, around: str, identifiers: str = IDENTIFIERS)
     return len(squeeze.compress(candidate.encode())) - len(squeeze.compress(b""))
 
 
+def pieces_of(word: str) -> Iterator[tuple[int, int]]:
+    """``(start, end)`` of the parts of a run between '=' signs; padding belongs to the part before it."""
+    return (m.span() for m in PIECE.finditer(word))
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], min_ratio: float, context: int, around: int, identifiers: str) -> list[tuple[int, int, int]]:
+    """A run is cut at '=' into names and values; from its first novel value on it is reported, else it is judged whole."""
     out, taken = [], sorted(taken)
     starts, reach = [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
-    for m in CANDIDATE.finditer(text):
-        word, start, end = m.group(), m.start(), m.end()
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-            continue
-        before = bisect_left(starts, end)
-        if before and reach[before - 1] > start:
-            continue
-        if not SENSITIVE.search(text, max(0, start - context), start):
-            continue
+
+    def novel(start: int, end: int, first: int) -> bool:
+        word = text[start:end]
+        if len(word) < LEAST or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
+            return False
+        if not SENSITIVE.search(text, max(0, first - context), start):
+            return False
         near = text[max(0, start - around) : start] + "\n" + text[end : end + around]
-        if marginal_bytes(word, near, identifiers) >= min_ratio * len(word):
-            out.append((start, 3, end))
+        return marginal_bytes(word, near, identifiers) >= min_ratio * len(word)
+
+    for m in CANDIDATE.finditer(text):
+        first, last = m.span()
+        for a, b in pieces_of(m.group()):
+            before = bisect_right(starts, first + a)
+            if not (before and reach[before - 1] >= first + b) and novel(first + a, first + b, first):
+                out.append((first + a, 3, last))
+                break
+        else:
+            before = bisect_left(starts, last)
+            if "=" in m.group() and not (before and reach[before - 1] > first) and novel(first, last, first):
+                out.append((first, 3, last))
     return out
 
 

@@ -128,3 +128,16 @@ def test_secrets_base_and_novel(spark, docs):
     out = secrets.redact(docs)
     assert out.schema == docs.schema and out.count() == docs.count()
     assert secrets.scan(empty(spark)).count() == 0
+
+
+def test_values_behind_their_names_are_secrets():
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8Hd2"
+    for name in ("AWS_SECRET_ACCESS_KEY", "encryption_key", "session_key", "auth", "pwd", "a_name_of_more_than_forty_characters_of_a_private_key"):
+        for pad in ("", "="):
+            text = f"export {name}={value}{pad}\n"
+            at = text.index(value)
+            assert (at, 3, at + len(value + pad)) in secrets.spans_of(text), name
+            assert value not in secrets.redacted(text) and name in secrets.redacted(text)
+    assert secrets.redacted("key a=Zk3vQ9xT7bLw2RnY8sHd4=x9") == "key a=[REDACTED]"
+    assert secrets.redacted("key Zk3vQ9xT7b=Lw2RnY8sHd4") == "key [REDACTED]"  # judged whole as before
+    assert secrets.spans_of("session_key=aws_secret_access_key") == []
