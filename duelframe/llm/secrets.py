@@ -3,8 +3,10 @@
 Base kinds are fixed patterns. The method adds kind ``novel``: a candidate (a long run of key-like
 characters with letters and digits, near a sensitive word; in NAME=value the value, with the name as
 context) is compressed with a dictionary primed with
-common identifiers and the surrounding text. Its marginal bytes per character tell how much of it
-neither holds; a candidate above ``min_ratio`` is reported. Known identifiers, paths and repeated
+common identifiers and the surrounding text, without copies of it on other lines. Its marginal bytes per
+character tell how much of it neither holds; a candidate is reported above ``min_ratio``, which is meant
+for 64 characters and shrinks with the bits of a smaller alphabet. The line after a secret has its
+context. Known identifiers, paths and repeated
 strings compress well and are left alone.
 
 Null texts are empty. Every row is scanned alone and whole, so repeated rows, ties, long texts and
@@ -18,6 +20,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
+from math import log2
 
 import pyarrow as pa
 import zstandard
@@ -30,9 +33,13 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this equals runs of any length with the short ones dropped
-LEAST = 16
+LEAST, LONG_LINE = 16, 40
+ALPHABETS = [(n, re.compile(f"[{c}]*")) for n, c in ((10, "0-9"), (16, "0-9a-f"), (16, "0-9A-F"), (36, "0-9a-z"), (36, "0-9A-Z"), (62, "0-9A-Za-z"))]
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 PIECE = re.compile(r"[^=]+(?:=+$)?")
+#: What stands between the end of a line and the first run of the next one; the last, short line of a PEM block.
+NEXT_LINE = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
+LAST_LINE = re.compile(r"[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/]{1,15}={0,2})(?=[\x20\t]*\r?\n[\x20\t]*-----END )")
 SENSITIVE = re.compile(r"(?ai:password|passwd|pwd|secret|token|key|auth|bearer|credential|private|signature|session|cookie)")
 #: What code and configuration commonly hold near keys; the prefix of every dictionary.
 IDENTIFIERS = (
@@ -61,6 +68,26 @@ def marginal_bytes(candidate: str, around: str, identifiers: str = IDENTIFIERS)
     return len(squeeze.compress(candidate.encode())) - len(squeeze.compress(b""))
 
 
+def alphabet(word: str) -> int:
+    """Characters of the smallest usual alphabet that holds the word: digits, hex, one case, both cases, key-like."""
+    word = word.rstrip("=")
+    for size, held in ALPHABETS:
+        if held.fullmatch(word):
+            return size
+    return 64
+
+
+def surroundings(text: str, start: int, end: int, around: int) -> str:
+    """What stands around a candidate, without its copies on other lines: they do not explain it."""
+    word = text[start:end]
+    wide = around + len(word) - 1  # no copy is cut by the bounds
+    before, after = text[max(0, start - wide) : start], text[end : end + wide]
+    other, line = before[: before.rfind("\n") + 1], before[before.rfind("\n") + 1 :]
+    rest = after.find("\n") if "\n" in after else len(after)
+    before, after = other.replace(word, "") + line, after[:rest] + after[rest:].replace(word, "")
+    return before[max(0, len(before) - around) :] + "\n" + after[:around]
+
+
 def pieces_of(word: str) -> Iterator[tuple[int, int]]:
     """``(start, end)`` of the parts of a run between '=' signs; padding belongs to the part before it."""
     return (m.span() for m in PIECE.finditer(word))
@@ -70,27 +97,37 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], min_ratio: float,
     """A run is cut at '=' into names and values; from its first novel value on it is reported, else it is judged whole."""
     out, taken = [], sorted(taken)
     starts, reach = [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
+    passed = {m.end() for _, k, e in taken if k == 0 and (m := NEXT_LINE.match(text, e))}  # where lines start that follow a secret
+
+    def report(start: int, end: int) -> None:
+        out.append((start, 3, end))
+        if m := LAST_LINE.match(text, end):
+            out.append((m.start(1), 3, m.end(1)))
+        elif m := NEXT_LINE.match(text, end):
+            passed.add(m.end())
 
     def novel(start: int, end: int, first: int) -> bool:
-        word = text[start:end]
-        if len(word) < LEAST or not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
+        word, digits = text[start:end], any(c.isdigit() for c in text[start:end])
+        follows = start == first and first in passed
+        long = follows and len(word) >= LONG_LINE and not word.islower() and not word.isupper()  # chance may leave out digits
+        if len(word) < LEAST or not (digits or long) or not any(c.isalpha() for c in word):
             return False
-        if not SENSITIVE.search(text, max(0, first - context), start):
+        if not follows and not SENSITIVE.search(text, max(0, first - context), start):
             return False
-        near = text[max(0, start - around) : start] + "\n" + text[end : end + around]
-        return marginal_bytes(word, near, identifiers) >= min_ratio * len(word)
+        least = min_ratio * len(word) * log2(alphabet(word)) / 6
+        return marginal_bytes(word, surroundings(text, start, end, around), identifiers) >= least
 
     for m in CANDIDATE.finditer(text):
         first, last = m.span()
         for a, b in pieces_of(m.group()):
             before = bisect_right(starts, first + a)
             if not (before and reach[before - 1] >= first + b) and novel(first + a, first + b, first):
-                out.append((first + a, 3, last))
+                report(first + a, last)
                 break
         else:
             before = bisect_left(starts, last)
             if "=" in m.group() and not (before and reach[before - 1] > first) and novel(first, last, first):
-                out.append((first, 3, last))
+                report(first, last)
     return out
 
 
