@@ -8,7 +8,8 @@ and a passage is found however it is cut into lines.
 
 Units of fewer than three words say nothing: they belong to a run when they stand inside it. Null
 texts have no units. Rows with a null id can't be ranked and are left whole. Rows with equal ids are
-one text of that rank. Other columns do not matter; an empty table gives an empty result.
+one text of that rank: equal rows are the same text, and different texts are its parts, in the order of
+their hashes. Other columns do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,15 +38,15 @@ def units_of(text: str | None) -> Iterator[tuple[int, int, int, bytes]]:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """``doc_id, seq, starts, ends, words, digest, again``: again if the text had the unit before."""
+    """``doc_id, version, seq, starts, ends, words, digest, again``: version is a hash of the text, again if it had the unit before."""
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            columns: dict[str, list] = {c: [] for c in ("doc_id", "seq", "starts", "ends", "words", "digest", "again")}
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            columns: dict[str, list] = {c: [] for c in ("doc_id", "version", "seq", "starts", "ends", "words", "digest", "again")}
+            for doc_id, version, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text")), strict=True):
                 seen: set[bytes] = set()
                 for seq, (start, end, words, digest) in enumerate(units_of(text)):
-                    for c, v in zip(columns, (doc_id, seq, start, end, words, digest, digest in seen), strict=True):
+                    for c, v in zip(columns, (doc_id, version, seq, start, end, words, digest, digest in seen), strict=True):
                         columns[c].append(v)
                     seen.add(digest)
                 if len(columns["seq"]) > 50_000:
@@ -53,27 +54,33 @@ def units(docs: DataFrame) -> DataFrame:
                     columns = {c: [] for c in columns}
             yield columns
 
-    return arrow_pass(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"), rows, "doc_id long, seq int, starts int, ends int, words int, digest binary, again boolean")
+    return arrow_pass(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text").where("doc_id IS NOT NULL"), rows, "doc_id long, version long, seq int, starts int, ends int, words int, digest binary, again boolean")
 
 
-def repeated(docs: DataFrame, min_words: int = 30) -> DataFrame:
-    """One row per removed passage: ``doc_id, starts, ends`` (code points), units, words, ``first_doc_id``."""
+def _passages(docs: DataFrame, min_words: int) -> DataFrame:
     found = materialise(units(docs), "units")
-    shared = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    late = found.join(materialise(shared, "shared"), "digest").where("again OR doc_id > first_doc_id")
-    run = F.col("seq") - F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))
-    runs = late.withColumn("run", run).groupBy("doc_id", "run")
+    first = F.min(F.struct("doc_id", "version"))
+    shared = found.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    late = found.join(materialise(shared, "shared"), "digest").where("again OR doc_id > first.doc_id OR (doc_id = first.doc_id AND version > first.version)")
+    late = late.select("doc_id", "version", "seq", "starts", "ends", "words", F.col("first.doc_id").alias("first_doc_id")).distinct()  # repeated rows
+    run = F.col("seq") - F.row_number().over(Window.partitionBy("doc_id", "version").orderBy("seq"))
+    runs = late.withColumn("run", run).groupBy("doc_id", "version", "run")
     return (
         runs.agg(F.min("starts").alias("starts"), F.max("ends").alias("ends"), F.count("*").alias("n_units"), F.sum("words").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"))
         .where(F.col("n_words") >= min_words)
-        .select("doc_id", F.col("starts").cast("long").alias("starts"), F.col("ends").cast("long").alias("ends"), "n_units", "n_words", "first_doc_id")
+        .select("doc_id", "version", F.col("starts").cast("long").alias("starts"), F.col("ends").cast("long").alias("ends"), "n_units", "n_words", "first_doc_id")
     )
 
 
+def repeated(docs: DataFrame, min_words: int = 30) -> DataFrame:
+    """One row per removed passage: ``doc_id, starts, ends`` (code points), units, words, ``first_doc_id``."""
+    return _passages(docs, min_words).drop("version")
+
+
 def without_repeats(docs: DataFrame, min_words: int = 30) -> DataFrame:
     """``docs`` with the passages cut from ``text``, and ``removed``: their spans in the original text."""
-    spans = repeated(docs, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("starts", "ends"))).alias("removed")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    spans = _passages(docs, min_words).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("starts", "ends"))).alias("removed")).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
+    joined = docs.join(spans, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left").drop("_id", "_version")
     piece = lambda state, s: F.struct(F.concat(state["t"], F.substr("text", state["at"] + 1, s["starts"] - state["at"])).alias("t"), s["ends"].alias("at"))
     start = F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at"))
     cut = F.aggregate("removed", start, piece, lambda state: F.concat(state["t"], F.substr("text", state["at"] + 1)))

@@ -239,3 +239,17 @@ def test_rows_without_id_and_ids_of_several_texts_keep_their_links(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = {(r.doc_id, r.component_id) for r in jaccard.links(docs, 4, 80).collect()}
     assert got == {(None, None), (1, 1), (2, 1), (10, 10), (20, 10), (30, 10)}
+
+
+def test_passages_with_repeated_rows_and_ids_of_several_texts(spark):
+    draw = random.Random(12)
+    sentence = lambda n: " ".join("".join(draw.choices("abcdefghij", k=5)) for _ in range(n)).capitalize() + "."
+    passage = " ".join(sentence(12) for _ in range(5))
+    own = [sentence(14) for _ in range(6)]
+    rows = [(1, f"{own[0]} {passage}")] * 2 + [(2, f"{own[1]}\n{passage} {own[2]}")] * 3 + [(3, own[3]), (3, f"{passage} {own[4]}"), (4, own[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = {2: rows[2][1], 3: rows[6][1]}
+    got = [(r.doc_id, texts[r.doc_id][r.starts : r.ends].strip(), r.n_units, r.n_words, r.first_doc_id) for r in passages.repeated(docs).collect()]
+    assert sorted(got) == [(2, passage, 5, 60, 1), (3, passage, 5, 60, 1)]
+    cut = sorted((r.doc_id, r.text.split()) for r in passages.without_repeats(docs).collect())
+    assert cut == sorted((i, t.replace(passage, "").split() if i > 1 else t.split()) for i, t in rows)
