@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duelframe.llm.common import arrow_pass, chunk_pairs, connected_components, join_ids, materialise, sorted_groups
 
@@ -343,7 +344,10 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     groups = key_groups(single.select("doc_id", "keys").union(several.select("rep", "keys")))
     groups = materialise(groups.join(copies, "doc_id", "left").select("g", F.coalesce("rep", "doc_id").alias("rep")).distinct(), "groups")
     needed = materialise(groups.select("rep").distinct(), "needed")
-    known = materialise(signatures(join_ids(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), needed, "left_semi"), size), "signatures")
+    texts = join_ids(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), needed, "left_semi")
+    again = materialise(named.groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("c")).where("c > 1").select("rep"), "repeated-ids")
+    once = signatures(join_ids(texts, again, "left_anti"), size)
+    known = materialise(once.union(signatures(join_ids(texts, again, "left_semi").distinct(), size).dropDuplicates(["rep", "hashes"])), "signatures")
 
     def bounded(group: pa.Table) -> np.ndarray:
         return clusters(group["n"].to_numpy(), one_width(group["signature"].to_pylist()), percent)
@@ -377,7 +381,30 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def digested(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` with ``_digest`` of the text's set, null if that is empty."""
+
+    def run(batches):
+        shingle = Shingler(size)
+        for batch in batches:
+            found = [shingle(t) for t in batch.column("text").to_pylist()]
+            digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in found], pa.binary())
+            yield batch.append_column("_digest", digests)
+
+    return docs.mapInArrow(run, T.StructType(list(docs.schema)).add("_digest", "binary"))
+
+
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; rows without an id stay."""
+    """The rows of ``docs`` whose id is the smallest of its component, and rows without an id.
+
+    Rows with equal ids and equal sets are one document, and so are rows without an id and with equal
+    sets that are not empty. Of these the row of the smallest hash stays.
+    """
     gone = materialise(links(docs, size, percent).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return join_ids(docs, gone, "left_anti")
+    kept = join_ids(docs, gone, "left_anti")
+    again = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_c")).where("_c > 1").select("doc_id"), "repeated-rows")
+    doubtful = digested(join_ids(kept.where("doc_id IS NOT NULL"), again, "left_semi").union(kept.where("doc_id IS NULL")), size)
+    row = F.struct(*docs.columns)
+    wordless = doubtful.where("doc_id IS NULL AND _digest IS NULL").select(*docs.columns)
+    one = doubtful.where("doc_id IS NOT NULL OR _digest IS NOT NULL").groupBy("doc_id", "_digest").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_row"))
+    return join_ids(kept.where("doc_id IS NOT NULL"), again, "left_anti").union(wordless).union(one.select("_row.*"))

@@ -253,3 +253,16 @@ def test_passages_with_repeated_rows_and_ids_of_several_texts(spark):
     assert sorted(got) == [(2, passage, 5, 60, 1), (3, passage, 5, 60, 1)]
     cut = sorted((r.doc_id, r.text.split()) for r in passages.without_repeats(docs).collect())
     assert cut == sorted((i, t.replace(passage, "").split() if i > 1 else t.split()) for i, t in rows)
+
+
+def test_one_row_of_each_document_stays(spark):
+    draw = random.Random(13)
+    text = lambda: " ".join(f"w{draw.randrange(10**6)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a)] * 4 + [(2, near)] * 3 + [(3, b), (3, b.upper()), (3, c), (None, d), (None, d), (None, text()), (None, ""), (None, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(5)
+    kept = jaccard.one_of_each(docs, 5, 80)
+    assert kept.schema == docs.schema
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in kept.collect())
+    assert got == Counter([(1, a), (3, b), (3, c), (None, d), (None, rows[12][1]), (None, ""), (None, ""), (4, "")])
