@@ -1,6 +1,7 @@
 """Near duplicates, repeated passages, mixing, dialogues and URLs beside brute force."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -266,3 +267,34 @@ def test_one_row_of_each_document_stays(spark):
     assert kept.schema == docs.schema
     got = Counter((r.doc_id, (r.text or "").lower()) for r in kept.collect())
     assert got == Counter([(1, a), (3, b), (3, c), (None, d), (None, rows[12][1]), (None, ""), (None, ""), (4, "")])
+
+
+def test_passages_are_those_of_two_loops(spark, sf):
+    given = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(400).collect()]
+    top = max(i for i, _ in given)
+    half = lambda t: t[len(t) // 3 :]
+    given += [(top + 1 + k, f"New words stand here. {half(t)}\n{half(t)}") for k, (_, t) in enumerate(given[:20]) if t]
+    units = {}
+    for i, t in given:
+        units[i], at = [], 0
+        for m in [*re.finditer(r"[.!?]+(?=\s|\Z)|\n", t or ""), None]:
+            end = len(t or "") if m is None else m.start() if m.group() == "\n" else m.end()
+            words = (t or "")[at:end].encode().lower().split()
+            if len(words) >= 3:
+                units[i].append((at, end, words))
+            at = end if m is None else m.end()
+    first, want = {}, []
+    for i in sorted(units):
+        run = []
+        for unit in [*units[i], None]:
+            key = unit and b" ".join(unit[2])
+            if unit and key in first:
+                run.append((*unit, first[key]))
+                continue
+            if sum(len(w) for _, _, w, _ in run) >= 30:
+                want.append((i, run[0][0], run[-1][1], len(run), sum(len(w) for _, _, w, _ in run), min(f for *_, f in run)))
+            run = []
+            if unit:
+                first[key] = i
+    docs = spark.createDataFrame(given + given[:50] + given[-8:] * 2, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, passages.repeated(docs).collect())) == sorted(want) and len(want) > 10
