@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import chat, jaccard, mixing, passages, pieces, quality, secrets, tokens, urls, vectors
+from duelframe.llm import chat, jaccard, mixing, passages, pieces, quality, secrets, tokens, trie, urls, vectors
 from duelframe.llm.common import table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -58,11 +58,17 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation begins with up to three turns of the one whose number is the next lower multiple of 20."""
+    turns = trie.turns_in_order(table(spark, sf_dir, "conversations"))
+    return trie.nodes(*trie.branched(turns, every=20, heads=3, taken=F.crc32(F.col("conv_id").cast("string")) % 4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_vector_near_duplicates, op2_token_counts, op3_quality_rules, op4_secret_scan, op5_chat_perspectives,
-        op6_url_filter, op7_sentence_pieces, op8_jaccard_join, op9_repeated_passages, op10_source_mix,
+        op6_url_filter, op7_sentence_pieces, op8_jaccard_join, op9_repeated_passages, op10_source_mix, op11_prefix_trie,
     )
 }
 
@@ -179,4 +185,55 @@ SQL: dict[str, str] = {
         SELECT c.doc_id, c.size, c.n AS source_size, c.target, CAST(c.size * count(*) FILTER (WHERE c.pos <= z.final) AS BIGINT) AS taken
         FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, pos) AS copy FROM c) c LEFT JOIN z ON c.source IS NOT DISTINCT FROM z.source
         GROUP BY c.doc_id, c.source, c.size, c.n, c.target, c.copy""",
+    "op11_prefix_trie": r"""
+        WITH RECURSIVE steps AS (
+            SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) t(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM steps WHERE k < 8
+        ),
+        code AS (SELECT i, c FROM steps WHERE k = 8),
+        own AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                       md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        ids AS (SELECT DISTINCT conv_id FROM own),
+        crc AS (
+            SELECT conv_id, 1 AS i, 4294967295::BIGINT AS c FROM ids
+            UNION ALL
+            SELECT crc.conv_id, crc.i + 1, xor(crc.c // 256, code.c) FROM crc
+            JOIN code ON code.i = xor(crc.c % 256, ascii(substr(crc.conv_id::VARCHAR, crc.i, 1)))
+            WHERE crc.i <= length(crc.conv_id::VARCHAR)
+        ),
+        h AS (SELECT conv_id, xor(c, 4294967295) % 4 AS h FROM crc WHERE i = length(conv_id::VARCHAR) + 1),
+        rebuilt AS (
+            SELECT h.conv_id, 0 AS part, place, role, text FROM h JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20 AND b.place <= h.h
+            UNION ALL
+            SELECT h.conv_id, 1, place, role, text FROM h JOIN own o ON o.conv_id = h.conv_id AND o.place > h.h
+        ),
+        turns AS (
+            SELECT conv_id, row_number() OVER w AS depth, md5(role || chr(1) || text) AS t,
+                   len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+            FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)
+        ),
+        prefixes AS (
+            SELECT conv_id, depth, words, string_agg(t, '') OVER (PARTITION BY conv_id ORDER BY depth) AS node FROM turns
+            UNION ALL SELECT conv_id, 0, 0, '' FROM ids
+        ),
+        last AS (SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY conv_id),
+        nodes AS (
+            SELECT node, min(p.conv_id) AS conv_id, min(p.depth) AS depth, count(*) AS n_convs, min(words) AS words,
+                   sha256(coalesce(string_agg(CASE WHEN l.depth = p.depth THEN p.conv_id::VARCHAR END, ',' ORDER BY p.conv_id), '')) AS ends_sha256
+            FROM prefixes p JOIN last l ON l.conv_id = p.conv_id GROUP BY node
+        ),
+        up AS (SELECT node, CASE WHEN depth > 0 THEN substr(node, 1, 32 * (depth - 1)::INT) END AS parent FROM nodes),
+        children AS (SELECT parent, count(*) AS n FROM up WHERE parent IS NOT NULL GROUP BY parent),
+        above AS (
+            SELECT substr(a.node, 1, 32 * d.d::INT) AS node, sum((a.n_convs - 1) * a.words) AS saved, count(*) FILTER (WHERE c.n IS NULL) AS leaves
+            FROM nodes a LEFT JOIN children c ON c.parent = a.node, LATERAL (SELECT unnest(range(a.depth + 1)) AS d) d GROUP BY 1
+        )
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+               a.leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM nodes n JOIN up u ON u.node = n.node LEFT JOIN nodes p ON p.node = u.parent
+        LEFT JOIN children c ON c.parent = n.node JOIN above a ON a.node = n.node""",
 }
