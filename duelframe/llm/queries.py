@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import chat, jaccard, mixing, passages, pieces, quality, secrets, tokens, trie, urls, vectors
+from duelframe.llm import chat, jaccard, middle, mixing, passages, pieces, quality, secrets, tokens, trie, urls, vectors
 from duelframe.llm.common import table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -64,11 +64,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(*trie.branched(turns, every=20, heads=3, taken=F.crc32(F.col("conv_id").cast("string")) % 4))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=1, plain_percent=10, spm_percent=20)
+    text = middle.restored(F.col("output"), F.col("form"))
+    parts = [F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars")]
+    return made.select("doc_id", "n", "form", *parts, F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_vector_near_duplicates, op2_token_counts, op3_quality_rules, op4_secret_scan, op5_chat_perspectives,
-        op6_url_filter, op7_sentence_pieces, op8_jaccard_join, op9_repeated_passages, op10_source_mix, op11_prefix_trie,
+        op6_url_filter, op7_sentence_pieces, op8_jaccard_join, op9_repeated_passages, op10_source_mix, op11_prefix_trie, op12_fill_in_middle,
     )
 }
 
@@ -236,4 +243,23 @@ SQL: dict[str, str] = {
                a.leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, n.ends_sha256
         FROM nodes n JOIN up u ON u.node = n.node LEFT JOIN nodes p ON p.node = u.parent
         LEFT JOIN children c ON c.parent = n.node JOIN above a ON a.node = n.node""",
+    "op12_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+        h AS (
+            SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2,
+                   CAST('0x' || substr(x, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4
+            FROM d
+        ),
+        f AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM h
+        ),
+        p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
 }
