@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm import chat, jaccard, middle, mixing, passages, pieces, quality, secrets, tokens, trie, urls, vectors
+from duelframe.llm import attention, chat, jaccard, middle, mixing, passages, pieces, quality, secrets, tokens, trie, urls, vectors
 from duelframe.llm.common import table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -71,11 +71,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", *parts, F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_vector_near_duplicates, op2_token_counts, op3_quality_rules, op4_secret_scan, op5_chat_perspectives,
-        op6_url_filter, op7_sentence_pieces, op8_jaccard_join, op9_repeated_passages, op10_source_mix, op11_prefix_trie, op12_fill_in_middle,
+        op6_url_filter, op7_sentence_pieces, op8_jaccard_join, op9_repeated_passages, op10_source_mix, op11_prefix_trie, op12_fill_in_middle, op13_quality_classifier,
     )
 }
 
