@@ -2,12 +2,12 @@
 
 Base kinds are fixed patterns. The method adds kind ``novel``: a candidate (a long run of key-like
 characters with letters and digits, near a sensitive word; in NAME=value the value, with the name as
-context) is compressed with a dictionary primed with
-common identifiers and the surrounding text, without copies of it on other lines. Its marginal bytes per
-character tell how much of it neither holds; a candidate is reported above ``min_ratio``, which is meant
-for 64 characters and shrinks with the bits of a smaller alphabet. The line after a secret has its
-context. Known identifiers, paths and repeated
-strings compress well and are left alone.
+context) is compressed with a dictionary primed with common identifiers and the surrounding text,
+without copies of the candidate. Its marginal bytes per character tell how much of it neither holds; a
+candidate is reported above ``min_ratio``, which is meant for 64 characters and shrinks with the bits of
+a smaller alphabet. The line after a secret has its context, and parts that follow a secret behind dots
+belong to it. Paths, slugs and camel-case names, whose parts are all plain words or short numbers, are
+left alone, and so is what the dictionary knows.
 
 Null texts are empty. Every row is scanned alone and whole, so repeated rows, ties, long texts and
 other columns change nothing; spans count code points, end exclusive.
@@ -40,7 +40,16 @@ PIECE = re.compile(r"[^=]+(?:=+$)?")
 #: What stands between the end of a line and the first run of the next one; the last, short line of a PEM block.
 NEXT_LINE = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
 LAST_LINE = re.compile(r"[\x20\t]*\r?\n[\x20\t]*([A-Za-z0-9+/]{1,15}={0,2})(?=[\x20\t]*\r?\n[\x20\t]*-----END )")
-SENSITIVE = re.compile(r"(?ai:password|passwd|pwd|secret|token|key|auth|bearer|credential|private|signature|session|cookie)")
+#: Words that make what follows sensitive: alone, behind a sign, or as a capitalised part of a name.
+SENSITIVE = re.compile(
+    r"(?:(?<![A-Za-z])(?i:passwords?|passwd|pwd|secrets?|tokens?|(?:api|access|private|public|secret|session|encryption)?keys?|auth(?:orization|entication)?|bearer|credentials?|private|signature|session|cookie)"
+    r"|(?<=[a-z0-9])(?:Password|Secret|Token|Key|Auth|Authorization|Credentials?|Signature|Session|Cookie))(?![a-z])"
+)
+#: The further parts of a secret in parts, such as a signed token.
+DOTTED = re.compile(r"(?:\.[A-Za-z0-9+/_=-]{8,})*")
+#: Parts of a path, slug or versioned name, and names in camel case.
+PLAIN_PART = re.compile(r"[A-Z]?[a-z]+[0-9]{0,4}[a-z]?|[A-Z]+[0-9]{0,4}|[0-9]{1,4}|(?:[A-Z]?[a-z]{2,}[0-9]{0,2})(?:[A-Z][a-z]{2,}[0-9]{0,2})+|")
+CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,}[0-9]{0,2})(?:[A-Z][a-z]{2,}[0-9]{0,2})+")
 #: What code and configuration commonly hold near keys; the prefix of every dictionary.
 IDENTIFIERS = (
     "access_key access_token account_id api_key api_secret application authorization aws_access_key_id aws_secret_access_key "
@@ -78,16 +87,19 @@ def alphabet(word: str) -> int:
 
 
 def surroundings(text: str, start: int, end: int, around: int) -> str:
-    """What stands around a candidate, without its copies on other lines: they do not explain it."""
+    """What stands around a candidate, without copies of it: they do not explain it."""
     word = text[start:end]
     wide = around + len(word) - 1  # no copy is cut by the bounds
-    before, after = text[max(0, start - wide) : start], text[end : end + wide]
-    other, line = before[: before.rfind("\n") + 1], before[before.rfind("\n") + 1 :]
-    rest = after.find("\n") if "\n" in after else len(after)
-    before, after = other.replace(word, "") + line, after[:rest] + after[rest:].replace(word, "")
+    before, after = text[max(0, start - wide) : start].replace(word, ""), text[end : end + wide].replace(word, "")
     return before[max(0, len(before) - around) :] + "\n" + after[:around]
 
 
+def plain(word: str) -> bool:
+    """Whether all parts of a run are words or short numbers, as in paths, slugs and names."""
+    parts = re.split(r"[/_.+=-]+", word)
+    return all(map(PLAIN_PART.fullmatch, parts)) if len(parts) > 2 else bool(CAMEL.fullmatch(word))
+
+
 def pieces_of(word: str) -> Iterator[tuple[int, int]]:
     """``(start, end)`` of the parts of a run between '=' signs; padding belongs to the part before it."""
     return (m.span() for m in PIECE.finditer(word))
@@ -99,7 +111,11 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], min_ratio: float,
     starts, reach = [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
     passed = {m.end() for _, k, e in taken if k == 0 and (m := NEXT_LINE.match(text, e))}  # where lines start that follow a secret
 
+    told = 0
+
     def report(start: int, end: int) -> None:
+        nonlocal told
+        end = told = DOTTED.match(text, end).end()
         out.append((start, 3, end))
         if m := LAST_LINE.match(text, end):
             out.append((m.start(1), 3, m.end(1)))
@@ -110,7 +126,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], min_ratio: float,
         word, digits = text[start:end], any(c.isdigit() for c in text[start:end])
         follows = start == first and first in passed
         long = follows and len(word) >= LONG_LINE and not word.islower() and not word.isupper()  # chance may leave out digits
-        if len(word) < LEAST or not (digits or long) or not any(c.isalpha() for c in word):
+        if len(word) < LEAST or not (digits or long) or not any(c.isalpha() for c in word) or plain(word):
             return False
         if not follows and not SENSITIVE.search(text, max(0, first - context), start):
             return False
@@ -119,6 +135,8 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], min_ratio: float,
 
     for m in CANDIDATE.finditer(text):
         first, last = m.span()
+        if first < told:
+            continue
         for a, b in pieces_of(m.group()):
             before = bisect_right(starts, first + a)
             if not (before and reach[before - 1] >= first + b) and novel(first + a, first + b, first):
