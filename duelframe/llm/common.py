@@ -31,9 +31,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     Lost executors then cost no recomputation, and a table that is read twice is computed once.
     """
+    return written(df, name)[0]
+
+
+def own_names(*names: str) -> list[str]:
+    """Column names that no table has, for columns beside those of a caller's table."""
+    mark = uuid.uuid4().hex
+    return [f"_{name}_{mark}" for name in names]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``materialise``, with the path, for tables that are to be discarded."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that ``written`` made and nothing will read again."""
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def arrow_pass(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, step: int = 256) -> DataFrame:
@@ -129,12 +147,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` of every id in ``edges(a, b)``: the smallest id that links reach.
 
     Alternates two star rounds until nothing changes: each node hangs its larger neighbours below the
-    smallest node it knows, then its smaller ones. Minima are combined on the map side and the joins
-    are on equal keys, so a node with a third of all links is no single task. Every round is written
-    to the shared folder, and only a count and a checksum reach the driver.
+    smallest node it knows, then its smaller ones. Minima are combined on the map side and written
+    before they are joined to the links, so a node with a third of all links is a skewed side of a
+    join that AQE splits, and no single task. Tables of a round are deleted when the next one is
+    written; only a count and a checksum reach the driver.
     """
+    spark = edges.sparkSession
     ends = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-    state = materialise(ends.distinct(), "links")
+    state, path = written(ends.distinct(), "links")
     before = None
     while True:
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1_000_000_007)).first()
@@ -142,11 +162,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = tuple(mark)
         both = state.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(state.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        large = materialise(large, "large")
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least, p1 = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large, p2 = written(both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+        low, p3 = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
         small = large.join(low, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low.select("hi", F.col("m").alias("lo")))
-        state = materialise(small.distinct(), "links")
+        old = path
+        state, path = written(small.distinct(), "links")
+        discard(spark, old, p1, p2, p3)
     tops = state.select(F.col("lo").alias("id")).distinct()
     return state.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(tops.select("id", F.col("id").alias("component")))

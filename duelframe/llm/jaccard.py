@@ -1,11 +1,10 @@
 """Exact n-gram Jaccard join: routing keys, signature trees with dual traversal, linked components.
 
 1. Each text becomes a set of hashed word shingles; equal sets are one class.
-2. Two sets of similarity ``t`` differ in at most ``(1 - t) / (1 + t)`` of their summed sizes. Sizes fall
-   into levels so that partners lie in the same or neighbouring ones, and for each level the universe
-   of hashes is cut into more parts than may differ. Partners then agree on a whole part that is not
-   empty, and meet under that part's hash; a set with so many empty parts that this could fail sends
-   those too. Nothing is lost, and unrelated texts rarely agree on a part, even if they share a passage.
+2. A set sends its first shingles as routing keys, by an order that all sets share: uncommon ones first,
+   so that unrelated texts rarely meet, even if they share a passage. It sends one more than a partner may
+   lack, so partners send a key in common, and nothing is lost. Sizes fall into levels, and keys into those
+   of a set's own level and of the next, so that sets of other sizes do not meet.
 3. In each group a signature tree holds bitmaps of the sets, OR- and AND-combined in its nodes, with
    ranges of sizes. Traversing frontier nodes against the tree prunes node pairs by the largest overlap
    that bitmaps and sizes leave possible. What survives joins candidates into clusters.
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duelframe.llm.common import arrow_pass, chunk_pairs, connected_components, join_ids, materialise, sorted_groups
+from duelframe.llm.common import arrow_pass, chunk_pairs, connected_components, join_ids, materialise, own_names, sorted_groups
 
 #: Shingles in so many texts of a task, and of the corpus, are common; bits that mark them.
 TASK_TEXTS, COMMON_TEXTS, COMMON_BITS = 4, 64, 1 << 23
@@ -77,7 +76,7 @@ class Shingler:
 
 
 class Levels:
-    """Levels of set sizes, and how many parts each has."""
+    """Levels of set sizes: partners lie in the same or neighbouring ones. Below ``n``, ``p`` is the percent."""
 
     def __init__(self, percent: int):
         self.percent, self.starts = percent, [1]
@@ -87,47 +86,21 @@ class Levels:
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.starts, n, "right")) - 1
 
-    def differ(self, level: int) -> int:
-        """The most shingles in which two sets of the level, or of it and the one below, may differ."""
-        return (100 - self.percent) * 2 * (self.starts[level + 1] - 1) // (100 + self.percent)
-
-    def spare(self, level: int) -> int:
-        """Empty parts that are allowed for, about as many as chance makes in the smallest sets."""
-        differ, spare = self.differ(level), 3
-        for _ in range(20 if differ >= 20 else 0):
-            parts = differ + 1 + spare
-            empty = parts * math.exp(-0.9 * self.starts[max(0, level - 1)] / parts)
-            spare = math.ceil(empty + 4 * math.sqrt(empty)) + 3
-        return spare
-
     def keys(self, hashes: np.ndarray, common: np.ndarray | None = None) -> list[int]:
-        """Routing keys of a set, for its own level and the next; ``common`` marks widely shared shingles.
+        """Routing keys of a set: its first shingles; ``common`` marks widely shared ones, which come last.
 
-        Partners agree on more parts than ``spare``. If none that holds an uncommon shingle is among
-        them, both have more empty parts than ``spare``, and both send the keys of all shingles; if
-        those fail alike, both send their empty parts.
+        Partners share at least ``p * n / 100`` shingles, and one that is no smaller shares at least
+        ``2 * p * n / (100 + p)``. A set sends one shingle more than may be missing there, by an order that
+        all sets share, so partners send one in common: for its own level, where partners may be smaller,
+        by the first bound, and for the next one, where they are larger, by the second.
         """
-        out = []
-        own = self.of(len(hashes))
-        uncommon = hashes if common is None else hashes[~common]
-        for level in (own, own + 1):
-            if not self.differ(level):
-                continue  # only equal sets are similar enough
-            spare = self.spare(level)
-            parts = self.differ(level) + 1 + spare
-            for turn, chosen in enumerate((uncommon, hashes)):
-                part = ((chosen >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending, as the hashes are
-                first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, int)
-                salt = mix(np.arange(parts, dtype=np.uint64) + np.uint64((2 * level + turn) << 40))
-                if len(first):
-                    out.append(mix(np.add.reduceat(mix(chosen), first) + salt[part[first]]))
-                if parts - len(first) <= spare:
-                    break
-            else:
-                empty = np.ones(parts, bool)
-                empty[part[first]] = False
-                out.append(mix(salt[empty] ^ _M1))
-        return np.concatenate(out).view(np.int64).tolist() if out else []
+        n, p = len(hashes), self.percent
+        if 100 * n < p * (n + 1):
+            return []  # only equal sets are similar enough
+        ordered = hashes if common is None else np.concatenate([hashes[~common], hashes[common]])
+        level = self.of(n)
+        sent = [(level, n + 1 + -p * n // 100), (level + 1, n + 1 + -2 * p * n // (100 + p))]
+        return np.concatenate([mix(ordered[:k] ^ mix(np.uint64(of) << np.uint64(32))) for of, k in sent]).view(np.int64).tolist()
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -381,30 +354,33 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def digested(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` with ``_digest`` of the text's set, null if that is empty."""
+def digested(docs: DataFrame, size: int, digest: str) -> DataFrame:
+    """``docs`` with a column of the digest of the text's set, null if that is empty."""
 
     def run(batches):
         shingle = Shingler(size)
         for batch in batches:
             found = [shingle(t) for t in batch.column("text").to_pylist()]
             digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in found], pa.binary())
-            yield batch.append_column("_digest", digests)
+            yield batch.append_column(digest, digests)
 
-    return docs.mapInArrow(run, T.StructType(list(docs.schema)).add("_digest", "binary"))
+    return docs.mapInArrow(run, T.StructType(list(docs.schema)).add(digest, "binary"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, and rows without an id.
 
     Rows with equal ids and equal sets are one document, and so are rows without an id and with equal
-    sets that are not empty. Of these the row of the smallest hash stays.
+    sets that are not empty. Of these the row of the smallest hash stays. Columns may have any name or
+    type.
     """
+    digest, row = own_names("digest", "row")
     gone = materialise(links(docs, size, percent).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = join_ids(docs, gone, "left_anti")
-    again = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_c")).where("_c > 1").select("doc_id"), "repeated-rows")
-    doubtful = digested(join_ids(kept.where("doc_id IS NOT NULL"), again, "left_semi").union(kept.where("doc_id IS NULL")), size)
-    row = F.struct(*docs.columns)
-    wordless = doubtful.where("doc_id IS NULL AND _digest IS NULL").select(*docs.columns)
-    one = doubtful.where("doc_id IS NOT NULL OR _digest IS NOT NULL").groupBy("doc_id", "_digest").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_row"))
-    return join_ids(kept.where("doc_id IS NOT NULL"), again, "left_anti").union(wordless).union(one.select("_row.*"))
+    again = materialise(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated-rows")
+    doubtful = digested(join_ids(kept.where("doc_id IS NOT NULL"), again, "left_semi").union(kept.where("doc_id IS NULL")), size, digest)
+    whole = F.struct(*docs.columns)
+    wordless = doubtful.where(F.col("doc_id").isNull() & F.col(digest).isNull()).select(*docs.columns)
+    worded = doubtful.where(F.col("doc_id").isNotNull() | F.col(digest).isNotNull())
+    one = worded.groupBy("doc_id", digest).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(row))
+    return join_ids(kept.where("doc_id IS NOT NULL"), again, "left_anti").union(wordless).union(one.select(f"{row}.*"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import WORD, materialise
+from duelframe.llm.common import WORD, materialise, own_names
 
 _HASH_BITS, _CHUNK_BITS = 60, 48
 #: Finish times are counted in steps of 1/1024 up to 4; the budget is met near 1.
@@ -90,9 +90,9 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -
     return sized, materialise(full, "cuts")
 
 
-def copies(most: int = 3) -> Column:
-    """How often a row is taken, given its source's cutoff ``_cut``."""
-    return sum((F.when(position(k) <= F.col("_cut"), 1).otherwise(0) for k in range(1, most)), F.when(position(0) <= F.col("_cut"), 1).otherwise(0))
+def copies(most: int = 3, cut: str = "_cut") -> Column:
+    """How often a row is taken, given its source's cutoff."""
+    return sum((F.when(position(k) <= F.col(cut), 1).otherwise(0) for k in range(1, most)), F.when(position(0) <= F.col(cut), 1).otherwise(0))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -105,6 +105,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The mix itself: the rows of ``docs``, repeated as often as each is taken."""
     _, sources = plan(docs, weights, most)
-    joined = docs.join(sources, docs["source"].eqNullSafe(sources["_source"]))
-    repeats = F.explode(F.array_repeat(F.lit(1), copies(most)))
-    return joined.withColumn("_copy", repeats).select(*docs.columns)
+    source, cut, copy = own_names("source", "cut", "copy")
+    joined = docs.join(sources.select(F.col("_source").alias(source), F.col("_cut").alias(cut)), F.col("source").eqNullSafe(F.col(source)))
+    repeats = F.explode(F.array_repeat(F.lit(1), copies(most, cut)))
+    return joined.withColumn(copy, repeats).select(*docs.columns)

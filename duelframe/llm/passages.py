@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import arrow_pass, materialise
+from duelframe.llm.common import arrow_pass, materialise, own_names
 
 UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?![\s.!?])[^\n.!?]*)*[.!?]*")
 UNIT_WORDS = 3
@@ -78,10 +78,15 @@ def repeated(docs: DataFrame, min_words: int = 30) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, min_words: int = 30) -> DataFrame:
-    """``docs`` with the passages cut from ``text``, and ``removed``: their spans in the original text."""
-    spans = _passages(docs, min_words).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("starts", "ends"))).alias("removed")).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
-    joined = docs.join(spans, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left").drop("_id", "_version")
+    """``docs`` with the passages cut from ``text``, and ``removed``: their spans in the original text.
+
+    A column ``removed`` that is there already is replaced.
+    """
+    doc_id, version, spans = own_names("id", "version", "spans")
+    listed = _passages(docs, min_words).groupBy(F.col("doc_id").alias(doc_id), F.col("version").alias(version)).agg(F.array_sort(F.collect_list(F.struct("starts", "ends"))).alias(spans))
+    joined = docs.join(listed, (F.col("doc_id") == F.col(doc_id)) & (F.xxhash64("text") == F.col(version)), "left")
     piece = lambda state, s: F.struct(F.concat(state["t"], F.substr("text", state["at"] + 1, s["starts"] - state["at"])).alias("t"), s["ends"].alias("at"))
     start = F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at"))
-    cut = F.aggregate("removed", start, piece, lambda state: F.concat(state["t"], F.substr("text", state["at"] + 1)))
-    return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut))
+    cut = F.aggregate(spans, start, piece, lambda state: F.concat(state["t"], F.substr("text", state["at"] + 1)))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut).alias("text")
+    return joined.select(*[text if c == "text" else F.col(c) for c in docs.columns if c != "removed"], F.col(spans).alias("removed"))

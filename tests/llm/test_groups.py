@@ -298,3 +298,18 @@ def test_passages_are_those_of_two_loops(spark, sf):
                 first[key] = i
     docs = spark.createDataFrame(given + given[:50] + given[-8:] * 2, "doc_id long, text string").repartition(5)
     assert sorted(map(tuple, passages.repeated(docs).collect())) == sorted(want) and len(want) > 10
+
+
+def test_columns_of_any_name_and_type(spark):
+    names = ["_digest", "_row", "_cut", "_copy", "_source", "_size", "removed", "_id", "_version", "rep", "c", "g", "key"]
+    text = "one two three four five six seven eight nine ten. " * 2
+    given = [(i % 5, text if i % 5 < 3 else f"{text} {i} other words", "s", i, *[f"v{i}"] * len(names), {"a": i}) for i in range(8)] + [(None, text, None, 9, *["z"] * len(names), {"b": 1})]
+    schema = "doc_id long, text string, source string, n_chars int, " + ", ".join(f"{n} string" for n in names) + ", notes map<string,int>"
+    docs = spark.createDataFrame(given, schema)
+    kept = jaccard.one_of_each(docs)
+    assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == {0, 3, 4, None}
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and all(getattr(r, "_copy")[0] in "vz" for r in mixed.collect())
+    cut = passages.without_repeats(docs, min_words=5)
+    assert sorted(cut.columns) == sorted(docs.columns) and cut.count() == docs.count()
+    assert {type(r.removed) for r in cut.collect()} <= {list, type(None)}
