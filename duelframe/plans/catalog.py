@@ -11,6 +11,7 @@ from duelframe.plans import (  # noqa: F401
     table_queries,
     windows_queries,
 )
+from duelframe.plans import blend_queries  # noqa: F401  # its SQL builds on the views of the others
 from duelframe.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -109,7 +109,7 @@ def _needs(sql: str) -> list[str]:
     return [n for n in CTE if n in words]
 
 
-RECURSIVE = {"fold", "fold_log", "fold_grid", "fold_reset"}
+RECURSIVE = {"fold", "fold_log", "fold_grid", "fold_reset", "blend_em", "blend_em_wf"}
 
 
 def check_sql(body: str, r6: str = "", places: int = 6) -> str:
