@@ -8,6 +8,7 @@ from duelframe.plans import (  # noqa: F401
     model_queries,
     scalar_queries,
     source_queries,
+    stream_queries,
     table_queries,
     windows_queries,
 )
