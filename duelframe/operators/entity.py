@@ -45,6 +45,12 @@ def swap_where(df: DataFrame, condition: Column, pairs: Sequence[tuple[str, str]
     return df.withColumns(out)
 
 
+def venue_owners(matches: DataFrame, venue: str = "venue_id", home: str = "home_id") -> DataFrame:
+    """The side with most home games at each venue; ties go to the smallest id. A null venue has no owner."""
+    games = matches.where(F.col(venue).isNotNull() & F.col(home).isNotNull()).groupBy(venue, home).agg(F.count(F.lit(1)).alias("_n"))
+    return games.groupBy(venue).agg(F.max_by(home, F.struct(F.col("_n"), -F.col(home))).alias("owner_id"))
+
+
 def orient_by_owner(
     matches: DataFrame, owners: DataFrame, pairs: Sequence[tuple[str, str]], venue: str = "venue_id"
 ) -> DataFrame:

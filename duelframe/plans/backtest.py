@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duelframe.operators.imputation import FLAG_COLUMNS, clamp_openers, coherent_prices, exact_medians, recency_weight
 from duelframe.operators.metrics import fold_means, log_loss_of, probability_metrics
+from duelframe.operators.sinks import multiset_digest
 from duelframe.session import cut_lineage
 
 Factory = Callable[[str], Estimator]
@@ -332,8 +333,8 @@ def score(artifacts: Trained, rows: DataFrame, sparse_above: float = 0.4, model_
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-free digest of a table: xor and count of the row hashes, in one combined aggregate."""
-    return df.agg(F.bit_xor(F.xxhash64(*columns)).alias("digest"), F.count(F.lit(1)).alias("rows"))
+    """Order-free digest and row count of a table, in one combined aggregate."""
+    return df.agg(F.coalesce(multiset_digest(columns), F.lit(0).cast("long")).alias("digest"), F.count(F.lit(1)).alias("rows"))
 
 
 def _write_notes(spark: SparkSession, path: str, digest: DataFrame, features: Sequence[str], valid: bool) -> None:

@@ -394,14 +394,14 @@ def jn16(spark, sf):
     """
 SELECT t.entity_id, p.member_id, coalesce(s.n, 0) AS games_started, t.n - coalesce(s.n, 0) AS games_missed
 FROM (SELECT DISTINCT entity_id, member_id FROM appearances WHERE is_starter) p
-JOIN (SELECT entity_id, count(*) AS n FROM log WHERE margin IS NOT NULL AND year BETWEEN 1998 AND 2001 GROUP BY 1) t USING (entity_id)
+JOIN (SELECT entity_id, count(*) AS n FROM log WHERE margin IS NOT NULL GROUP BY 1) t USING (entity_id)
 JOIN (SELECT a.entity_id, a.member_id, count(*) AS n FROM appearances a JOIN log l USING (match_id, entity_id)
-           WHERE a.is_starter AND l.margin IS NOT NULL AND l.year BETWEEN 1998 AND 2001 GROUP BY 1, 2) s
+           WHERE a.is_starter AND l.margin IS NOT NULL GROUP BY 1, 2) s
   ON s.entity_id = p.entity_id AND s.member_id = p.member_id""",
 )
 def jn17(spark, sf):
     games = log(spark, sf).withColumn("expected", F.lit(0.5))
-    both = G.with_without(A.appearances(spark, sf), games, 0, 0, 1998, 2001)
+    both = G.with_without(A.appearances(spark, sf), games, 0, 0)
     return both.select("entity_id", "member_id", "games_started", "games_missed")
 
 
@@ -447,11 +447,11 @@ def jn20(spark, sf):
     "jn21_pair_attributes",
     """
 SELECT m.match_id, x.meetings, x.last_day FROM matches m
-LEFT JOIN (SELECT home_id, away_id, count(*) AS meetings, max(event_date) AS last_day FROM matches WHERE year < 2000 GROUP BY 1, 2) x USING (home_id, away_id)""",
+LEFT JOIN (SELECT home_id, away_id, count(*) AS meetings, max(event_date) AS last_day FROM matches GROUP BY 1, 2) x USING (home_id, away_id)""",
 )
 def jn21(spark, sf):
     m = A.matches(spark, sf).select("match_id", "event_date", "year", "home_id", "away_id")
-    known = m.filter("year < 2000").groupBy("home_id", "away_id").agg(
+    known = m.groupBy("home_id", "away_id").agg(
         F.count(F.lit(1)).alias("meetings"), F.max("event_date").alias("last_day")
     )
     return m.join(known, ["home_id", "away_id"], "left").select("match_id", "meetings", "last_day")
@@ -533,7 +533,8 @@ def nrm02(spark, sf):
 
 
 PAIRS = [("home_id", "away_id"), ("home_score", "away_score"), ("halftime_home", "halftime_away"), ("penalty_home", "penalty_away")]
-define("owners", "SELECT venue_id, max(home_id) AS owner_id FROM matches WHERE year = 1995 GROUP BY 1")
+# the owner of a venue has most home games there; ties go to the smallest id
+define("owners", "SELECT venue_id, arg_min(home_id, (-n, home_id)) AS owner_id FROM (SELECT venue_id, home_id, count(*) AS n FROM matches GROUP BY 1, 2) GROUP BY 1")
 
 
 @query(
@@ -547,7 +548,7 @@ FROM (SELECT m.*, coalesce(o.owner_id = m.away_id, false) AS swap FROM matches m
 )
 def nrm03(spark, sf):
     m = A.matches(spark, sf)
-    owners = m.filter("year = 1995").groupBy("venue_id").agg(F.max("home_id").alias("owner_id"))
+    owners = E.venue_owners(m)
     return E.orient_by_owner(m.select("match_id", "venue_id", *[c for p in PAIRS for c in p]), owners, PAIRS)
 
 

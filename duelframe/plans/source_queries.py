@@ -378,14 +378,19 @@ def snk07(spark, sf):
     return align_to(loose, as_struct("match_id long, home_score int, referee string"))
 
 
-@query("snk08_lineup_baseline", "SELECT year, round, match_id, entity_id, slot, member_id, member_name FROM appearances WHERE slot <= 13 AND year = 2001")
+@query("snk08_lineup_baseline", "SELECT year, round, match_id, entity_id, slot, member_id, member_name FROM appearances WHERE slot <= 13")
 def snk08(spark, sf):
     path = place(spark, "baseline")
     K.save_baseline(A.appearances(spark, sf), path)
-    return S.scan(spark, path).filter("year = 2001").select("year", "round", "match_id", "entity_id", "slot", "member_id", "member_name")
+    return S.scan(spark, path).select("year", "round", "match_id", "entity_id", "slot", "member_id", "member_name")
 
 
-@query("snk09_fingerprint")
+@query(
+    "snk09_fingerprint",
+    """
+SELECT year, CAST(sum(CAST('0x' || substr(md5(match_id || '|' || coalesce(home_score::VARCHAR, '~') || '|' || coalesce(away_score::VARCHAR, '~')), 1, 15) AS HUGEINT)) % 4611686018427387904 AS BIGINT) AS digest,
+       count(*) AS rows FROM matches GROUP BY 1""",
+)
 def snk09(spark, sf):
     return K.season_digests(A.matches(spark, sf), ["match_id", "home_score", "away_score"])
 

@@ -69,3 +69,13 @@ def test_a_running_session_keeps_its_settings(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     again = build_session("other", 2)
     assert again.sparkContext.master == spark.sparkContext.master and again.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_digests_see_values_and_how_often_rows_repeat(spark):
+    from duelframe.operators.sinks import season_digests, stale_seasons
+
+    schema = "year int, a int, b string"
+    one = spark.createDataFrame([(1, 1, "x"), (1, 1, "x"), (1, 2, None), (2, 5, "y")], schema)
+    assert stale_seasons(season_digests(one, ["a", "b"]), season_digests(one.orderBy("b").repartition(3), ["a", "b"])).count() == 0
+    other = spark.createDataFrame([(1, 2, None), (1, 2, None), (1, 2, None), (2, 5, "y")], schema)  # an exclusive or would not tell
+    assert [r.year for r in stale_seasons(season_digests(one, ["a", "b"]), season_digests(other, ["a", "b"])).collect()] == [1]
