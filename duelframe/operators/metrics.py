@@ -26,17 +26,21 @@ def probability_metrics(df: DataFrame, by: Sequence[str], prob: str = "prob", la
     )
 
 
-def auc(df: DataFrame, by: Sequence[str], prob: str = "prob", label: str = "label", cells: int = 1000) -> DataFrame:
+def auc(df: DataFrame, by: Sequence[str], prob: str = "prob", label: str = "label", cells: int = 64) -> DataFrame:
     """Exact area under the ROC curve per group.
 
-    Rows are first counted per distinct score (combined before the shuffle). Scores fall into
-    ``cells`` ordered slices: the positives and negatives of lower slices come from a small per-cell
-    table, those inside a slice from a window on (group, cell), so no task sees a whole group.
+    Rows are first counted per distinct score (combined before the shuffle). The scores are cut at
+    their own quantiles into ``cells`` ordered slices, so scores that crowd in one place spread like
+    others: the negatives of lower slices come from a small per-cell table, those inside a slice from
+    a window on (group, cell), so no task sees a whole group. Where the cuts lie changes no result.
     """
     y = F.col(label)
     counts = df.groupBy(*by, F.col(prob).alias("_p")).agg(
         F.sum((y == 1).cast("long")).alias("_pos"), F.sum((y == 0).cast("long")).alias("_neg")
-    ).withColumn("_cell", F.floor(F.col("_p") * cells))
+    )
+    cuts = counts.agg(F.percentile_approx("_p", [i / cells for i in range(1, cells)], 100 * cells).alias("c")).first()["c"] or []
+    below = sum(((F.col("_p") >= cut).cast("int") for cut in sorted(set(cuts))), F.lit(0))  # fewer than ``cells`` cuts
+    counts = counts.withColumn("_cell", below)
     per_cell = counts.groupBy(*by, "_cell").agg(F.sum("_neg").alias("_n"))
     lower = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_cell.select(*by, "_cell", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_base"))

@@ -151,7 +151,13 @@ def simplex_weights(
 
 def blended(wide: DataFrame, weights: DataFrame, models: Sequence[str], market: str = "market") -> DataFrame:
     """``wide`` with ``prob``, blended by the weights of its fold, or by the one row without a fold."""
-    one = weights.select(F.col("fold").alias("_for"), *[F.col(f"weight_{m}").alias(f"_w_{i}") for i, m in enumerate([*models, "market"])])
-    prob = sum((F.col(f"_w_{i}") * F.col(c) for i, c in enumerate([*models, market])), F.lit(0.0))
-    joined = wide.join(F.broadcast(one), F.col("_for").isNull() | (F.col("_for") == F.col("fold")))  # one row a season
+    everywhere = weights.where("fold IS NULL").first()
+    names = [f"weight_{m}" for m in [*models, "market"]]
+    if everywhere is not None:
+        prob = sum((F.lit(everywhere[n]) * F.col(c) for n, c in zip(names, [*models, market], strict=True)), F.lit(0.0))
+        return wide.withColumn("prob", prob)
+    own = [f"_w_{i}" for i in range(len(names))]
+    told = weights.select(F.col("fold").alias("_for"), *[F.col(n).alias(o) for n, o in zip(names, own, strict=True)])
+    joined = wide.join(F.broadcast(told), F.col("_for") == F.col("fold"))  # one row a season
+    prob = sum((F.col(o) * F.col(c) for o, c in zip(own, [*models, market], strict=True)), F.lit(0.0))
     return joined.select(*[wide[c] for c in wide.columns], prob.alias("prob"))

@@ -1,5 +1,6 @@
 """Properties every result must have, whatever the data."""
 
+import pytest
 from conftest import same
 from pyspark.sql import functions as F
 
@@ -117,3 +118,21 @@ def test_calibration_and_stacking_keep_the_signal(spark):
     assert 0.01 <= low and high <= 0.99
     scores = {r["model"]: r["log_loss"] for r in fold_scores(stacked(oof_, ["logistic"]).filter("fold > 2002")).collect()}
     assert scores["stack"] < 0.67
+
+
+def test_auc_of_crowded_scores(spark):
+    """Scores between 0.5 and 0.501 spread over slices, and the area is that of all pairs."""
+    import random
+
+    from duelframe.operators.metrics import auc
+
+    rng = random.Random(6)
+    rows = [(g, 0.5 + rng.randint(0, 300) * 1e-3 / 300, rng.randint(0, 1)) for g in (1, 2) for _ in range(400)] + [(3, 0.7, 1), (3, None, 0), (1, 0.9, None)]
+    df = spark.createDataFrame(rows, "g int, prob double, label int")
+    found = {r.g: r.auc for r in auc(df.where("prob IS NOT NULL"), ["g"]).collect()}
+    for g in (1, 2):
+        pos, neg = ([p for h, p, y in rows if h == g and y == k] for k in (1, 0))
+        assert found[g] == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg))
+    assert found[3] is None
+    text = auc(df, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "CartesianProduct" not in text
