@@ -1,24 +1,27 @@
 """Sequential ratings with state shared by all participants of a league.
 
-A rating update depends on every earlier update of both sides, and a season change touches all
-participants at once, so a league is a chain: the only parallel axes are leagues and parameter sets.
-The fold therefore streams. Rows are narrowed to ids, date and scores, hashed by (parameter set,
-league), sorted inside the partition and read batch by batch; a task holds one batch and one number
-per participant, never a league's rows. A run can start from saved ratings and read only the new
-period, which is how a long history is kept up to date.
+A rating update depends on every earlier update of both sides, so a league is a chain. The fold
+therefore streams. Rows are narrowed to ids, date and scores, hashed by (block of parameter sets,
+league), sorted by time inside the partition, so that its leagues run side by side, and read batch by
+batch. Within a batch games without a common participant are played at once (``waves``), under all
+parameter sets of the block. A task holds one batch and one number per participant and parameter set,
+never a league's rows. A run can start from saved ratings and read only the new period, which is how a
+long history is kept up to date.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from duelframe.operators.waves import fold
+
 # the fold travels with its code, so workers need no installed copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -59,7 +62,7 @@ def margin_multiplier(margin: str | Column, kind: str = "log", divisor: float =
 
 
 class _Chain:
-    """Ratings of one league under one parameter set."""
+    """Ratings of one league under one parameter set, game by game: for streams, which play a day at a time."""
 
     def __init__(self, params: RatingParams):
         self.p = params
@@ -102,7 +105,6 @@ class _Chain:
         return (*before, read, h + step, a - step)
 
 
-_IN = ("config", "league", "match_id", "year", "home_id", "away_id", "home_score", "away_score", "saved")
 _OUT = pa.schema(
     [
         ("config", pa.int32()), ("league", pa.int32()), ("match_id", pa.int64()), ("year", pa.int32()),
@@ -112,36 +114,18 @@ _OUT = pa.schema(
 )
 
 
-def _fold(params: Sequence[RatingParams]):
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, chain = None, None
-        for batch in batches:
-            rows: list[tuple] = []
-            for config, league, match_id, year, home, away, hs, aw, start in zip(*(batch[c].to_pylist() for c in _IN)):
-                if (config, league) != key:
-                    key, chain = (config, league), _Chain(params[config])
-                if start is not None:
-                    chain.rating[home] = start
-                    chain.season = year if chain.season is None else max(chain.season, year)
-                    continue
-                rows.append((config, league, match_id, year, home, away, *chain.play(year, home, away, hs, aw)))
-            columns = list(zip(*rows)) if rows else [[] for _ in _OUT]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(columns, _OUT)], schema=_OUT
-            )
-
-    return over
-
-
 def rate(
     matches: DataFrame,
     params: Sequence[RatingParams] = (RatingParams(),),
     saved: DataFrame | None = None,
+    sets_per_task: int = 16,
 ) -> DataFrame:
     """Pre-match ratings, win probability and ratings after the match, per parameter set.
 
     ``saved`` (league, entity_id, rating, year) continues from an earlier run: its rows enter the
-    stream ahead of the matches.
+    stream ahead of the matches. ``sets_per_task`` parameter sets are folded over one copy of the rows.
+    A null league is one league, a null participant one participant; games without both scores are
+    rated and change nothing.
     """
     spark = matches.sparkSession
     narrow = matches.select(
@@ -156,14 +140,16 @@ def rate(
             F.col("rating").alias("saved"),
         )
         narrow = narrow.unionByName(start)
-    configs = F.explode(F.sequence(F.lit(0), F.lit(len(params) - 1))).alias("config")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((len(params) - 1) // sets_per_task))).alias("block")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chained = (
-        narrow.select("*", configs)
-        .repartition(parts, "config", "league")
-        .sortWithinPartitions("config", "league", F.asc_nulls_first("event_date"), F.asc_nulls_first("match_id"))
+        narrow.select("*", blocks)
+        .repartition(parts, "block", "league")
+        .sortWithinPartitions(
+            "block", F.col("saved").isNull(), F.asc_nulls_first("event_date"), F.asc_nulls_first("match_id")
+        )
     )
-    return chained.mapInArrow(_fold(list(params)), RATED)
+    return chained.mapInArrow(fold(list(params), sets_per_task, _OUT), RATED)
 
 
 def rating_features(rated: DataFrame) -> DataFrame:
