@@ -17,15 +17,6 @@ from duelframe.plans.windows_queries import wide_sql
 from duelframe.sources import adapters as A
 
 
-@query(
-    "rt01_expected_score",
-    "SELECT match_id, 1 / (1 + power(10::DOUBLE, ((1400 + (cents // 7) % 201) - (1400 + cents % 201) - 50) / 400)) AS expected FROM matches",
-    "expected",
-)
-def rt01(spark, sf):
-    return FT.proxy_rating(A.matches(spark, sf)).select("match_id", F.col("home_elo_prob").alias("expected"))
-
-
 @query(
     "rt02_margin_multiplier",
     "SELECT match_id, ln(greatest(abs(home_score - away_score), 1) + 1) AS log_weight, 1 + abs(home_score - away_score) / 10 AS linear_weight, CASE WHEN home_score IS NOT NULL THEN 1.0::DOUBLE END AS no_weight FROM matches WHERE home_score IS NOT NULL",
@@ -100,6 +91,16 @@ define("fold_reset", fold_sql("fold_reset", "1", late=False))
 _RATING = "home_elo away_elo home_elo_prob elo_diff"
 
 
+@query(
+    "rt01_expected_score",
+    "SELECT match_id, 1 / (1 + power(10::DOUBLE, (away_elo - home_elo - 50) / 400)) AS expected FROM fold WHERE n > 0",
+    "expected",
+)
+def rt01(spark, sf):
+    rated = R.rating_features(R.rate(A.matches(spark, sf)))
+    return rated.select("match_id", R.expected_score("home_elo", "away_elo", 50.0).alias("expected"))
+
+
 @query(
     "rt03_season_regression",
     "SELECT match_id, home_elo, away_elo, home_elo_prob, home_elo - away_elo AS elo_diff FROM fold_reset WHERE n > 0",
@@ -210,19 +211,19 @@ define(
     f"""
 SELECT m.match_id, m.round_label, TRY_CAST(m.round_label AS INTEGER) AS round_number, CASE WHEN m.round_label LIKE '%Final%' THEN 1 ELSE 0 END AS is_finals,
        f.* EXCLUDE (match_id), c.* EXCLUDE (match_id), d.home_days_rest, d.away_days_rest, d.home_days_rest - d.away_days_rest AS rest_diff,
-       s.home_streak, s.away_streak, l.* EXCLUDE (match_id), v.home_venue_win_rate, v.away_venue_win_rate, p.* EXCLUDE (match_id), g.is_home_ground,
-       CAST((1400 + m.cents % 201) - (1400 + (m.cents // 7) % 201) AS DOUBLE) AS elo_diff,
-       1 / (1 + power(10::DOUBLE, ((1400 + (m.cents // 7) % 201) - (1400 + m.cents % 201) - 50) / 400)) AS home_elo_prob
+       s.home_streak, s.away_streak, l.* EXCLUDE (match_id), v.home_venue_win_rate, v.away_venue_win_rate, p.* EXCLUDE (match_id), g.is_home_ground, r.elo_diff, r.home_elo_prob
 FROM matches m JOIN ({wide_sql('form', FT.FORM)}) f USING (match_id) JOIN ({wide_sql('consistency', FT.CONSISTENCY)}) c USING (match_id)
 JOIN opener_base d USING (match_id) JOIN ({wide_sql('streaks', ['streak'])}) s USING (match_id) JOIN ladder_lookup l USING (match_id)
-JOIN ({wide_sql('venue_record', ['venue_win_rate'])}) v USING (match_id) LEFT JOIN prices p USING (match_id) JOIN ground g USING (match_id)""",
+JOIN ({wide_sql('venue_record', ['venue_win_rate'])}) v USING (match_id) LEFT JOIN prices p USING (match_id) JOIN ground g USING (match_id)
+LEFT JOIN (SELECT match_id, home_elo - away_elo AS elo_diff, home_elo_prob FROM fold WHERE n > 0) r USING (match_id)""",
 )
 
 
 def composed(spark, sf):
     from duelframe.plans.windows_queries import wn07
 
-    return FT.proxy_rating(FT.base_features(spark, sf)).join(wn07(spark, sf), "match_id")
+    rated = R.rating_features(R.rate(A.matches(spark, sf)))
+    return FT.base_features(spark, sf).join(wn07(spark, sf), "match_id").join(rated, "match_id", "left")
 
 
 _FE03 = {

@@ -49,17 +49,6 @@ def base_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def proxy_rating(df: DataFrame) -> DataFrame:
-    """A rating computed from one row, for checks that must not depend on the sequential fold."""
-    home, away = F.col("cents") % 201 + 1400, F.expr("cents div 7") % 201 + 1400
-    return df.withColumns(
-        {
-            "elo_diff": (home - away).cast("double"),
-            "home_elo_prob": R.expected_score(home, away, 50.0),
-        }
-    )
-
-
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     """Every feature block, with the sequential ratings, for training and scoring."""
     m = A.matches(spark, sf)
