@@ -119,11 +119,13 @@ def mark(df: DataFrame, members: DataFrame, keys: Sequence[str], name: str) -> D
     return df.join(present, list(keys), "left").withColumn(name, F.coalesce("_there", F.lit(False))).drop("_there")
 
 
-def side_by_side(a: DataFrame, b: DataFrame, key: str, measures: Sequence[str], margin: float = 0.0005) -> DataFrame:
-    """Two result tables by key with deltas and a better/worse/same verdict on the first measure."""
-    left = a.select(key, *[F.col(m).alias(f"{m}_a") for m in measures])
-    right = b.select(key, *[F.col(m).alias(f"{m}_b") for m in measures])
-    out = left.join(right, key).withColumns({f"{m}_delta": F.col(f"{m}_b") - F.col(f"{m}_a") for m in measures})
+def side_by_side(
+    a: DataFrame, b: DataFrame, keys: Sequence[str], measures: Sequence[str], margin: float = 0.0005
+) -> DataFrame:
+    """Two result tables by keys with deltas and a better/worse/same verdict on the first measure."""
+    left = a.select(*keys, *[F.col(m).alias(f"{m}_a") for m in measures])
+    right = b.select(*keys, *[F.col(m).alias(f"{m}_b") for m in measures])
+    out = left.join(right, list(keys)).withColumns({f"{m}_delta": F.col(f"{m}_b") - F.col(f"{m}_a") for m in measures})
     d = F.col(f"{measures[0]}_delta")
     return out.withColumn("verdict", F.when(d < -margin, "better").when(d > margin, "worse").otherwise("same"))
 

@@ -418,14 +418,15 @@ def jn18(spark, sf):
 @query(
     "jn19_side_by_side",
     """
-SELECT feature, a AS importance_a, b AS importance_b, b - a AS importance_delta,
-       CASE WHEN b - a < -0.0005 THEN 'better' WHEN b - a > 0.0005 THEN 'worse' ELSE 'same' END AS verdict
-FROM (SELECT feature, max(CASE WHEN year = 1996 THEN importance END) AS a, max(CASE WHEN year = 1997 THEN importance END) AS b FROM importances GROUP BY 1)""",
+SELECT a.year, feature, a.importance AS importance_a, b.importance AS importance_b, b.importance - a.importance AS importance_delta,
+       CASE WHEN b.importance - a.importance < -0.0005 THEN 'better' WHEN b.importance - a.importance > 0.0005 THEN 'worse' ELSE 'same' END AS verdict
+FROM importances a JOIN (SELECT year - 1 AS year, feature, importance FROM importances) b USING (year, feature)""",
     "importance_a importance_b importance_delta",
 )
 def jn19(spark, sf):
+    """Every season beside the next one."""
     long = importances(spark, sf)
-    return L.side_by_side(long.filter("year = 1996"), long.filter("year = 1997"), "feature", ["importance"])
+    return L.side_by_side(long, long.withColumn("year", F.col("year") - 1), ["year", "feature"], ["importance"])
 
 
 @query(

@@ -392,11 +392,12 @@ def set04(spark, sf):
 
 @query(
     "set05_common_keys",
-    "SELECT DISTINCT member_id FROM appearances WHERE year = 1996 INTERSECT SELECT DISTINCT member_id FROM appearances WHERE year = 1997",
+    "SELECT DISTINCT year, member_id FROM appearances INTERSECT SELECT DISTINCT year - 1 AS year, member_id FROM appearances",
 )
 def set05(spark, sf):
-    a = A.appearances(spark, sf)
-    return a.filter("year = 1996").select("member_id").intersect(a.filter("year = 1997").select("member_id"))
+    """Members seen in a season and in the next one, for every season."""
+    seen = A.appearances(spark, sf).select("year", "member_id")
+    return seen.intersect(seen.select((F.col("year") - 1).alias("year"), "member_id"))
 
 
 @query(
