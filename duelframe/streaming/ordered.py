@@ -2,16 +2,20 @@
 
 Each operator keeps, per key, what may still be preceded or corrected, and uses event-time timers to
 let it go. Nothing is dropped without a word: a row that comes too late to count is part of the output.
-State lives in the RocksDB store, so a landing may hold far more than a task's memory.
+State lives in the RocksDB store, so a landing may hold far more than a task's memory. A call of the store
+costs about as much as hundreds of rows, so state is packed: calls go with days, windows or slots of keys.
 """
 
 from __future__ import annotations
 
 import datetime
+import pickle
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
+from itertools import islice
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -62,9 +66,18 @@ def _event_clock(stream: DataFrame, at: str, late: str) -> DataFrame:
     return stream.withColumn("_at", (F.unix_micros(F.col(at).cast("timestamp")) / 1000).cast("long")).withColumn("_clock", F.col(at).cast("timestamp")).withWatermark("_clock", late)
 
 
+def _packed(rows: Iterable[tuple], width: int, at_once: int) -> Iterator[np.ndarray]:
+    """Rows of whole numbers as arrays of at most ``at_once`` rows; a last column marks nulls by bits."""
+    rows = iter(rows)
+    while chunk := list(islice(rows, at_once)):
+        marks = [sum(1 << i for i, v in enumerate(r) if v is None) if None in r else 0 for r in chunk]
+        yield np.array([(*((v or 0) for v in r), m) if m else (*r, m) for r, m in zip(chunk, marks, strict=True)], dtype=np.int64).reshape(-1, width + 1)
+
+
 # -- ratings in event order (STM-03) ----------------------------------------------------------------
 
 _GAME = "match_id long, year int, home_id int, away_id int, home_score int, away_score int"
+_WIDTH = len(_GAME.split(", "))
 RATED = "league int, match_id long, event_date date, home_elo double, away_elo double, home_elo_prob double, late boolean"
 
 
@@ -75,12 +88,15 @@ class InOrder(StatefulProcessor):
     again before its day is played replaces the earlier row.
     """
 
+    #: Games that are held before they are dealt to their days.
+    AT_ONCE = 1_000_000
+
     def __init__(self, params: RatingParams):
         self.params = params
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.days = handle.getMapState("days", "day long", f"games array<struct<{_GAME.replace(' ', ':').replace(',:', ',')}>>")
+        self.days = handle.getMapState("days", "day long", "games binary")
         self.table = handle.getValueState("table", "ids array<int>, ratings array<double>, season int, played long")
 
     def _table(self) -> tuple[dict, int | None, int | None]:
@@ -90,30 +106,66 @@ class InOrder(StatefulProcessor):
         ids, ratings, season, played = known
         return dict(zip(ids, ratings, strict=True)), season, played
 
+    def _games(self, day: int) -> np.ndarray | None:
+        known = self.days.getValue((day,))
+        return None if known is None else np.frombuffer(known[0], dtype=np.int64).reshape(-1, _WIDTH + 1)
+
+    def _deal(self, chunks: list[np.ndarray]) -> None:
+        """Adds rows of (game, day, nulls) to their days: one read and one write a day."""
+        new = np.concatenate(chunks)
+        new = new[np.argsort(new[:, _WIDTH], kind="stable")]
+        days, starts = np.unique(new[:, _WIDTH], return_index=True)
+        for day, games in zip(days.tolist(), np.split(np.delete(new, _WIDTH, axis=1), starts[1:]), strict=True):
+            known = self._games(day)
+            if known is None:
+                self.handle.registerTimer(day)
+            else:
+                games = np.concatenate([known, games])
+            self.days.updateValue((day,), (_last_per_match(games).tobytes(),))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         played = self._table()[2]
-        for r in rows:
-            day = r["_at"]
-            if played is not None and day <= played:
-                yield Row(league=key[0], match_id=r["match_id"], event_date=_date(day), home_elo=None, away_elo=None, home_elo_prob=None, late=True)
-                continue
-            game = tuple(r[c.split(" ")[0]] for c in _GAME.split(", "))
-            known = [tuple(g) for g in self.days.getValue((day,))[0]] if self.days.containsKey((day,)) else []
-            if not known:
-                self.handle.registerTimer(day)
-            self.days.updateValue((day,), ([*[g for g in known if g[0] != game[0]], game],))
+        late: list[tuple[int, int]] = []
+
+        def open_rows():
+            for r in rows:
+                day = r[_WIDTH + 1]
+                if played is not None and day <= played:
+                    late.append((r[1], day))
+                else:
+                    yield r[1 : _WIDTH + 2]
+
+        held: list[np.ndarray] = []
+        for chunk in _packed(open_rows(), _WIDTH + 1, 50_000):
+            held.append(chunk)
+            if sum(map(len, held)) >= self.AT_ONCE:
+                self._deal(held)
+                held = []
+            yield from self._late(key, late)
+        if held:
+            self._deal(held)
+        yield from self._late(key, late)
+
+    def _late(self, key, late: list[tuple[int, int]]) -> Iterator[Row]:
+        for match_id, day in late:
+            yield Row(league=key[0], match_id=match_id, event_date=_date(day), home_elo=None, away_elo=None, home_elo_prob=None, late=True)
+        late.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         day = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.days.containsKey((day,)):
+        games = self._games(day)
+        if games is None:
             return
         ratings, season, played = self._table()
         chain = _Chain(self.params)
         chain.rating, chain.season = ratings, season
-        for g in sorted((tuple(g) for g in self.days.getValue((day,))[0]), key=lambda g: g[0]):
-            match_id, year, home, away, hs, aw = g
+        on = _date(day)
+        for *game, nulls in games.tolist():
+            if nulls:
+                game = [None if nulls >> i & 1 else v for i, v in enumerate(game)]
+            match_id, year, home, away, hs, aw = game
             before_home, before_away, prob, *_ = chain.play(year, home, away, hs, aw)
-            yield Row(league=key[0], match_id=match_id, event_date=_date(day), home_elo=before_home, away_elo=before_away, home_elo_prob=prob, late=False)
+            yield Row(league=key[0], match_id=match_id, event_date=on, home_elo=before_home, away_elo=before_away, home_elo_prob=prob, late=False)
         self.days.removeKey((day,))
         self.table.update(([int(k) for k in chain.rating], [float(v) for v in chain.rating.values()], chain.season, day if played is None else max(played, day)))
 
@@ -121,6 +173,16 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def _last_per_match(games: np.ndarray) -> np.ndarray:
+    """The last of the rows of each match, by match id, a missing id first."""
+    ids, known = games[:, 0], 1 - (games[:, -1] & 1)
+    games = games[np.lexsort((ids, known))]  # a stable sort
+    ids, known = games[:, 0], games[:, -1] & 1
+    last = np.ones(len(games), dtype=bool)
+    last[:-1] = (ids[1:] != ids[:-1]) | (known[1:] != known[:-1])
+    return games[last]
+
+
 def _date(ms: int) -> datetime.date:
     return datetime.date(1970, 1, 1) + datetime.timedelta(days=ms // 86_400_000)
 
@@ -152,49 +214,56 @@ class Corrected(StatefulProcessor):
     is a window and a slot of matches, so that timers and reads of state serve many matches at a time.
     """
 
+    #: Matches of one entry of the state.
+    PART = 100_000
+
     def __init__(self, width_ms: int, keep_ms: int):
         self.width, self.keep = width_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.told = handle.getValueState("told", "told boolean")
-        self.sums = handle.getMapState("sums", "match_id long", "home long, away long, quotes long")
+        self.sums = handle.getListState("sums", "part binary")
 
-    def _row(self, start: int, match_id: int, kind: str, sums: tuple, added: int) -> Row:
-        at = datetime.datetime.fromtimestamp(start / 1000, datetime.UTC).replace(tzinfo=None)
-        return Row(match_id=match_id, window_start=at, kind=kind, home_ticks=sums[0], away_ticks=sums[1], quotes=sums[2], added=added)
+    def _row(self, at: datetime.datetime, kind: str, sums: Sequence[int], added: int) -> Row:
+        return Row(match_id=sums[0], window_start=at, kind=kind, home_ticks=sums[1], away_ticks=sums[2], quotes=sums[3], added=added)
+
+    def _known(self) -> np.ndarray:
+        """Rows of (match, home, away, quotes), one a match, by match."""
+        parts = [np.frombuffer(p[0], dtype=np.int64).reshape(-1, 4) for p in self.sums.get()]
+        return np.concatenate(parts) if parts else np.empty((0, 4), dtype=np.int64)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        start, new = key[0], {}
-        for r in rows:
-            h, a, n = new.get(r["match_id"], (0, 0, 0))
-            new[r["match_id"]] = (h + r["home_ticks"], a + r["away_ticks"], n + 1)
-        if not new:
+        start, new = key[0], np.empty((0, 4), dtype=np.int64)
+        for chunk in _packed(((r[0], r[3], r[4], 1) for r in rows), 4, 50_000):
+            new = _summed(np.concatenate([new, chunk[:, :4]]))
+        if not len(new):
             return
         told = self.told.get()
         if told is None and timerValues.getCurrentWatermarkInMs() >= start + self.width + self.keep:
-            for match_id, sums in new.items():
-                yield self._row(start, match_id, "late", sums, sums[2])
+            for sums in new.tolist():
+                yield self._row(_moment(start), "late", sums, sums[3])
             return
-        known = {}
+        whole = new
         if told is None:
             self.told.update((False,))
             self.handle.registerTimer(start + self.width)
             self.handle.registerTimer(start + self.width + self.keep)
         else:
-            known = {k[0]: tuple(v) for k, v in self.sums.iterator()}
-        for match_id, sums in new.items():
-            whole = tuple(x + y for x, y in zip(sums, known.get(match_id, (0, 0, 0)), strict=True))
-            self.sums.updateValue((match_id,), whole)
-            if told is not None and told[0]:
-                yield self._row(start, match_id, "correction", whole, sums[2])
+            whole = _summed(np.concatenate([self._known(), new]))
+        self.sums.put([(whole[i : i + self.PART].tobytes(),) for i in range(0, len(whole), self.PART)])
+        if told is not None and told[0]:
+            at = np.searchsorted(whole[:, 0], new[:, 0])
+            for sums, added in zip(whole[at].tolist(), new[:, 3].tolist(), strict=True):
+                yield self._row(_moment(start), "correction", sums, added)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         told = self.told.get()
         if told is not None and not told[0]:
             self.told.update((True,))
-            for k, v in self.sums.iterator():
-                yield self._row(key[0], k[0], "window", tuple(v), v[2])
+            at = _moment(key[0])
+            for sums in self._known().tolist():
+                yield self._row(at, "window", sums, sums[3])
         if expiredTimerInfo.getExpiryTimeInMs() >= key[0] + self.width + self.keep:
             self.sums.clear()
             self.told.clear()
@@ -203,11 +272,22 @@ class Corrected(StatefulProcessor):
         pass
 
 
+def _moment(ms: int) -> datetime.datetime:
+    return datetime.datetime.fromtimestamp(ms / 1000, datetime.UTC).replace(tzinfo=None)
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """One row a match, by match, of rows of (match, numbers that add up)."""
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    ids, starts = np.unique(rows[:, 0], return_index=True)
+    return np.column_stack([ids, np.add.reduceat(rows[:, 1:], starts, axis=0)])
+
+
 def corrected_windows(quotes: DataFrame, at: str, late: str = "2 days", width_minutes: int = 30, keep_days: int = 60, slots: int = 4) -> DataFrame:
     """Sums per match and tumbling window, their corrections, and what came too late for both.
 
     Quotes without a match or time belong to no window and are left out. The state of a window is three
-    numbers a match and lives until ``keep_days`` after its end; matches of a window share ``slots`` tasks.
+    numbers a match, packed, and lives until ``keep_days`` after its end; matches of a window share ``slots`` tasks.
     """
     width = width_minutes * 60_000
     timed = _event_clock(quotes.where(F.col("match_id").isNotNull() & F.col(at).isNotNull()), at, late).withColumn("_start", F.col("_at") - F.pmod(F.col("_at"), F.lit(width)))
@@ -231,55 +311,92 @@ class KeepLast(StatefulProcessor):
     """Lets a row pass if it comes after all earlier ones of its key by its own order, and says which revision it is.
 
     State is the order of the last row that passed; it is forgotten once the watermark is ``keep_ms``
-    past the newest event of the key.
+    past the newest event of the key. A group is a slot of keys: its state is one entry and one timer,
+    at the first time when a key of it may be forgotten.
     """
 
-    def __init__(self, names: Sequence[str], order: str, keep_ms: int):
-        self.names, self.order, self.keep = list(names), order, keep_ms
+    def __init__(self, names: Sequence[str], keys: Sequence[str], keep_ms: int):
+        self.names, self.keys, self.keep = list(names), [list(names).index(k) for k in keys], keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at string, revision long, newest long")
+        # per key: order of the last row that passed, its revision, the newest event
+        self.last = handle.getValueState("last", "slot binary, due long")
+
+    def _due(self, slot: dict) -> int | None:
+        return min((newest + self.keep for *_, newest in slot.values() if newest is not None), default=None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        best, newest = None, None
+        best, width = {}, len(self.names)
         for r in rows:
-            best = r if best is None or r[self.order] > best[self.order] else best
-            newest = r["_at"] if newest is None else max(newest, r["_at"] or newest)
-        if best is None:
+            order, at = r[width], r[width + 1]
+            k = tuple(_plain(r[i]) for i in self.keys)
+            known = best.get(k)
+            if known is None:
+                best[k] = [r, order, at]
+                continue
+            if order > known[1]:
+                known[:2] = r, order
+            if at is not None and (known[2] is None or at > known[2]):
+                known[2] = at
+        if not best:
             return
-        at, revision, known = self.last.get() or (None, 0, None)
-        passes = at is None or best[self.order] > at
-        newest = newest if known is None else known if newest is None else max(known, newest)
-        if newest is not None and newest != known:
-            self.handle.registerTimer(newest + self.keep)
-        self.last.update((best[self.order] if passes else at, revision + passes, newest))
-        if passes:
-            yield Row(**{n: best[n] for n in self.names}, revision=revision + 1)
+        state = self.last.get()
+        slot, due = (pickle.loads(state[0]), state[1]) if state else ({}, None)
+        make = Row(*self.names, "revision")
+        for k, (r, order, newest) in best.items():
+            at, revision, known = slot.get(k, (None, 0, None))
+            passes = at is None or order > at
+            newest = newest if known is None else known if newest is None else max(known, newest)
+            slot[k] = (order if passes else at, revision + passes, newest)
+            if passes:
+                yield make(*r[:width], revision + 1)
+        first = self._due(slot)
+        if first is not None and (due is None or first < due):
+            self.handle.registerTimer(first)
+            due = first
+        self.last.update((pickle.dumps(slot), due))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        last = self.last.get()
-        if last is not None and last[2] + self.keep <= expiredTimerInfo.getExpiryTimeInMs():
+        state = self.last.get()
+        if state is None:
+            return iter(())
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        slot = {k: v for k, v in pickle.loads(state[0]).items() if v[2] is None or v[2] + self.keep > now}
+        if not slot:
             self.last.clear()
+            return iter(())
+        due = self._due(slot)
+        if due is not None:
+            self.handle.registerTimer(due)
+        self.last.update((pickle.dumps(slot), due))
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def keep_last(stream: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, late: str = "2 days", keep_days: int = 30) -> DataFrame:
+def _plain(v):
+    """A value of a key as one that a dictionary finds again: lists and NaN are not."""
+    if isinstance(v, (list, tuple)):
+        return tuple(_plain(x) for x in v)
+    return "NaN" if v != v else v
+
+
+def keep_last(stream: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, late: str = "2 days", keep_days: int = 30, slots: int = 16_384) -> DataFrame:
     """The rows that were the last of their key, by ``order``, when they arrived, with a ``revision``.
 
     Ties in ``order`` go to the greatest row by its remaining columns, so the result does not depend on
     how rows land; equal rows pass once. State is one order per key that had an event, by the time
-    ``at``, in the last ``keep_days`` and what may be late. A key that changes after that starts at
+    ``at``, in the last ``keep_days`` and what may be late; keys share ``slots`` entries of it. A key that changes after that starts at
     revision 1 again; ``last_rows`` of the output is right either way.
     """
     rest = [c for c in stream.columns if c not in order]
     out = _parse_datatype_string(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + ", revision long")
     timed = _event_clock(stream.withColumn("_order", _order(stream, [*order, *rest])), at, late)
-    return timed.select(*stream.columns, "_order", "_at").groupBy(*keys).transformWithState(
-        statefulProcessor=KeepLast(stream.columns, "_order", keep_days * 86_400_000), outputStructType=out, outputMode="update", timeMode="eventTime"
+    slot = F.pmod(F.xxhash64(*keys), F.lit(slots)).alias("_slot")
+    return timed.select(*stream.columns, "_order", "_at", slot).groupBy("_slot").transformWithState(
+        statefulProcessor=KeepLast(stream.columns, keys, keep_days * 86_400_000), outputStructType=out, outputMode="update", timeMode="eventTime"
     )
 
 

@@ -4,9 +4,9 @@ import datetime
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
-from duelframe.operators.ratings import RatingParams, rate
+from duelframe.operators.ratings import RatingParams, _Chain, rate
 from duelframe.sources import adapters as A
 from duelframe.streaming import ordered as O
 
@@ -112,3 +112,115 @@ def test_last_row_per_key_over_three_landings(spark, sf, tmp_path):
     assert {(r.match_id, r.slot): (r.day, r.home_ticks) for r in found} == want and len(found) == len(want)
     assert want.keys() <= {(r.match_id, r.slot) for r in passed.where("revision = 1").collect()} and passed.where("revision > 1").count() > 0
 
+
+
+class Calls:
+    """A handle that keeps one group's state in plain objects and counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.timers, self.stored = 0, set(), {}
+
+    def _state(self, name, *_):
+        handle, missing = self, object()
+
+        class State:
+            def _at(self, key=missing, value=missing):
+                handle.calls += 1
+                at = name if key is missing else (name, key)
+                if value is not missing:
+                    handle.stored[at] = value
+                return handle.stored.get(at)
+
+            def get(self):
+                return self._at()
+
+            def getValue(self, key):
+                return self._at(key)
+
+            def update(self, value):
+                self._at(value=value)
+
+            def updateValue(self, key, value):
+                self._at(key, value)
+
+            def removeKey(self, key):
+                handle.calls += 1
+                handle.stored.pop((name, key), None)
+
+            def clear(self):
+                handle.calls += 1
+                handle.stored.pop(name, None)
+
+        class Parts(State):
+            def get(self):
+                return iter(self._at() or ())
+
+            def put(self, values):
+                self._at(value=values)
+
+        return Parts() if name == "sums" else State()
+
+    getMapState = getValueState = getListState = _state
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+DAY = 86_400_000
+
+
+def started(processor):
+    handle = Calls()
+    processor.init(handle)
+    return processor, handle
+
+
+def test_calls_of_the_store_do_not_go_with_quotes():
+    quotes = [Row(match_id=m, _start=0, _slot=0, home_ticks=m % 7, away_ticks=1) for m in range(3000) for _ in range(2)]
+    windows, handle = started(O.Corrected(1000, DAY))
+    assert not list(windows.handleInputRows((0, 0), iter(quotes), At(0))) and handle.calls < 20
+    told = list(windows.handleExpiredTimer((0, 0), At(1000), At(1000)))
+    assert {(r.match_id, r.home_ticks, r.away_ticks, r.quotes) for r in told} == {(m, 2 * (m % 7), 2, 2) for m in range(3000)}
+    (more,) = windows.handleInputRows((0, 0), iter(quotes[10:11]), At(2000))
+    assert (more.kind, more.match_id, more.home_ticks, more.quotes, more.added) == ("correction", 5, 15, 3, 1) and handle.calls < 40
+    assert not list(windows.handleExpiredTimer((0, 0), At(1000 + DAY), At(1000 + DAY))) and not handle.stored
+    (late,) = windows.handleInputRows((0, 0), iter(quotes[:1]), At(1000 + DAY))
+    assert late.kind == "late"
+
+
+def test_calls_of_the_store_do_not_go_with_games():
+    games = [Row(league=1, match_id=m, year=2000, home_id=m % 5, away_id=5 + m % 7, home_score=None if m % 9 == 0 else m % 40, away_score=10, _at=m % 3 * DAY) for m in range(3000)]
+    again = [Row(league=1, match_id=3, year=2000, home_id=3, away_id=8, home_score=0, away_score=50, _at=0), Row(league=1, match_id=None, year=2000, home_id=1, away_id=2, home_score=1, away_score=2, _at=0)]
+    order, handle = started(O.InOrder(RatingParams()))
+    assert not list(order.handleInputRows((1,), iter(games + again), At(0))) and handle.calls < 20 and handle.timers == {0, DAY, 2 * DAY}
+    played = [r for day in range(2) for r in order.handleExpiredTimer((1,), At(day * DAY), At(day * DAY))]
+    chain, want = _Chain(RatingParams()), []
+    for g in [again[1], *sorted((g for g in [*games[:3], *games[4:], again[0]] if g._at < 2 * DAY), key=lambda g: (g._at, g.match_id))]:
+        want.append((g.match_id, *chain.play(g.year, g.home_id, g.away_id, g.home_score, g.away_score)[:3]))
+    assert [(r.match_id, r.home_elo, r.away_elo, r.home_elo_prob) for r in played] == want
+    assert [r.match_id for r in order.handleInputRows((1,), iter(games[:2]), At(DAY))] == [0, 1]  # late
+
+
+def test_calls_of_the_store_do_not_go_with_keys():
+    rows = [Row(match_id=m, day=d, _order=f"{d}", _at=d * DAY, _slot=0) for d in (1, 3, 2) for m in (*range(1000), None)]
+    last, handle = started(O.KeepLast(["match_id", "day"], ["match_id"], 5 * DAY))
+    passed = list(last.handleInputRows((0,), iter(rows), At(0)))
+    assert sorted((r.match_id or 0, r.day, r.revision) for r in passed) == sorted((m, 3, 1) for m in (0, *range(1000))) and handle.calls < 10
+    newer = Row(match_id=7, day=4, _order="4", _at=4 * DAY, _slot=0)
+    assert [(r.match_id, r.revision) for r in last.handleInputRows((0,), iter([newer, rows[8]]), At(0))] == [(7, 2)]
+    assert handle.timers == {8 * DAY}
+    list(last.handleExpiredTimer((0,), At(8 * DAY), At(8 * DAY)))  # all but match 7 are forgotten
+    assert [(r.match_id, r.revision) for r in last.handleInputRows((0,), iter([newer, rows[8]]), At(8 * DAY))] == [(8, 1)]
+    list(last.handleExpiredTimer((0,), At(9 * DAY), At(9 * DAY)))
+    assert handle.calls < 40 and not handle.stored
