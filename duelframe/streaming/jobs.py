@@ -55,11 +55,15 @@ def price_windows(quotes: DataFrame, at: str, key: str, late: str = "2 days", wi
 
 
 def redecide(windows: DataFrame, decisions: DataFrame, threshold: float = 0.60, model_weight: float = 0.25) -> DataFrame:
-    """Stream-static join: blend close calls anew with each fresh consensus."""
+    """Stream-static join: blend close calls anew with each fresh consensus.
+
+    A trigger without new files has an empty input, and yet all windows that the watermark has closed since.
+    Spark takes them for as small as that input and would send them to every executor: the join is a merge.
+    """
     market = F.col("mean_away") / (F.col("mean_home") + F.col("mean_away"))
     new = model_weight * F.col("model_prob") + (1 - model_weight) * market
     close = decisions.filter(F.abs(F.col("old_prob") - 0.5) * 2 <= round((threshold - 0.5) * 2, 12))
-    return windows.join(close, "match_id").select(
+    return windows.hint("merge").join(close, "match_id").select(
         "match_id", "window_start", "window_end", "quotes", "old_prob", new.alias("new_prob"),
         ((new >= 0.5) != (F.col("old_prob") >= 0.5)).alias("is_flip"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Row, functions as F
 
 from duelframe.operators.ratings import RatingParams, _Chain, rate
 from duelframe.sources import adapters as A
-from duelframe.streaming import ordered as O
+from duelframe.streaming import jobs as Z, ordered as O
 
 
 def landings(spark, df, folder, parts=3, seed=1, first=None):
@@ -224,3 +224,14 @@ def test_calls_of_the_store_do_not_go_with_keys():
     assert [(r.match_id, r.revision) for r in last.handleInputRows((0,), iter([newer, rows[8]]), At(8 * DAY))] == [(8, 1)]
     list(last.handleExpiredTimer((0,), At(9 * DAY), At(9 * DAY)))
     assert handle.calls < 40 and not handle.stored
+
+
+def test_closed_windows_are_never_broadcast(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(m, at + datetime.timedelta(days=m), 30, 40) for m in range(20)]
+    spark.createDataFrame(rows, "match_id long, quoted_at timestamp, home_ticks int, away_ticks int").write.parquet(str(tmp_path / "in"))
+    quotes = spark.readStream.schema("match_id long, quoted_at timestamp, home_ticks int, away_ticks int").parquet(str(tmp_path / "in"))
+    decisions = spark.range(20).selectExpr("id AS match_id", "0.5D AS model_prob", "0.5D AS old_prob")
+    query = Z.drain(Z.redecide(Z.price_windows(quotes, "quoted_at", "match_id"), decisions), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert "Broadcast" not in query._jsq.explainInternal(False)
+    assert sorted(r.match_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(17))
