@@ -153,12 +153,15 @@ class Model:
 
 
 def encoded(model: Model, texts: Iterator[str | None]) -> Iterator[tuple[str, str]]:
-    """Per text its ids, joined by commas, and the text they decode to."""
+    """Per text its ids, joined by commas, and the text they decode to.
+
+    Texts that wait for their slice hold each distinct word of it once.
+    """
     seen: dict[str, tuple[str, str]] = {}
     written = [str(i) for i in range(len(model.names))]
 
-    def finish(held: list[list[str]]):
-        new = list({w for words in held for w in words}.difference(seen))
+    def finish(held: list[list[str]], distinct: dict[str, str]):
+        new = [w for w in distinct if w not in seen]
         seen.update(zip(new, model.written([model.marked(w) for w in new], written), strict=True))
         for words in held:
             found = [seen[w] for w in words]
@@ -166,14 +169,15 @@ def encoded(model: Model, texts: Iterator[str | None]) -> Iterator[tuple[str, st
         if len(seen) > REMEMBERED:
             seen.clear()
 
-    held, chars = [], 0
+    held, distinct, chars = [], {}, 0
     for text in texts:
-        held.append(model.words(text or ""))
+        one = distinct.setdefault
+        held.append([one(w, w) for w in model.words(text or "")])
         chars += len(text or "")
         if chars >= SLICE_CHARS:
-            yield from finish(held)
-            held, chars = [], 0
-    yield from finish(held)
+            yield from finish(held, distinct)
+            held, distinct, chars = [], {}, 0
+    yield from finish(held, distinct)
 
 
 def texts_of(batches: Iterator[pa.RecordBatch], doc_ids: list) -> Iterator[str | None]:

@@ -219,3 +219,14 @@ def test_base_spans_of_the_scan_are_those_of_the_plain_patterns(spark, docs):
         want.append((i, *(sum(k == x for _, x, _ in found) for k in range(3)), hashlib.sha256(line.encode()).hexdigest()))
     got = [(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.scan(given).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and all(sum(w[k] for w in want) for k in (1, 2, 3))
+
+
+def test_pieces_hold_a_word_of_a_slice_once():
+    import tracemalloc
+
+    texts, model = ["the quick brown fox jumps over a lazy dog " * 100] * 1000, pieces.Model(PIECES)
+    tracemalloc.start()
+    made = sum(len(text) for _, text in pieces.encoded(model, iter(texts)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == sum(map(len, texts)) and most < 20_000_000  # 43 MB when each place had its own word
