@@ -39,40 +39,43 @@ LEAF, FRONTIER = 32, 64
 #: A routing key is frequent if a task meets it so often among so many keys.
 FREQUENT, HELD_KEYS = 16, 2_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x = (x ^ (x >> _S30)) * _M1
+    x = (x ^ (x >> _S27)) * _M2
+    return x ^ (x >> _S31)
+
+
+class Codes(dict):
+    """Hashes of words, made at their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
 
 
 class Shingler:
     """Sorted distinct hashes of the word shingles of a text; hashes of words are remembered."""
 
     def __init__(self, size: int):
-        self.size, self.known = size, {}
+        self.size, self.known = size, Codes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()  # ASCII letters only
         known = self.known
         if len(known) > 1_000_000:
             known.clear()
-        try:
-            codes = [known[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            codes = [known[w] for w in words]
-        codes = np.array(codes, np.uint64)
+        codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         if not len(codes):
             return codes
         width = min(self.size, len(codes))
         out = np.full(len(codes) - width + 1, width, np.uint64)
         for k in range(width):
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(out)])
-        return np.unique(out)
+        out.sort()
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 class Levels:

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 
 from duelframe.llm import chat, common, jaccard, mixing, passages, urls, vectors
 from duelframe.llm.queries import RULES
@@ -313,3 +314,11 @@ def test_columns_of_any_name_and_type(spark):
     cut = passages.without_repeats(docs, min_words=5)
     assert sorted(cut.columns) == sorted(docs.columns) and cut.count() == docs.count()
     assert {type(r.removed) for r in cut.collect()} <= {list, type(None)}
+
+
+def test_shingles_look_a_word_up_once():
+    shingle = jaccard.Shingler(2)
+    assert shingle.known[b"new"] == xxhash.xxh3_64_intdigest(b"new")  # made where it is missing, without a second pass
+    found = shingle("A b a B a b c")
+    assert len(found) == 3 and (found[1:] > found[:-1]).all() and found.tolist() == sorted(set(shingle("a b c").tolist()) | set(shingle("b a").tolist()))
+    assert len(shingle("one")) == 1 and not len(shingle(None))
