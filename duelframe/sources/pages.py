@@ -64,11 +64,26 @@ def page_header(pages: DataFrame, key: str = "page_id", html: str = "html", url:
     )
 
 
-def landed_pages(spark, folder: str) -> DataFrame:
-    """Whole landed page files with year and round read off their path ``.../year=YYYY/round=N/...``;
-    periods that were never landed are simply absent."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
-    path = F.input_file_name()
+def land_pages(pages: DataFrame, folder: str) -> None:
+    """Land pages (``year``, ``round``, ``value``) many to a file, each whole and with the path it would have as a
+    file of its own: the number of files goes with the tasks, not with the pages."""
+
+    def part(c: str) -> Column:  # as a folder of partitions names a missing value
+        return F.concat(F.lit(f"/{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+
+    text = F.concat(F.coalesce("value", F.lit("")), F.lit("\n"))
+    path = F.concat(F.lit(folder), part("year"), part("round"), F.lit("/page"))
+    pages.select(path.alias("path"), text.alias("value")).write.parquet(folder)
+
+
+def landed_pages(spark, folder: str, bundled: bool = False) -> DataFrame:
+    """Whole landed pages with year and round read off their path ``.../year=YYYY/round=N/...``;
+    periods that were never landed are simply absent. A page is a file of its own, or with ``bundled``
+    a row of what ``land_pages`` wrote."""
+    if bundled:
+        raw, path = spark.read.schema("path string, value string").parquet(folder), F.col("path")
+    else:
+        raw, path = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True), F.input_file_name()
     return raw.select(
         F.regexp_extract(path, r"/year=(\d{4})/", 1).try_cast("int").alias("year"),
         _found(path, r"/round=([^/]+)/").alias("round"),
