@@ -280,10 +280,10 @@ def lineup_changes(expected: DataFrame, appearances: DataFrame, last_slot: int =
 
 def appearance_rows(arrays: DataFrame, keys: Sequence[str], bench_from: int = 14) -> DataFrame:
     """Line-up and bench arrays as rows: the array position is the slot, the bench starts after the starters."""
-    starters = arrays.select(*keys, F.posexplode("lineup").alias("_at", "member_name")).select(
-        *keys, "member_name", (F.col("_at") + 1).alias("slot"), F.lit(True).alias("is_starter")
-    )
-    bench = arrays.select(*keys, F.posexplode("bench").alias("_at", "member_name")).select(
-        *keys, "member_name", (F.col("_at") + bench_from).alias("slot"), F.lit(False).alias("is_starter")
-    )
-    return starters.unionByName(bench)
+
+    def listed(names: str, first: int, starts: bool) -> Column:
+        row = lambda x, at: F.struct(x.alias("member_name"), (at + first).alias("slot"), F.lit(starts).alias("is_starter"))
+        return F.transform(F.coalesce(names, F.array()), row)
+
+    # one pass over the arrays, which may be costly to make
+    return arrays.select(*keys, F.inline(F.concat(listed("lineup", 1, True), listed("bench", bench_from, False))))

@@ -363,6 +363,7 @@ _MF = [f"avg_{s}_{n}" for s in ("minutes", "touches") for n in (3, 5)]
 )
 def wn17(spark, sf):
     members = member_games(spark, sf)
+    members = A.dealt(members, A.table(spark, sf, "lineitem").count(), "member_id")
     return W.member_form(members, measure(members, ["member_id"]), ["minutes", "touches"])
 
 

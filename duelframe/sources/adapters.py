@@ -17,6 +17,8 @@ POSITION_BY_SLOT = {
     10: "PR", 11: "SR", 12: "SR", 13: "LK", 14: "INT", 15: "INT", 16: "INT", 17: "INT",
 }
 SPINE_SLOTS = (1, 6, 7, 9)
+#: Rows that a task sorts and groups at once.
+ROWS_PER_TASK = 500_000
 
 
 def whole(c: Column) -> Column:
@@ -38,6 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by its keys over so many tasks that one gets about ``ROWS_PER_TASK`` of ``rows``
+    rows; the number is given, so that it is not lowered for rows that compress well."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+    return df.repartition(n, *keys)
+
+
 @view
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event per order between the customer's nation (home) and a derived other nation (away)."""
@@ -182,8 +191,10 @@ def odds_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def member_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members per match and side with what they did: the suppliers of an order, numbered within the
     side, with the quantity (``minutes``) and number (``touches``) of their lines."""
+    given = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey").isNotNull())
+    # dealt by the match alone: sums, join and slots then share this exchange
     lines = (
-        table(spark, sf_dir, "lineitem")
+        dealt(given, given.count(), "l_orderkey")
         .groupBy("l_orderkey", "l_suppkey")
         .agg(F.sum(F.col("l_quantity").cast("long")).alias("minutes"), F.count(F.lit(1)).alias("touches"))
     )
