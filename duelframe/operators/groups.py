@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from duelframe.operators.history import Layout, lookback, measure, running
+from duelframe.operators.history import Layout, lookback, measure
+from duelframe.session import cut_lineage
 
 
 def lineups(log: DataFrame, appearances: DataFrame) -> DataFrame:
@@ -76,26 +77,34 @@ def expected_starters(appearances: DataFrame, n: int = 5, max_rows: int | None =
     """Most frequent holder of each slot over a participant's previous ``n`` matches, ties to the
     smallest id.
 
-    Every starter row is sent to the next ``n`` match ordinals of its participant, which turns the
-    range join into counts spread over (participant, ordinal, slot): one shuffle serves both the
-    counts and the choice among them.
+    Each match carries its starters, a bounded number, to the window over its participant's matches,
+    and the choice among those of the ``n`` matches before is made within the row. No starter row is
+    repeated for the matches it counts for.
     """
-    games = appearances.select("entity_id", "match_id", "event_date").distinct()
-    ordinal = running(games, measure(games, ["entity_id"], max_rows=max_rows), {"ordinal": ("count", F.lit(1))})
-    starts = appearances.filter("is_starter").select("entity_id", "match_id", "slot", "member_id")
-    ahead = starts.join(ordinal.select("entity_id", "match_id", "ordinal"), ["entity_id", "match_id"]).select(
-        "entity_id",
-        "slot",
-        "member_id",
-        F.explode(F.sequence(F.col("ordinal") + 1, F.col("ordinal") + n)).alias("ordinal"),
-    )
-    spot = ["entity_id", "ordinal", "slot"]
-    counts = ahead.repartition(*spot).groupBy(*spot, "member_id").agg(F.count(F.lit(1)).alias("held"))
-    usual = F.row_number().over(Window.partitionBy(*spot).orderBy(F.desc("held"), "member_id"))
-    chosen = counts.withColumn("_rn", usual).filter(F.col("_rn") == 1).select(*spot, F.col("member_id").alias("expected_member"))
-    return chosen.join(ordinal.select("entity_id", "match_id", "ordinal"), ["entity_id", "ordinal"]).select(
-        "entity_id", "match_id", "slot", "expected_member"
+    sides = appearances.filter(F.col("entity_id").isNotNull())
+    held = F.when(F.col("is_starter") & F.col("match_id").isNotNull(), F.struct("slot", "member_id"))
+    games = (
+        sides.groupBy("entity_id", "match_id")
+        .agg(F.collect_set(F.struct("event_date")).alias("_days"), F.collect_list(held).alias("_held"))
+        .select("entity_id", "match_id", F.explode("_days").alias("_day"), "_held")
+        .select("entity_id", "match_id", "_day.event_date", "_held")
     )
+    games = cut_lineage(games)  # counted by measure, then read once more
+    layout = measure(games, ["entity_id"], max_rows=max_rows)
+    before = lookback(games, layout, n, lambda f: {f"_held_{k}": F.lag("_held", k).over(f.ordered) for k in range(1, n + 1)})
+    past = F.flatten(F.filter(F.array(*[f"_held_{k}" for k in range(1, n + 1)]), lambda x: x.isNotNull()))
+    rows = before.select("entity_id", "match_id", past.alias("_past"))
+
+    def usual(slot: Column) -> Column:
+        mine = F.transform(F.filter("_past", lambda x: x["slot"].eqNullSafe(slot)), lambda x: x["member_id"])
+        ranked = F.transform(
+            F.array_distinct(mine), lambda m: F.struct((-F.size(F.filter(mine, lambda x: x.eqNullSafe(m)))).alias("n"), m.alias("member_id"))
+        )
+        return F.array_min(ranked)["member_id"]
+
+    slots = F.array_distinct(F.transform("_past", lambda x: x["slot"]))
+    chosen = F.transform(slots, lambda slot: F.struct(slot.alias("slot"), usual(slot).alias("expected_member")))
+    return rows.select("entity_id", "match_id", F.explode(chosen).alias("_c")).select("entity_id", "match_id", "_c.*")
 
 
 def top_members(appearances: DataFrame, n: int = 17) -> DataFrame:
@@ -260,17 +269,14 @@ def with_without_by_season(
 def lineup_changes(expected: DataFrame, appearances: DataFrame, last_slot: int = 13) -> DataFrame:
     """Slots whose expected holder is missing or replaced (compared by surname), for the sides whose
     line-up is known."""
-    current = appearances.filter(F.col("is_starter")).select("match_id", "entity_id", "slot", F.col("member_name").alias("actual"))
-    known = current.select("match_id", "entity_id").distinct()
+    side = ["match_id", "entity_id"]
+    current = appearances.filter(F.col("is_starter")).groupBy(*side).agg(F.collect_list(F.struct("slot", F.col("member_name").alias("actual"))).alias("_now"))
 
     def surname(c: str) -> Column:
         return F.lower(F.element_at(F.split(c, " "), -1))
 
-    diff = (
-        expected.filter(F.col("slot") <= last_slot)
-        .join(known, ["match_id", "entity_id"], "left_semi")
-        .join(current, ["match_id", "entity_id", "slot"], "left")
-    )
+    holders = F.transform(F.filter("_now", lambda x: x["slot"] == F.col("slot")), lambda x: x["actual"])
+    diff = expected.filter(F.col("slot") <= last_slot).join(current, side).withColumn("actual", F.explode_outer(holders))
     return (
         diff.filter(F.col("actual").isNull() | (surname("actual") != surname("expected")))
         .withColumn("change_type", F.when(F.col("actual").isNull(), "MISSING").otherwise("REPLACED"))
