@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from duelframe.operators import decisions as D, metrics as M, strategies as S
 from duelframe.operators.entity import impact_with_fallback
-from duelframe.plans.link_queries import impact_list, slot_diff
+from duelframe.plans.link_queries import impact_list, members, slot_diff
 from duelframe.plans.registry import query
 from duelframe.plans.views_sql import define
 from duelframe.plans.windows_queries import picks
+from duelframe.session import cut_lineage
 from duelframe.sources import adapters as A
 
 _FAIR = "(1 / h2h_home) / (1 / h2h_home + 1 / h2h_away)"
@@ -101,8 +102,9 @@ _SHIFT = "greatest(-0.15::DOUBLE, least(0.15::DOUBLE, greatest(-0.15::DOUBLE, le
 
 def missing_raw(spark, sf):
     changes = slot_diff(spark, sf)
-    wanted = A.appearances(spark, sf).select("entity_id", "member_name").distinct()
-    impact = impact_with_fallback(wanted, impact_list(spark, sf))
+    known = cut_lineage(members(spark, sf))  # read by both sides of the lookup
+    wanted = known.select("entity_id", "member_name").distinct()
+    impact = impact_with_fallback(wanted, impact_list(spark, sf, known))
     m = A.matches(spark, sf)
     sides = m.select("match_id", F.explode(F.array(
         F.struct(F.lit("home").alias("side"), F.col("home_id").alias("entity_id")),

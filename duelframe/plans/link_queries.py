@@ -306,8 +306,13 @@ FROM (SELECT DISTINCT entity_id, member_id, member_name FROM appearances WHERE m
 )
 
 
-def impact_list(spark, sf):
-    listed = A.appearances(spark, sf).filter(F.col("member_id") % 5 != 0).select("entity_id", "member_id", "member_name").distinct()
+def members(spark, sf):
+    """Every member of every participant, once."""
+    return A.appearances(spark, sf).select("entity_id", "member_id", "member_name").distinct()
+
+
+def impact_list(spark, sf, known=None):
+    listed = (members(spark, sf) if known is None else known).filter(F.col("member_id") % 5 != 0)
     return listed.select(
         "entity_id",
         F.when(F.col("member_id") % 3 == 0, F.concat(F.lit("Q McS"), F.col("member_id").cast("string")))
