@@ -66,14 +66,17 @@ def page_header(pages: DataFrame, key: str = "page_id", html: str = "html", url:
 
 def land_pages(pages: DataFrame, folder: str) -> None:
     """Land pages (``year``, ``round``, ``value``) many to a file, each whole and with the path it would have as a
-    file of its own: the number of files goes with the tasks, not with the pages."""
+    file of its own: the number of files goes with the tasks, not with the pages. What a task has of one
+    period is one page, as text written by period is one file."""
 
     def part(c: str) -> Column:  # as a folder of partitions names a missing value
         return F.concat(F.lit(f"/{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
 
     text = F.concat(F.coalesce("value", F.lit("")), F.lit("\n"))
     path = F.concat(F.lit(folder), part("year"), part("round"), F.lit("/page"))
-    pages.select(path.alias("path"), text.alias("value")).write.parquet(folder)
+    rows = pages.select(path.alias("path"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"), text.alias("text"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])
+    rows.groupBy("path", "task").agg(F.array_join(in_order, "").alias("value")).select("path", "value").write.parquet(folder)
 
 
 def landed_pages(spark, folder: str, bundled: bool = False) -> DataFrame:
