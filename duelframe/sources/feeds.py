@@ -38,7 +38,9 @@ LINEUP_MAP = "map<string, map<string, struct<full_name: string, player_id: bigin
 
 def bookmaker_feed(feed: DataFrame, body: str = "body") -> DataFrame:
     """One fixture per event with the average head-to-head prices and home spread of its bookmakers."""
-    e = feed.select(F.from_json(body, BOOKMAKERS).alias("e")).select("e.*")
+    # ``from_json`` does not run in generated code, nor does anything it is merged with; as a generator it is
+    # not merged with whatever made the messages. A message without an object is still a row of nulls.
+    e = feed.select(F.inline(F.array(F.from_json(body, BOOKMAKERS))))
     outcomes = (
         e.select("id", "home_team", "away_team", "commence_time", F.explode_outer("bookmakers").alias("b"))
         .select("id", "home_team", "away_team", "commence_time", F.explode_outer("b.markets").alias("m"))
