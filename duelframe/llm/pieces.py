@@ -43,7 +43,9 @@ class Model:
         byte_ids = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         odd = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)}
         ids = {p: i for i, p in enumerate(names) if i not in odd}
-        self.names, self.byte_ids, self.byte_of, self.unknown = names, byte_ids, {i: b for b, i in byte_ids.items()}, sp.unk_id()
+        byte_of = {i: b for b, i in byte_ids.items()}
+        self.names, self.byte_ids, self.unknown = names, byte_ids, sp.unk_id()
+        self.spelt = [bytes([byte_of[i]]) if i in byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
         self.separate = all(MARK not in p[1:] or set(p) == {MARK} for p in ids)
         self.symbol = np.arange(-1, -sys.maxunicode - 2, -1, dtype=np.int32)  # a character without a piece: -1 - code
         for p, i in ids.items():
@@ -113,20 +115,14 @@ class Model:
         return np.concatenate(done_symbols)[order], np.cumsum(np.bincount(all_words, minlength=len(words)))
 
     def written(self, words: list[str], written: list[str]) -> Iterator[tuple[str, str]]:
-        """Per word its ids, joined by commas, and its decoded text with space marks as spaces.
-
-        Where every character has a piece, the pieces of a word spell the word itself.
-        """
+        """Per word its ids, joined by commas, and the text that these ids decode to, with space marks as spaces."""
         symbols, ends = self.encode(words)
         starts = np.append(0, ends)[:-1].astype(np.int64)
         rare = np.minimum.reduceat(symbols, starts) < 0 if len(words) else np.zeros(0, bool)
         flat = symbols.tolist()
-        for word, a, b, has_bytes in zip(words, starts.tolist(), ends.tolist(), rare.tolist(), strict=True):
-            if has_bytes:
-                ids = self.with_bytes(flat[a:b])
-                yield ",".join([written[i] for i in ids]), self.text_of(ids)
-            else:
-                yield ",".join([written[i] for i in flat[a:b]]), word.replace(MARK, " ")
+        for a, b, has_bytes in zip(starts.tolist(), ends.tolist(), rare.tolist(), strict=True):
+            ids = self.with_bytes(flat[a:b]) if has_bytes else flat[a:b]
+            yield ",".join([written[i] for i in ids]), self.text_of(ids)
 
     def with_bytes(self, symbols: list[int]) -> list[int]:
         """Piece ids; a character without a piece gives its bytes, or the unknown id where the model has none."""
@@ -134,8 +130,7 @@ class Model:
 
     def text_of(self, ids: list[int]) -> str:
         """The text of the ids of one word, its space marks as spaces."""
-        raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.names[i].replace(MARK, " ").encode() for i in ids)
-        return raw.decode("utf-8", "replace")
+        return b"".join([self.spelt[i] for i in ids]).decode("utf-8", "replace")
 
     def words(self, text: str) -> list[str]:
         """Words without the mark that starts them; a word that starts with several marks keeps them all."""

@@ -230,3 +230,15 @@ def test_pieces_hold_a_word_of_a_slice_once():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert made == sum(map(len, texts)) and most < 20_000_000  # 43 MB when each place had its own word
+
+
+def test_decoded_texts_come_from_the_ids():
+    library, model = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.Model(PIECES)
+    decoded, whole = [], model.text_of
+    model.text_of = lambda ids: decoded.append(list(ids)) or whole(ids)
+    texts = ["plain words, plain spaces", " led  by spaces ", "rare 日本 😀", "", None, "plain words"]
+    made = [text for _, text in pieces.encoded(model, iter(texts))]
+    assert made == [library.decode(library.encode(t or "")) for t in texts]
+    assert sorted({i for ids in decoded for i in ids}) == sorted({i for t in texts for i in library.encode(t or "")})
+    model.text_of = lambda ids: f" {len(ids)}"
+    assert [text for _, text in pieces.encoded(model, iter(["a plain"]))] == ["1 1"]
