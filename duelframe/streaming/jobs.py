@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import ExitStack
+from heapq import merge
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -95,10 +100,59 @@ STREAM_RATED = "league int, match_id long, home_elo double, away_elo double, hom
 RATING_STATE = "ratings map<int, double>, season int"
 
 
+#: Games of a league that are sorted in memory, those read back at once, and those played and passed on at once.
+RUN, BLOCK, PLAYED = 500_000, 2_000, 10_000
+
+
+def _packed(games: pd.DataFrame) -> np.ndarray:
+    """Day, match, season, sides, whether both scores are known, and scores, as one row of integers a game."""
+    scores = games[["home_score", "away_score"]]
+    day = games["event_date"].astype(object).where(games["event_date"].notna(), None).to_numpy().astype("datetime64[D]")
+    columns = [
+        np.where(np.isnat(day), np.iinfo(np.int64).max, day.astype("int64")),  # no day comes last
+        *(games[c].astype("int64") for c in ("match_id", "year", "home_id", "away_id")),
+        scores.notna().all(axis=1),
+        *(scores[c].fillna(0).astype("int64") for c in scores),
+    ]
+    return np.column_stack([np.asarray(c, np.int64) for c in columns])
+
+
+def _in_order(chunks: Iterator[pd.DataFrame]) -> Iterator[list[int]]:
+    """Packed games by day and match: runs sorted in memory; several runs go to temporary files and are merged."""
+    with ExitStack() as files:
+        runs, parts, held = [], [], 0
+
+        def run() -> np.ndarray:
+            rows = np.concatenate(parts)
+            parts.clear()
+            return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+
+        def kept(rows: np.ndarray):
+            file = files.enter_context(tempfile.TemporaryFile())
+            rows.tofile(file)
+            return file
+
+        def read(file) -> Iterator[list[int]]:
+            file.seek(0)
+            while data := file.read(BLOCK * 64):
+                yield from np.frombuffer(data, np.int64).reshape(-1, 8).tolist()
+
+        for chunk in chunks:
+            parts.append(_packed(chunk))
+            held += len(chunk)
+            if held >= RUN:
+                runs.append(kept(run()))
+                held = 0
+        last = run() if parts else np.empty((0, 8), np.int64)
+        ends = (row for i in range(0, len(last), BLOCK) for row in last[i : i + BLOCK].tolist())
+        yield from merge(*map(read, runs), ends, key=lambda row: row[:2]) if runs else ends
+
+
 def rating_update(params: RatingParams) -> Callable:
     """Stateful update of one league: the state is one number per participant and the season.
 
-    A micro-batch is put in match order before it is applied, so triggers bound what a task holds.
+    A micro-batch is put in match order before it is applied. A task holds a run of games and some results,
+    however many games of a league a trigger takes.
     """
 
     def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -106,14 +160,14 @@ def rating_update(params: RatingParams) -> Callable:
         if state.exists:
             ratings, season = state.get
             chain.rating, chain.season = dict(ratings), season
-        games = pd.concat(list(chunks)).sort_values(["event_date", "match_id"])
-        made = []
-        for g in games.itertuples(index=False):
-            hs, aw = (None if pd.isna(x) else int(x) for x in (g.home_score, g.away_score))
-            home, away, prob, *_ = chain.play(int(g.year), int(g.home_id), int(g.away_id), hs, aw)
-            made.append((key[0], int(g.match_id), home, away, prob))
+        games = _in_order(chunks)
+        while part := list(islice(games, PLAYED)):
+            made = []
+            for _, match, year, home_id, away_id, scored, hs, aw in part:
+                home, away, prob, *_ = chain.play(year, home_id, away_id, *((hs, aw) if scored else (None, None)))
+                made.append((key[0], match, home, away, prob))
+            yield pd.DataFrame(made, columns=["league", "match_id", "home_elo", "away_elo", "home_elo_prob"])
         state.update(({int(k): float(v) for k, v in chain.rating.items()}, chain.season))
-        yield pd.DataFrame(made, columns=["league", "match_id", "home_elo", "away_elo", "home_elo_prob"])
 
     return update
 

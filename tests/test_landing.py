@@ -79,3 +79,53 @@ def test_digests_see_values_and_how_often_rows_repeat(spark):
     assert stale_seasons(season_digests(one, ["a", "b"]), season_digests(one.orderBy("b").repartition(3), ["a", "b"])).count() == 0
     other = spark.createDataFrame([(1, 2, None), (1, 2, None), (1, 2, None), (2, 5, "y")], schema)  # an exclusive or would not tell
     assert [r.year for r in stale_seasons(season_digests(one, ["a", "b"]), season_digests(other, ["a", "b"])).collect()] == [1]
+
+
+class _State:
+    """What Spark gives a stateful update of one key."""
+
+    def __init__(self):
+        self.get, self.exists = None, False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+
+def test_a_task_holds_a_run_of_a_league_s_games(monkeypatch):
+    import datetime
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from duelframe.operators.ratings import RatingParams, _Chain
+
+    def games(n, seed):
+        draw = np.random.default_rng(seed)
+        day = [datetime.date(2001, 1, 1) + datetime.timedelta(days=int(d)) for d in draw.integers(0, 700, n)]
+        score = [pd.Series(np.where(draw.random(n) < 0.1, np.nan, draw.integers(0, 40, n))) for _ in range(2)]
+        home = draw.integers(0, 20, n).astype(np.int32)
+        return pd.DataFrame({
+            "league": np.int32(3), "event_date": pd.Series(day, dtype=object), "match_id": draw.permutation(n) + seed * n, "year": np.array([d.year for d in day], np.int32),
+            "home_id": home, "away_id": ((home + 1) % 20).astype(np.int32), "home_score": score[0], "away_score": score[1],
+        })
+
+    monkeypatch.setattr(Z, "RUN", 500, raising=False)
+    state, update = _State(), Z.rating_update(RatingParams())
+    chain = _Chain(RatingParams())
+    for triggers in ([games(500, 1), games(700, 2)], [games(600, 3)]):
+        table = pd.concat(triggers).sort_values(["event_date", "match_id"])
+        want = [
+            (3, g.match_id, *chain.play(g.year, g.home_id, g.away_id, *(None if math.isnan(x) else int(x) for x in (g.home_score, g.away_score)))[:3])
+            for g in table.itertuples()
+        ]
+        assert [tuple(r) for part in update((3,), iter(triggers), state) for r in part.itertuples(index=False)] == want
+    assert state.get == (chain.rating, chain.season)
+
+    monkeypatch.setattr(Z, "RUN", 50_000, raising=False)
+    chunk = games(10_000, 4)
+    tracemalloc.start()
+    made = sum(len(part) for part in update((3,), (chunk.copy(deep=True) for _ in range(30)), _State()))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == 300_000 and most < 30_000_000  # 106 MB when all frames and results were held
