@@ -1,6 +1,7 @@
 """The cut plan must equal the plain window for every look-back operator, also under heavy skew."""
 
 import datetime
+import re
 
 import pytest
 from conftest import same
@@ -154,3 +155,40 @@ def test_timestamp_histories_are_cut_by_seconds(spark, sf):
 
 def test_layout_defaults():
     assert Layout(("k",)).partition == ["k"]
+
+
+@pytest.mark.parametrize("limit, parts", [(20, 1), (40, 8), (3, 1)])
+def test_opened_history_gives_what_one_uncut_gives(games, limit, parts):
+    """Form, consistency, schedule and streak from one cut, with unscored games, a hot day and games without a participant."""
+    unknown = games.withColumn("home_id", F.when(F.col("match_id") % 31 != 0, F.col("home_id")))
+    df = team_log(unknown).withColumns({"halftime_lead": F.col("margin"), "penalty_diff": -F.col("margin")})
+    out = {}
+    for most in (10**9, limit):
+        layout = measure(df, ["entity_id"], max_rows=most, parts=parts)
+        assert (layout.bounds is None) == (most > limit)
+        rows, opened = layout.opened(df, 8, "result")
+        made = W.schedule(W.scoring_consistency(W.rolling_form(rows, opened), opened), opened)
+        out[most] = opened.closed(W.streak(made, opened))
+    same(out[10**9], out[limit])
+    text = out[limit]._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"Exchange hashpartitioning\(entity_id#\d+, _cell", text))) <= 2  # the rows, and the last rows of cells
+
+
+def test_runs_go_on_over_cells_without_results(spark):
+    """A streak over several cells, cells without any result, turns at their ends, and a participant never scored."""
+    said = "WWWWW--------------------WWL" + "L" * 30 + "W" + "-" * 25 + "D"
+    value = {"W": 1.0, "L": 0.0, "D": 0.5, "-": None}
+    start = datetime.date(2001, 1, 1)
+    rows = [(1, i, start + datetime.timedelta(days=i), value[c]) for i, c in enumerate(said)]
+    rows += [(2, 100 + i, start + datetime.timedelta(days=i), None) for i in range(30)]
+    df = spark.createDataFrame(rows, "entity_id int, match_id long, event_date date, result double")
+    for most in (3, 5, 11):
+        layout = measure(df, ["entity_id"], max_rows=most)
+        opened_rows, opened = layout.opened(df, 2, "result")
+        got = {r.match_id: r.streak for r in opened.closed(W.streak(opened_rows, opened)).collect()}
+        last, length = None, 0
+        for _, i, _, v in rows[: len(said)]:
+            assert got[i] == (0 if last is None else length if last == 1.0 else -length), (most, i)
+            if v is not None:
+                last, length = v, length + 1 if v == last else 1
+        assert not any(got[100 + i] for i in range(30))
